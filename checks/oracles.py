@@ -157,7 +157,12 @@ PIECES |= {
 PIECES |= dbscan_pieces("g2", "pts2", "g2t")
 PIECES |= silhouette_pieces("g2", "g2lab")
 PIECES |= {
-    "p2": "select p.*, l.label from pts2 p join g2lab l using (store_nbr, row_id) join g2best b using (store_nbr, eps, min_samples)",
+    # labels of the best trial, marked by a union and a window: joining g2lab with g2best does not end in DuckDB 2.0
+    "p2lab": """select store_nbr, row_id, label from (
+        select store_nbr, row_id, label, max(best) over (partition by store_nbr, eps, min_samples) as chosen from (
+          select store_nbr, eps, min_samples, row_id, label, 0 as best from g2lab
+          union all select store_nbr, eps, min_samples, null, null, 1 from g2best)) where chosen = 1 and row_id is not null""",
+    "p2": "select p.*, l.label from pts2 p join p2lab l using (store_nbr, row_id)",
     "outer1": "select * from p1 where label <> 0 and store_nbr in (select store_nbr from g2best)",
     "final1": "select * from (select * from outer1 union all select * from p2 where label <> 0) where distance < 50",
 }
@@ -459,7 +464,7 @@ FINAL: dict[str, str] = {
             sum(instore_transaction_count) over (partition by store_nbr) as total
           from tx join dist using (store_nbr, geoid))""",
     "min_volume": """select store_nbr, geoid, instore_transaction_count from tx
-        where store_nbr in (select store_nbr from tx group by 1 having sum(instore_transaction_count) >= 450)""",
+        where store_nbr in (select store_nbr from tx group by 1 having sum(instore_transaction_count) >= 390)""",
     "haversine": f"""select store_nbr, a.mailing_address_id, {rd('2 * 3958.7613 * asin(sqrt(least(1.0, pow(sin(radians(p.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(p.latitude)) * pow(sin(radians(p.longitude - a.longitude) / 2), 2))))')} as miles
         from s1sales s join addr a using (mailing_address_id) join locgeo p using (location_id) group by all""",
     # forecasts

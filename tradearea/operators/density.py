@@ -208,3 +208,25 @@ def dbscan_by(points: DataFrame, trials: DataFrame, by: Sequence[str], coords: S
     """Every point of a group that has trials, with eps, min_samples, core and label."""
     sites = dbscan_sites(points, trials, by, coords, id_col)
     return points.join(sites.drop("w", "pid"), [*by, *coords])
+
+
+def neighbor_counts(points: DataFrame, radius: DataFrame, by: Sequence[str], coords: Sequence[str],
+                    id_col: str) -> DataFrame:
+    """(by, id, neighbors): rows of the same group within eps of each row, itself included.
+
+    `radius` holds eps per group. Distinct places meet only the places of the cells around them,
+    and the counts are added up inside the join, so no pair is ever kept.
+    """
+    by, coords = list(by), list(coords)
+    wide = [f"g{i}" for i in range(len(coords))]
+    sites = collapse(points, by, coords, id_col).join(radius.select(*by, "eps").distinct(), by).withColumns({
+        f"g{i}": F.floor(F.col(c) / (F.col("eps") / SHRINK)) for i, c in enumerate(coords)})
+    around = sites.withColumn("_step", F.explode(_offsets(1, len(coords)))).select(
+        *by, "eps", "pid", *coords, *[(F.col(g) + F.col("_step")[i]).alias(g) for i, g in enumerate(wide)])
+    p, q = around.alias("p"), sites.alias("q")
+    near = distance("p", "q", coords) <= F.col("p.eps")
+    for c in [*by, *wide]:
+        near = near & (F.col(f"p.{c}") == F.col(f"q.{c}"))
+    counts = p.join(q, near).groupBy(*[F.col(f"p.{c}").alias(c) for c in [*by, *coords]]).agg(
+        F.sum("q.w").alias("neighbors"))
+    return points.select(*by, *coords, id_col).join(counts, [*by, *coords]).select(*by, id_col, "neighbors")
