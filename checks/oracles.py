@@ -63,6 +63,9 @@ PIECES: dict[str, str] = {
     "scaled": "select *, " + ", ".join(
         f"coalesce(round(({c} - avg({c}) over w) / nullif(case when min({c}) over w = max({c}) over w then 0 else stddev_pop({c}) over w end, 0), 9), 0) as {a}"
         for c, a in (("instore_density", "x"), ("closeness", "y"), ("bopis_density", "z"))
+    ) + ", " + ", ".join(
+        f"avg({c}) over w as m{a}, case when min({c}) over w = max({c}) over w then 0 else stddev_pop({c}) over w end as s{a}"
+        for c, a in (("instore_density", "x"), ("closeness", "y"), ("bopis_density", "z"))
     ) + " from features window w as (partition by store_nbr)",
     "pts": "select store_nbr, geoid as row_id, distance, instore_density, closeness, bopis_density, x, y, z from scaled",
 }
@@ -424,8 +427,8 @@ FINAL: dict[str, str] = {
     "density": f"select store_nbr, geoid, {rd('d', 9)} as instore_density from txd",
     "area_features": f"select store_nbr, geoid, {_round_list(['instore_density', 'bopis_density', 'distance', 'closeness'], 9)} from features",
     "scaled_features": f"select store_nbr, geoid, {rd('x')} as z_instore_density, {rd('y')} as z_closeness, {rd('z')} as z_bopis_density from scaled",
-    "inverse_scaled": f"""select store_nbr, geoid, {rd('instore_density')} as raw_instore_density, {rd('closeness')} as raw_closeness,
-        {rd('bopis_density')} as raw_bopis_density from scaled""",
+    "inverse_scaled": f"""select store_nbr, geoid, {rd('x * sx + mx')} as raw_instore_density, {rd('y * sy + my')} as raw_closeness,
+        {rd('z * sz + mz')} as raw_bopis_density from scaled""",
     "code_gaps": """select 'transactions' as table_name, count(*) as row_count, cast(0 as bigint) as without_code from tx
         union all select 'distance', count(*), 0 from dist union all select 'bopis', count(*), 0 from bp""",
     # clustering
@@ -442,10 +445,10 @@ FINAL: dict[str, str] = {
     "grid_scores": f"select store_nbr, eps, cast(min_samples as bigint) as min_samples, {rd('score')} as score, clusters, points from g1ranked",
     "best_params": f"select store_nbr, eps, cast(min_samples as bigint) as min_samples, {rd('score')} as score from g1best",
     "trade_area_tuned": "select distinct store_nbr, row_id as geoid from final1",
-    "area_summary": f"""select s.store_nbr, a.eps as phase_1_eps_val, cast(a.min_samples as bigint) as phase_1_minsam, {rd('a.score')} as phase_1_best_score,
-        b.eps as phase_2_eps_val, cast(b.min_samples as bigint) as phase_2_minsam, {rd('b.score')} as phase_2_best_score,
-        o.tracts as tracts_1, {rd('o.i')} as instore_transaction_1, {rd('o.c')} as closeness_1, {rd('o.d')} as distance_1, {rd('o.b')} as bopis_order_counts_1,
-        n.tracts as tracts, {rd('n.i')} as instore_transaction, {rd('n.c')} as closeness, {rd('n.d')} as distance, {rd('n.b')} as bopis_order_counts,
+    "area_summary": f"""select s.store_nbr, a.eps as phase_1_eps_val, cast(a.min_samples as double) as phase_1_minsam, {rd('a.score')} as phase_1_best_score,
+        b.eps as phase_2_eps_val, cast(b.min_samples as double) as phase_2_minsam, {rd('b.score')} as phase_2_best_score,
+        cast(o.tracts as double) as tracts_1, {rd('o.i')} as instore_transaction_1, {rd('o.c')} as closeness_1, {rd('o.d')} as distance_1, {rd('o.b')} as bopis_order_counts_1,
+        cast(n.tracts as double) as tracts, {rd('n.i')} as instore_transaction, {rd('n.c')} as closeness, {rd('n.d')} as distance, {rd('n.b')} as bopis_order_counts,
         case when b.eps is null then 'no_valid_params' else 'ok' end as status
         from (select distinct store_nbr from pts) s left join g1best a using (store_nbr) left join g2best b using (store_nbr)
         left join (select store_nbr, count(distinct row_id) as tracts, avg(instore_density) as i, avg(closeness) as c, avg(distance) as d, avg(bopis_density) as b from outer1 group by 1) o using (store_nbr)
@@ -494,7 +497,7 @@ FINAL: dict[str, str] = {
         {rd('pct_difference')} as pct_difference, {rd('pandemic_factor')} as pandemic_factor, {rd('impact')} as impact from impact""",
     "recovery_rate": f"""select closed_store, {rd('sum(impact * predicted)', 2)} as lifted_sales, count(distinct open_store) as open_stores, {rd('max(lost_sales)', 2)} as lost_sales,
         {rd('sum(impact * predicted) / nullif(max(lost_sales), 0)')} as recovery_rate from impact join lost using (closed_store) group by 1""",
-    "closure_factor": f"""select store_nbr, {rd('pre', 2)} as pre, {rd('baseline', 2)} as baseline, {rd('post', 2)} as post, {rd('(post - baseline) / nullif(pre, 0)')} as closure_factor
+    "closure_factor": f"""select store_nbr, {rd('pre')} as pre, {rd('baseline')} as baseline, {rd('post')} as post, {rd('(post - baseline) / nullif(pre, 0)')} as closure_factor
         from (select store_nbr, avg(y) as pre from train group by 1) join (select store_nbr, avg(predicted) as baseline, avg(actual) as post from fva group by 1) using (store_nbr)""",
     # sales
     "store_customers": f"select store_nbr, {CODES}, customer_id, mailing_address_id, address_id from sc",
@@ -517,7 +520,7 @@ FINAL |= {
     # closure
     "negative_factors": f"select store_nbr, {rd('closure_factor')} as closure_factor from factors where closure_factor < 0",
     "closure_training": f"""select store_nbr, cast(week as bigint) as week, calendar_season_cd, store_volume_cd, fashion_attribute_cd, {rd('closure_factor')} as closure_factor,
-        {rd('store_online_gross_sales', 2)} as store_online_gross_sales, cast(holiday_ind as bigint) as holiday_ind, {_SETCOLS}, {_CATS} from trainset""",
+        {rd('store_online_gross_sales', 4)} as store_online_gross_sales, cast(holiday_ind as bigint) as holiday_ind, {_SETCOLS}, {_CATS} from trainset""",
     "closure_scoring": f"""select store_nbr, cast(week as bigint) as week, calendar_season_cd, store_volume_cd, fashion_attribute_cd,
         cast(holiday_ind as bigint) as holiday_ind, {_SETCOLS}, {_CATS} from scoreset""",
     "label_encoding": """select 'calendar_season_cd' as column_name, v as value, cast(code as bigint) as code from v_season
@@ -525,7 +528,7 @@ FINAL |= {
     "corr_with_target": corr_sql("trainset"),
     "top_features": f"select column_name, abs_correlation from ({corr_sql('trainset')}) where correlation is not null order by abs_correlation desc, column_name limit 40",
     "model_features": "select " + ", ".join(
-        f"{rd(c, 2)} as {c}" if c.endswith("gross_sales") else f"cast({c} as bigint) as {c}" for c in (*FEATURES, "store_online_gross_sales")) + " from trainset",
+        f"{rd(c, 4 if c.startswith('store') else 2)} as {c}" if c.endswith("gross_sales") else f"cast({c} as bigint) as {c}" for c in (*FEATURES, "store_online_gross_sales")) + " from trainset",
     "tail_bounds": f"""select {rd('med', 3)} as med,
         {rd('case when below then low end', 3)} as low, {rd('case when above then high end', 3)} as high from (
         select med, min(case when v >= q1 - 2.5 * (q3 - q1) then v end) as low, max(case when v <= q3 + 2.5 * (q3 - q1) then v end) as high,

@@ -201,7 +201,7 @@ def _closure_factor(s: Steps) -> DataFrame:
     after = s.compared().groupBy("store_nbr").agg(F.avg("predicted").alias("baseline"), F.avg("actual").alias("post"))
     out = pre.join(after, "store_nbr").withColumn(
         "closure_factor", closure_factor(F.col("pre"), F.col("baseline"), F.col("post")))
-    return rounded(out, pre=2, baseline=2, post=2)
+    return rounded(out)
 
 
 def _borrowed(s: Steps) -> DataFrame:
@@ -225,7 +225,7 @@ def _label_encoding(s: Steps) -> DataFrame:
         v.select(F.lit(name).alias("column_name"), "value", "code") for name, v in C.vocabularies(*s.sets()).items()]))
 
 
-MONEY = {"online_gross_sales": 2, "instore_gross_sales": 2, TARGET: 2}
+MONEY = {"online_gross_sales": 2, "instore_gross_sales": 2, TARGET: 4}
 
 
 def _training_out(s: Steps) -> DataFrame:
@@ -306,7 +306,8 @@ QUERIES: dict[str, Callable[[Steps], DataFrame]] = {
     "grid_scores": lambda s: rounded(s.grid()),
     "best_params": lambda s: rounded(best_params(s.grid(), A.STORE)),
     "trade_area_tuned": lambda s: _area(A.trade_area_tuned(s.features(), *SMALL_GRID)[0]),
-    "area_summary": lambda s: rounded(A.trade_area_tuned(s.features(), *SMALL_GRID)[1]),
+    "area_summary": lambda s: rounded(A.trade_area_tuned(s.features(), *SMALL_GRID)[1].withColumns({
+        c: F.col(c).cast("double") for c in ("phase_1_minsam", "phase_2_minsam", "tracts_1", "tracts")})),
     "status_counts": lambda s: A.status_counts(A.trade_area_tuned(s.features(), *SMALL_GRID)[1]),
     "trade_area_tuned_full": lambda s: _area(A.trade_area_tuned(s.features())[0]),
     # overlap

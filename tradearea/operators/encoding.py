@@ -42,8 +42,11 @@ def corr_with(df: DataFrame, target: str, columns: Sequence[str] | None = None)
     """
     names = list(columns) if columns is not None else numeric_columns(df, [target])
     def one(name: str):
-        moved = (F.min(name) != F.max(name)) & (F.min(target) != F.max(target))
-        return F.when(moved, F.corr(F.col(name).cast("double"), F.col(target).cast("double"))).alias(name)
+        both = F.col(name).isNotNull() & F.col(target).isNotNull()
+        x, y = (F.when(both, F.col(c).cast("double")) for c in (name, target))
+        spread = F.when((F.min(x) != F.max(x)) & (F.min(y) != F.max(y)), F.stddev_pop(x) * F.stddev_pop(y))
+        return F.try_divide(F.covar_pop(x, y), spread).alias(name)
+
     wide = df.agg(*[one(c) for c in names])
     long = wide.unpivot([], list(names), "column_name", "correlation")
     return long.withColumn("abs_correlation", F.abs("correlation"))

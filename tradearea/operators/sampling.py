@@ -13,6 +13,7 @@ from tradearea.operators.grouped import join_on, quantiles
 from tradearea.operators.tiles import (
     BLOCK, Batches, block_pairs, field_arrays, into_blocks, list_values, pair_distances, with_lists,
 )
+from tradearea.sources.scratch import cut
 
 BUCKETS = 1 << 30
 
@@ -132,11 +133,13 @@ def oversample_tails(df: DataFrame, y: str, key: str, k: int = 3, coef: float =
     columns = [c for c in df.columns if c != key]
     tailed = tail_of(df, y, coef, thres)
     if rates is None:
+        tailed = cut(tailed, "bumps")
         wanted = bump_rates(tailed).select("bump", "rate")
         tailed = tailed.join(wanted, "bump")
     else:
         pick = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])
         tailed = tailed.withColumn("rate", F.coalesce(F.element_at(pick, F.col("bump")), F.lit(1.0)))
+    tailed = cut(tailed, "tails")
     stays = (F.col("rate") >= 1) | (unit_draw(F.col(key), F.lit(seed), F.lit(-1)) < F.col("rate"))
     old = tailed.filter(stays).select(key, *columns, F.lit("kept").alias("origin"))
 
