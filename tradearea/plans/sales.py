@@ -83,17 +83,22 @@ def channel_weekly(sales: DataFrame, customers: DataFrame) -> DataFrame:
         "channel").distinct().withColumn("week", iso_week(F.col("trans_booked_dt")))
     listed = customers.groupBy("store_nbr", "customer_id").agg(F.count(F.lit(1)).alias("listed"))
     key = ["store_nbr", "week", "channel"]
-    spent = lines.groupBy("customer_id", "week", "channel").agg(F.sum("gross_sales").alias("spent"))
+    per_customer = ["customer_id", "week", "channel"]
+    orders = lines.filter("order_trans_id is not null").select(*per_customer, "order_trans_id").distinct()
+    owners = orders.groupBy("order_trans_id", "week", "channel").agg(
+        F.count(F.lit(1)).alias("owners"), F.min("customer_id").alias("customer_id"))
+    # an order of one customer is counted with that customer; orders of several must stay distinct
+    single = owners.filter("owners = 1").groupBy(*per_customer).agg(F.count(F.lit(1)).alias("orders"))
+    shared = orders.join(owners.filter("owners > 1").drop("customer_id"), ["order_trans_id", "week", "channel"], "left_semi")
+    spent = lines.groupBy(*per_customer).agg(F.sum("gross_sales").alias("spent")).join(single, per_customer, "left")
     people = spent.join(listed, "customer_id").groupBy(*key).agg(
-        F.count(F.lit(1)).alias("customers"),
+        F.count(F.lit(1)).alias("customers"), F.coalesce(F.sum("orders"), F.lit(0)).alias("own_orders"),
         F.sum(F.col("spent") * F.col("listed")).cast("double").alias("gross_sales"))
-    orders = (
-        lines.filter("order_trans_id is not null").select("customer_id", "week", "channel", "order_trans_id").distinct()
-        .join(listed.drop("listed"), "customer_id")
-        .groupBy(*key).agg(F.countDistinct("order_trans_id").alias("transactions"))
-    )
-    return people.join(orders, key, "left").select(
-        *key, "customers", F.coalesce("transactions", F.lit(0)).alias("transactions"), "gross_sales")
+    common = shared.join(listed.drop("listed"), "customer_id").groupBy(*key).agg(
+        F.countDistinct("order_trans_id").alias("common_orders"))
+    return people.join(common, key, "left").select(
+        *key, "customers", (F.col("own_orders") + F.coalesce("common_orders", F.lit(0))).alias("transactions"),
+        "gross_sales")
 
 
 def near_weekly(near: DataFrame, customers: DataFrame, brand: Brand, year: int) -> DataFrame:
