@@ -138,6 +138,28 @@ def test_weekly_counts_with_shared_orders_and_two_addresses(spark):
                    (7, "instore"): (2, 1, 1, 7.0), (8, "instore"): (2, 1, 1, 7.0)}
 
 
+def test_enriched_sales_filters_and_repeated_rows(spark):
+    from tradearea.plans.sales import enriched_sales
+    txn = [(1, 1, 50, "2019-01-02", 9.0, 10.0, "U", "S", "N", 1), (1, 1, 50, "2019-01-02", 9.0, 10.0, "U", "S", "N", 1),
+           (2, 2, 50, "2019-01-02", 9.0, 10.0, "W", "M", "Y", 1), (3, 3, 50, "2019-01-02", 9.0, 10.0, "BAS", "M", "Y", 3),
+           (4, 4, 50, "2019-01-02", 9.0, 10.0, "U", "R", "N", 1), (5, 5, 50, "2019-01-02", 9.0, 10.0, "U", "S", "N", 1)]
+    cols = [f.name for f in T.SALES_TXN.fields]
+    tables = {
+        "sales_txn": spark.createDataFrame(txn, cols).withColumn("trans_booked_dt", F.col("trans_booked_dt").cast("timestamp_ntz")),
+        "customer_txn_xref": spark.createDataFrame([(k, 7) for k in (1, 2, 3, 4)] + [(1, 8), (1, 7), (5, 0)], T.CUSTOMER_TXN_XREF),
+        "customer_curr": spark.createDataFrame(
+            [(7, 70, 71, 1, "N", "N"), (7, 70, 71, 1, "N", "N"), (8, 70, 72, 1, "Y", "N"), (0, 70, 73, 1, "N", "N")], T.CUSTOMER_CURR),
+        "location": spark.createDataFrame([(50, 5, 2, "A", "F", None), (50, 5, 2, "B", "F", None)], T.LOCATION),
+        "direct_marketing_area": spark.createDataFrame([(2, "NORTH")], T.DIRECT_MARKETING_AREA),
+        "location_geo": spark.createDataFrame([(50, 1.0, 2.0)], T.LOCATION_GEO),
+        "mailing_address": spark.createDataFrame([(70, "01", "001", "000001", "p", 1.0, 2.0)] * 2, T.MAILING_ADDRESS),
+    }
+    first = enriched_sales(tables, T.FIRST_BRAND).collect()
+    second = enriched_sales(tables, T.SECOND_BRAND).collect()
+    assert [(r.trans_id, r.customer_id, r.channel, r.week, r.store_nbr) for r in first] == [(1, 7, "instore", 1, 5)]
+    assert [(r.trans_id, r.channel, r.store_dma_name) for r in second] == [(3, "instore", "NORTH")]
+
+
 def test_lifecycle_flags_count_once_per_week_and_end_at_midnight(spark):
     rows = [(1, 1, "2019-01-08 10:00:00", "N", "E", "A"), (1, 2, "2019-01-09 10:00:00", "N", "E", "A"),
             (1, 3, "2019-01-09 11:00:00", "R", "E", "A"), (1, 4, "2019-12-31 00:00:01", "N", "N", "N")]

@@ -11,7 +11,7 @@ SLOTS = 1024
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which NULL keys meet and keys may be an empty list (one global group)."""
+    """Equi-join on the group columns; an empty list means one global group (`right` has one row)."""
     if keys:
         return left.join(right, list(keys), how)
     one = "_all"

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from tradearea.operators.grouped import join_on, quantiles
 from tradearea.operators.tiles import (
@@ -99,7 +99,7 @@ def nearest_within(df: DataFrame, by: Sequence[str], coords: Sequence[str], row:
     `row` is an integer key. Blocks of rows meet in pairs; each tile hands on only its k best per row.
     """
     by = list(by)
-    pts = df.select(*by, F.col(row).cast("double").alias("row"),
+    pts = df.select(*by, F.col(row).cast("long").alias("row"),
                     *[F.col(c).cast("double").alias(f"x{d}") for d, c in enumerate(coords)])
     sizes = pts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     part = F.pmod(F.xxhash64("row"), F.ceil(F.col("_n") / block)).cast("string")
@@ -107,12 +107,13 @@ def nearest_within(df: DataFrame, by: Sequence[str], coords: Sequence[str], row:
     tiles = block_pairs(into_blocks(join_on(pts, sizes, by), by, part, ["row", *xs]), by)
     ready = tiles.select(*by, *field_arrays(tiles, ["row", *xs], ["row", *xs]))
     keep = [*by, "i_row"]
-    out = StructType([ready.schema[c] for c in keep] + [StructField(c, ArrayType(DoubleType())) for c in ("far", "found")])
+    out = StructType([ready.schema[c] for c in keep] + [
+        StructField("far", ArrayType(DoubleType())), StructField("found", ArrayType(LongType()))])
     found = ready.mapInArrow(_nearest(keep, len(coords), k), out)
     flat = found.select(*by, "i_row", F.posexplode(F.arrays_zip("far", "found")).alias("_at", "_p")).select(
-        *by, F.element_at("i_row", (F.floor(F.col("_at") / k) + 1).cast("int")).cast("long").alias("row"),
-        F.col("_p.far").alias("distance"), F.col("_p.found").cast("long").alias("neighbour"),
-    ).filter("neighbour >= 0 and distance < double('infinity')")
+        *by, F.element_at("i_row", (F.floor(F.col("_at") / k) + 1).cast("int")).alias("row"),
+        F.col("_p.far").alias("distance"), F.col("_p.found").alias("neighbour"),
+    ).filter("distance < double('infinity')")
     best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k)
     return flat.groupBy(*by, "row").agg(best.alias("_b")).select(
         *by, "row", F.posexplode("_b").alias("nearest", "_n")).select(

@@ -46,12 +46,12 @@ def list_values(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
 
 
 def with_lists(batch: pa.RecordBatch, keep: Sequence[str], lists: dict[str, list[np.ndarray]]) -> pa.RecordBatch:
-    """The kept columns of a batch plus new list columns of doubles."""
+    """The kept columns of a batch plus new list columns, of whole numbers or doubles as the arrays are."""
     columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
     for arrays in lists.values():
         ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
         flat = np.concatenate(arrays) if arrays else np.empty(0)
-        columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(float))))
+        columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
     return pa.RecordBatch.from_arrays(columns, names=[*keep, *lists])
 
 

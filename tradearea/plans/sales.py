@@ -45,6 +45,8 @@ def enriched_sales(tables: Mapping[str, DataFrame], brand: Brand) -> DataFrame:
     `tables`: sales_txn, customer_txn_xref, customer_curr, location, direct_marketing_area,
     location_geo, mailing_address. Every join is an inner equi-join without a hint: the filters
     reach the scans, and Spark broadcasts a dimension only when its measured size allows it.
+    Repeated rows are removed from each input, since every input column is in the result: the sales
+    are made distinct right after the join that partitions them by transaction, not as wide rows.
     """
     booked = F.col("trans_booked_dt")
     txn = valid_sales(tables["sales_txn"], brand).select(
@@ -53,21 +55,20 @@ def enriched_sales(tables: Mapping[str, DataFrame], brand: Brand) -> DataFrame:
         channel(F.col("ecom_order_source_cd"), brand.instore_sources).alias("channel"),
         F.year(booked).alias("year"), iso_week(booked).alias("week"), F.month(booked).alias("month"))
     people = valid_customers(tables["customer_curr"]).select(
-        "customer_id", "address_id", "mailing_address_id", "household_id")
+        "customer_id", "address_id", "mailing_address_id", "household_id").distinct()
     places = tables["location"].select("location_id", "store_nbr", "dma_cd").distinct()
     markets = tables["direct_marketing_area"].select("dma_cd", F.col("dma_name").alias("store_dma_name")).distinct()
     points = tables["location_geo"].select(
-        "location_id", F.col("latitude_meas").alias("store_latitude"), F.col("longitude_meas").alias("store_longitude"))
+        "location_id", F.col("latitude_meas").alias("store_latitude"), F.col("longitude_meas").alias("store_longitude")).distinct()
     homes = tables["mailing_address"].select(
         "mailing_address_id", *CODES, "postal_cd",
-        F.col("latitude_meas").alias("cust_latitude"), F.col("longitude_meas").alias("cust_longitude"))
+        F.col("latitude_meas").alias("cust_latitude"), F.col("longitude_meas").alias("cust_longitude")).distinct()
     return (
-        txn.join(tables["customer_txn_xref"].select("trans_id", "customer_id"), "trans_id")
+        txn.join(tables["customer_txn_xref"].select("trans_id", "customer_id"), "trans_id").distinct()
         .join(people, "customer_id")
         .join(places, "location_id").join(markets, "dma_cd").join(points, "location_id")
         .join(homes, "mailing_address_id")
         .withColumnRenamed("dma_cd", "store_dma")
-        .distinct()
     )
 
 
