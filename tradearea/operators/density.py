@@ -45,7 +45,8 @@ def collapse(points: DataFrame, by: Sequence[str], coords: Sequence[str], id_col
 def _cells(sites: DataFrame, trials: DataFrame, by: list[str], coords: list[str]) -> DataFrame:
     """Sites once per eps, with cell name, cell weight and the wide cell used to look around."""
     unit = [*by, "eps"]
-    tops = trials.groupBy(*unit).agg(F.max("min_samples").cast("long").alias("top"))
+    tops = trials.groupBy(*unit).agg(
+        F.max("min_samples").alias("top"), F.array_sort(F.collect_set("min_samples")).alias("tries"))
     side = F.col("eps") / sqrt(len(coords)) * SHRINK
     placed = sites.join(tops, by).withColumns({
         **{f"f{i}": F.floor(F.col(c) / side) for i, c in enumerate(coords)},
@@ -61,7 +62,7 @@ def _surroundings(pts: DataFrame, unit: list[str], coords: list[str]) -> DataFra
     wide = [f"g{i}" for i in range(len(coords))]
     loose = pts.filter(~F.col("full")).withColumn("_step", F.explode(_offsets(1, len(coords))))
     loose = loose.select(
-        *unit, "pid", "cell", *coords,
+        *unit, "top", "tries", "pid", "cell", *coords,
         *[(F.col(g) + F.col("_step")[i]).alias(g) for i, g in enumerate(wide)])
     p, q = loose.alias("p"), pts.alias("q")
     same = [F.col(f"p.{c}") == F.col(f"q.{c}") for c in [*unit, *wide]]
@@ -73,12 +74,12 @@ def _surroundings(pts: DataFrame, unit: list[str], coords: list[str]) -> DataFra
         .groupBy(*[F.col(f"p.{c}").alias(c) for c in unit], F.col("p.pid").alias("pid"),
                  F.col("p.cell").alias("cell"), F.col("q.cell").alias("other_cell"),
                  F.when(~F.col("q.full"), F.col("q.pid")).alias("other"))
-        .agg(F.sum("q.w").alias("near_w"))
+        .agg(F.sum("q.w").alias("near_w"), F.any_value("p.top").alias("top"), F.any_value("p.tries").alias("tries"))
     )
 
 
 def _full_pairs(pts: DataFrame, unit: list[str], coords: list[str]) -> DataFrame:
-    """Pairs of full cells with at least one pair of points within eps: (unit, a, b)."""
+    """Pairs of full cells with at least one pair of points within eps: (unit, a, b, level, tries)."""
     dims = range(len(coords))
     fine = [f"f{i}" for i in dims]
     place = F.struct(*coords)
@@ -90,7 +91,7 @@ def _full_pairs(pts: DataFrame, unit: list[str], coords: list[str]) -> DataFrame
     boxes = pts.filter("full").groupBy(*unit, *fine, "cell").agg(
         *[F.min(c).alias(f"lo{i}") for i, c in enumerate(coords)],
         *[F.max(c).alias(f"hi{i}") for i, c in enumerate(coords)],
-        ends.alias("ends"))
+        ends.alias("ends"), F.any_value("top").alias("top"), F.any_value("tries").alias("tries"))
     stepped = boxes.withColumn("_step", F.explode(_offsets(2, len(coords)))).select(
         *unit, *[(F.col(f) + F.col("_step")[i]).alias(f) for i, f in enumerate(fine)],
         F.col("cell").alias("a"), F.col("ends").alias("ends_a"),
@@ -113,14 +114,20 @@ def _full_pairs(pts: DataFrame, unit: list[str], coords: list[str]) -> DataFrame
             for i, c in enumerate(coords))
         inside = pts.filter("full").select(*unit, F.col("cell").alias(cell), *coords)
         return rest.join(inside, [*unit, cell]).filter(F.sqrt(beyond) <= F.col("eps") / SHRINK).select(
-            *unit, "a", "b", *coords)
+            *unit, "a", "b", "top", "tries", *coords)
 
     x, y = facing("a", "lo", "hi").alias("x"), facing("b", "alo", "ahi").alias("y")
     test = distance("x", "y", coords) <= F.col("x.eps")
     for c in [*unit, "a", "b"]:
         test = test & (F.col(f"x.{c}") == F.col(f"y.{c}"))
-    found = x.join(y, test, "left_semi").select(*unit, "a", "b").distinct()
-    return met.filter("sure").select(*unit, "a", "b").unionByName(found)
+    found = x.join(y, test, "left_semi").select(*unit, "a", "b", "top", "tries").distinct()
+    both = met.filter("sure").select(*unit, "a", "b", "top", "tries").unionByName(found)
+    return both.withColumnRenamed("top", "level")
+
+
+def _tried(least: Column, deepest: Column) -> Column:
+    """The tried min_samples above `least` and up to `deepest`, one row each."""
+    return F.explode(F.filter("tries", lambda m: (m > least) & (m <= deepest)))
 
 
 def dbscan_sites(points: DataFrame, trials: DataFrame, by: Sequence[str], coords: Sequence[str],
@@ -144,31 +151,30 @@ def dbscan_sites(points: DataFrame, trials: DataFrame, by: Sequence[str], coords
         F.least("top", F.col("cell_w") + F.coalesce("near_w", F.lit(0))))
     pts = cut(
         pts.join(counts, [*unit, "pid"], "left").withColumn("depth", depth)
-        .select(*unit, "top", "full", "cell", "pid", "w", *coords, "depth",
+        .select(*unit, "top", "tries", "full", "cell", "pid", "w", *coords, "depth",
                 *[f"f{i}" for i in range(len(coords))]), "depth")
 
     # reach: deepest point of a neighbouring cell within eps of the point
     depths = pts.select(*unit, "pid", "depth")
-    reach = F.when(F.col("other").isNull(), F.col("top")).otherwise(F.col("other_depth"))
-    tops = pts.select(*unit, "top").distinct()
-    links = (
-        near.join(tops, unit)
-        .join(depths.select(*unit, F.col("pid").alias("other"), F.col("depth").alias("other_depth")),
-              [*unit, "other"], "left")
-        .groupBy(*unit, "pid", "cell", "other_cell").agg(F.max(reach).alias("reach"))
-        .join(depths, [*unit, "pid"])
-    )
-    links = cut(links, "links")
+    side = [*unit, "pid", "cell", "other_cell", "tries"]
+    to_full = near.filter("other is null").select(*side, F.col("top").alias("reach"))
+    to_point = near.filter("other is not null").join(
+        depths.withColumnsRenamed({"pid": "other", "depth": "reach"}), [*unit, "other"]).select(*side, "reach")
+    links = cut(
+        to_full.unionByName(to_point)
+        .groupBy(*unit, "pid", "cell", "other_cell").agg(F.max("reach").alias("reach"), F.any_value("tries").alias("tries"))
+        .join(depths, [*unit, "pid"]), "links")
+    none = F.lit(0)
     joined = links.groupBy(*unit, F.col("cell").alias("a"), F.col("other_cell").alias("b")).agg(
-        F.max(F.least("depth", "reach")).alias("level"))
-    full = _full_pairs(pts, unit, coords).join(tops, unit).select(*unit, "a", "b", F.col("top").alias("level"))
-    edges = joined.unionByName(full).join(trials, unit).filter("level >= min_samples")
+        F.max(F.least("depth", "reach")).alias("level"), F.any_value("tries").alias("tries"))
+    edges = joined.unionByName(_full_pairs(pts, unit, coords)).select(
+        *unit, "a", "b", _tried(none, F.col("level")).alias("min_samples"))
     roots = connected(edges, trial, "a", "b")
 
     # clusters are numbered by their smallest core id
     firsts = (
-        pts.groupBy(*unit, "cell", "depth").agg(F.min("pid").alias("first"))
-        .join(trials, unit).filter("depth >= min_samples")
+        pts.groupBy(*unit, "cell", "depth").agg(F.min("pid").alias("first"), F.any_value("tries").alias("tries"))
+        .select(*unit, "cell", "first", _tried(none, F.col("depth")).alias("min_samples"))
         .groupBy(*trial, "cell").agg(F.min("first").alias("first"))
         .join(roots.withColumnRenamed("node", "cell"), [*trial, "cell"], "left")
         .withColumn("root", F.coalesce("root", "cell"))
@@ -181,21 +187,21 @@ def dbscan_sites(points: DataFrame, trials: DataFrame, by: Sequence[str], coords
                     [*trial, "root"])
         .select(*trial, "cell", "label"), "celllabels")
 
-    own = pts.select(*unit, "pid", "cell", "depth")
-    core = own.join(trials, unit).filter("depth >= min_samples").join(cell_labels, [*trial, "cell"]).select(
-        *trial, "pid", "label")
+    own = pts.select(*unit, "pid", "cell", "depth", "tries")
+    core = own.select(*unit, "pid", "cell", _tried(none, F.col("depth")).alias("min_samples")).join(
+        cell_labels, [*trial, "cell"]).select(*trial, "pid", "label")
     deepest = pts.groupBy(*unit, "cell").agg(F.max("depth").alias("reach"))
-    beside = links.select(*unit, "pid", "other_cell", "depth", "reach").unionByName(
+    beside = links.select(*unit, "pid", "other_cell", "depth", "reach", "tries").unionByName(
         own.join(deepest, [*unit, "cell"]).filter("depth < reach").select(
-            *unit, "pid", F.col("cell").alias("other_cell"), "depth", "reach"))
+            *unit, "pid", F.col("cell").alias("other_cell"), "depth", "reach", "tries"))
     border = (
-        beside.join(trials, unit).filter("depth < min_samples and reach >= min_samples")
+        beside.select(*unit, "pid", "other_cell", _tried(F.col("depth"), F.col("reach")).alias("min_samples"))
         .join(cell_labels.withColumnRenamed("cell", "other_cell"), [*trial, "other_cell"])
         .groupBy(*trial, "pid").agg(F.min("label").alias("label"))
     )
     labels = core.unionByName(border)
     return (
-        pts.join(trials, unit)
+        pts.withColumn("min_samples", F.explode("tries"))
         .withColumn("core", F.col("depth") >= F.col("min_samples"))
         .select(*trial, *coords, "w", "pid", "core")
         .join(labels, [*trial, "pid"], "left")
