@@ -6,20 +6,22 @@ with probability J; a band of `rows` values agrees with J^rows. With 24 bands of
 J = 0.75 is missed with probability (1 - 0.75^3)^24 = 2e-6.
 
 Documents with equal shingle sets are one class from the start, so a large group of copies costs one
-aggregate. Classes that share a band are candidates. Pairs are never listed inside a band: each band
-offers only pairs with its smallest class. What has joined one component needs no further pair, so
-later rounds look only at bands that still hold several components and take one class of each
-component against the others; after `rounds` such rounds the pairs of different components that are left
-untried are tried one by one, so no candidate link is lost. Every link is confirmed on the full sets.
+aggregate. Classes that share a band are candidates. A class whose shingles are mostly its own can have no
+partner and leaves (an exact bound on what a pair can have in common). Then each band tries all its members
+against one hub, the class with the fewest shingles of its own, on the full sets; bands that still hold several
+components try a second and third hub; what is then left between different components is tried pair by pair, but
+for pairs that the counts already made rule out. So a band with thousands of near copies costs about one
+comparison per member, pairs are never listed inside a band, and no candidate link is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradearea.llm.words import SPACED, Piece, in_row, mix, row_of, shingles, slices
@@ -113,36 +115,61 @@ def fingerprints(docs: DataFrame, key: str, text: str, bands: int, rows: int, wh
     return source.mapInArrow(run, f"key {kind}, text_hash bigint, n_shingles bigint, sum_1 bigint, sum_2 bigint, listed array<bigint>")
 
 
-def _similar(common: Column, a: Column, b: Column, percent: int) -> Column:
-    return 100 * common >= percent * (a + b - common)
+def _possible(common: Column, a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of sizes a and b with `common` shingles in common are similar enough."""
+    return (100 + percent) * common >= percent * (a + b)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) whose full sets are similar enough. Sizes alone rule out many."""
-    near = pairs.filter(_similar(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"), percent))
+def counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) with the number of shingles that their full sets have in common."""
     left = sets.select(F.col("node").alias("a"), F.col("listed").alias("grams_a"))
     right = sets.select(F.col("node").alias("b"), F.col("listed").alias("grams_b"))
-    common = F.size(F.array_intersect("grams_a", "grams_b"))
-    return near.join(right, "b").join(left, "a").filter(
-        _similar(common, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    return pairs.join(right, "b").join(left, "a").select(
+        "a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).cast("bigint").alias("common"))
 
 
-def _members(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Bucket members (band, hash, node, n) with their component, in buckets that still hold several."""
-    named = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = named.groupBy("band", "hash").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter(
-        "_low <> _high").select("band", "hash")
-    return named.join(several, ["band", "hash"])
+def _several(rows: DataFrame, of: str = "node") -> DataFrame:
+    """The rows of buckets that hold several different values of a column."""
+    kept = rows.groupBy("band", "hash").agg(F.min(of).alias("_low"), F.max(of).alias("_high")).filter("_low <> _high").select("band", "hash")
+    return rows.join(kept, ["band", "hash"])
 
 
-def _pairs(members: DataFrame, delegates: DataFrame) -> DataFrame:
-    """Members against the delegates of other components in their bucket, each pair once."""
-    other = delegates.select("band", "hash", F.col("node").alias("_node"), F.col("root").alias("_root"), F.col("n").alias("_n"))
-    met = members.join(other, ["band", "hash"]).filter("root <> _root")
+def hopeful(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Bucket members (band, hash, node, n, s) that may still have a partner in their bucket.
+
+    s counts the shingles of a class that any other candidate has too, so no pair has more in common. A member
+    leaves a bucket if even its smallest partner there of a fitting size would need more. The sizes in a
+    bucket are distinct numbers, few even in a bucket with very many classes.
+    """
+    nodes = buckets.select("node").distinct()
+    own = sets.join(nodes, "node", "left_semi").select("node", F.explode("listed").alias("g"))
+    alone = own.groupBy("g").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("_c")).filter("_c = 1").groupBy("node").agg(
+        F.count(F.lit(1)).alias("_alone"))
+    sizes = buckets.groupBy("band", "hash", "n").agg(F.count(F.lit(1)).alias("_c")).withColumn("_log", F.log("n"))
+    by_size = Window.partitionBy("band", "hash").orderBy("_log")
+    smaller = F.expr("min(n) over (partition by band, hash order by _log range between "
+                     f"{-math.log(percent / 100) + 1e-9!r}D preceding and 1e-12D preceding)")
+    partner = F.coalesce(smaller, F.when(F.col("_c") > 1, F.col("n")), F.lead("n").over(by_size))
+    fits = sizes.select("band", "hash", "n", partner.alias("_m")).filter(F.least("n", "_m") * 100 >= percent * F.greatest("n", "_m"))
+    shared = buckets.drop("s").join(alone, "node", "left").withColumn("s", F.col("n") - F.coalesce("_alone", F.lit(0))).drop("_alone")
+    left = shared.join(fits, ["band", "hash", "n"]).filter(_possible(F.col("s"), F.col("n"), F.col("_m"), percent))
+    return _several(left.select("band", "hash", "node", "n", "s"))
+
+
+def _pairs(rows: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of rows and others of a bucket in different components that may be similar, each once.
+
+    c counts what a member has in common with the first hub of its bucket. Two members have at most the
+    smaller c in common inside the hub, and outside of it at most what either shares with anyone there.
+    """
+    named = others.select("band", "hash", *[F.col(c).alias(f"_{c}") for c in ("node", "root", "n", "s", "c")])
+    most = F.least("c", "_c") + F.least(F.col("s") - F.col("c"), F.col("_s") - F.col("_c"))
+    most = F.least("s", "_s", F.coalesce(most, F.col("s")))
+    met = rows.join(named, ["band", "hash"]).filter(F.col("root") != F.col("_root")).filter(
+        _possible(F.least(F.col("n"), F.col("_n"), most), F.col("n"), F.col("_n"), percent))
     first = F.col("node") < F.col("_node")
     return met.select(
-        F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"),
-        F.when(first, F.col("n")).otherwise(F.col("_n")).alias("n_a"),
+        F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"), F.when(first, F.col("n")).otherwise(F.col("_n")).alias("n_a"),
         F.when(first, F.col("_n")).otherwise(F.col("n")).alias("n_b")).distinct()
 
 
@@ -151,22 +178,41 @@ def class_links(banded: DataFrame, sets_of, percent: int, rounds: int) -> DataFr
 
     `banded` has node, n, band, hash; `sets_of` gives the full sets (node, listed) of some nodes.
     """
-    shared = banded.groupBy("band", "hash").agg(F.min("node").alias("_hub"), F.max("node").alias("_last")).filter("_hub <> _last")
-    buckets = cut(banded.join(shared.select("band", "hash", "_hub"), ["band", "hash"]), "buckets")
-    sizes = cut(buckets.select("node", "n").distinct(), "sizes")
-    sets = cut(sets_of(sizes.select("node")), "sets")
-    stars = buckets.filter("node <> _hub").select(F.col("_hub").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b")).distinct()
-    tried = cut(stars.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a"), "pairs")
-    links = cut(confirmed(tried, sets, percent), "links")
-    tried, buckets = tried.select("a", "b"), buckets.drop("_hub")
+    buckets = cut(_several(banded), "buckets")
+    sets = cut(sets_of(buckets.select("node").distinct()), "sets")
+    for _ in range(2):
+        buckets = cut(hopeful(buckets, sets, percent), "hopeful")
+    # the class with the fewest shingles of its own is the likeliest centre of its bucket
+    hubs = buckets.groupBy("band", "hash").agg(F.min_by("node", F.struct(F.col("n") - F.col("s"), "node")).alias("hub"))
+    buckets = cut(buckets.join(hubs, ["band", "hash"]), "starred")
+    sizes = buckets.select(F.col("node").alias("a"), F.col("n").alias("n_a")).distinct()
+    stars = buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b"), "s").distinct()
+    stars = stars.join(sizes, "a").filter(_possible(F.least("n_a", "s"), F.col("n_a"), F.col("n_b"), percent)).drop("s")
+    tried = cut(counted(stars, sets), "tried")
+    inside = tried.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("common").alias("c"))
+    buckets = cut(buckets.join(inside, ["hub", "node"], "left").withColumn(
+        "c", F.when(F.col("hub") == F.col("node"), F.col("n")).otherwise(F.col("c"))), "members")
+    swap = F.col("a") > F.col("b")
+    tried = tried.select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"),
+        F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"), "common")
+    linked = _possible(F.col("common"), F.col("n_a"), F.col("n_b"), percent)
+    known, links = tried.select("a", "b"), tried.filter(linked).select("a", "b")
     for turn in range(rounds + 1):
         roots = cut(connected(links, [], "a", "b"), "roots")
-        members = cut(_members(buckets, roots), "members")
-        delegates = members if turn == rounds else members.groupBy("band", "hash", "root").agg(
-            F.min_by("node", "node").alias("node"), F.min_by("n", "node").alias("n"))
-        pairs = cut(_pairs(members, delegates).join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(pairs.select("a", "b"))
-        links = links.unionByName(cut(confirmed(pairs, sets, percent), "links"))
+        named = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = named.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("main")), "hub", "left").withColumn("main", F.coalesce("main", "hub"))
+        named = cut(_several(named, "root"), "named")
+        outside = named.filter("root <> main")
+        if turn < rounds:
+            # a second centre among those that the first one did not reach
+            centre = F.min_by(F.struct("node", "root", "n", "s", "c"), F.struct(F.col("n") - F.col("s"), "node")).alias("_x")
+            others = outside.groupBy("band", "hash").agg(centre).select("band", "hash", "_x.*")
+            pairs = _pairs(named, others, percent)
+        else:
+            pairs = _pairs(outside, named, percent)
+        new = cut(counted(pairs.join(known, ["a", "b"], "left_anti"), sets), "tried")
+        known, links = known.unionByName(new.select("a", "b")), links.unionByName(new.filter(linked).select("a", "b"))
     return connected(links, [], "a", "b")
 
 
