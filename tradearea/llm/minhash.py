@@ -156,17 +156,28 @@ def hopeful(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _several(left.select("band", "hash", "node", "n", "s"))
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Bucket members with `keys`: names of all buckets in which their node stands, by band."""
+    name = F.xxhash64("band", "hash")
+    keys = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("band", name.alias("k")))).alias("_k")).select(
+        "node", F.transform("_k", lambda x: x["k"]).alias("keys"))
+    return rows.join(keys, "node")
+
+
 def _pairs(rows: DataFrame, others: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, n_a, n_b) of rows and others of a bucket in different components that may be similar, each once.
 
-    c counts what a member has in common with the first hub of its bucket. Two members have at most the
+    With `keys` a pair is made only in the first bucket that both share. c counts what a member has in common with the first hub of its bucket. Two members have at most the
     smaller c in common inside the hub, and outside of it at most what either shares with anyone there.
     """
-    named = others.select("band", "hash", *[F.col(c).alias(f"_{c}") for c in ("node", "root", "n", "s", "c")])
+    keyed = ["keys"] if "keys" in rows.columns else []
+    named = others.select("band", "hash", *[F.col(c).alias(f"_{c}") for c in ["node", "root", "n", "s", "c", *keyed]])
     most = F.least("c", "_c") + F.least(F.col("s") - F.col("c"), F.col("_s") - F.col("_c"))
     most = F.least("s", "_s", F.coalesce(most, F.col("s")))
     met = rows.join(named, ["band", "hash"]).filter(F.col("root") != F.col("_root")).filter(
         _possible(F.least(F.col("n"), F.col("_n"), most), F.col("n"), F.col("_n"), percent))
+    if keyed:
+        met = met.filter(F.get(F.array_intersect("keys", "_keys"), F.lit(0)) == F.xxhash64("band", "hash"))
     first = F.col("node") < F.col("_node")
     return met.select(
         F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"), F.when(first, F.col("n")).otherwise(F.col("_n")).alias("n_a"),
@@ -210,7 +221,8 @@ def class_links(banded: DataFrame, sets_of, percent: int, rounds: int) -> DataFr
             others = outside.groupBy("band", "hash").agg(centre).select("band", "hash", "_x.*")
             pairs = _pairs(named, others, percent)
         else:
-            pairs = _pairs(outside, named, percent)
+            keyed = cut(_keyed(named), "keyed")
+            pairs = _pairs(keyed.filter("root <> main"), keyed, percent)
         new = cut(counted(pairs.join(known, ["a", "b"], "left_anti"), sets), "tried")
         known, links = known.unionByName(new.select("a", "b")), links.unionByName(new.filter(linked).select("a", "b"))
     return connected(links, [], "a", "b")
