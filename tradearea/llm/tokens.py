@@ -100,7 +100,8 @@ class Automaton:
             while work and lengths[work - 1] < place:
                 work = int(np.searchsorted(-lengths, -place, side="right"))
             inside = lengths[:work] > place
-            symbol = np.where(inside, data[np.where(inside, starts[:work] + place, 0)], END)
+            symbol = np.full(work, END, np.int64)
+            symbol[inside] = data[starts[:work][inside] + place]
             self._step(np.flatnonzero(~bad[:work]), symbol, state, count, bad)
         # what is left is taken off down to the root
         left = np.flatnonzero(~bad & (state > 0))
