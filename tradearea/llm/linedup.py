@@ -20,17 +20,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from tradearea.sources.scratch import cut
 
 MIN_WORDS = 50
-DOC = ["_d", "_h"]
+#: key is known, key, text hash
+DOC = ["_z", "_d", "_h"]
+
+
+def _named(key: Column, kind: DataType) -> tuple[Column, Column]:
+    """Whether there is a key, and the key or a stand-in: neither is null, so joins keep documents without key. They sort first."""
+    return key.isNotNull(), F.coalesce(key, F.lit("0").cast(kind))
 
 
 def numbered_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per line: document (_d, _h), line number, hash and words. Rows that repeat key and text are one document."""
+    """One row per line: document (_z, _d, _h), line number, hash and words. Rows that repeat key and text are one document."""
+    known, name = _named(F.col(key), docs.schema[key].dataType)
     lines = docs.filter(F.col(text).isNotNull()).select(
-        F.col(key).alias("_d"), F.xxhash64(text).alias("_h"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("_p", "_line"))
+        known.alias("_z"), name.alias("_d"), F.xxhash64(text).alias("_h"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("_p", "_line"))
     return lines.select(*DOC, "_p", F.xxhash64("_line").alias("_id"), F.regexp_count("_line", F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("_w"))
 
 
@@ -86,7 +94,7 @@ def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def doomed_lines(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """(_d, _h, _cut): sorted numbers of the lines to delete from each document that loses any."""
+    """(_z, _d, _h, _cut): sorted numbers of the lines to delete from each document that loses any."""
     lines = cut(repeated_lines(numbered_lines(docs, key, text)), "lines")
     lines = cut(islands(lines, min_words), "islands")
     runs = cut(shortest_runs(lines, min_words), "runs")
@@ -141,7 +149,8 @@ def _joined(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     found = doomed_lines(docs, key, text, min_words)
     others = [c for c in docs.columns if c != text]
     own = docs.select(F.struct(*others).alias("_row"), F.split(F.col(text), "\n", -1).alias("_lines"), F.xxhash64(text).alias("_own"))
-    return own.join(found, F.col("_row").getField(key).eqNullSafe(F.col("_d")) & (F.col("_own") == F.col("_h")), "left")
+    known, name = _named(F.col("_row").getField(key), docs.schema[key].dataType)
+    return own.join(found, (known == F.col("_z")) & (name == F.col("_d")) & (F.col("_own") == F.col("_h")), "left")
 
 
 def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
