@@ -28,6 +28,7 @@ from tradearea.llm.words import PLAIN, Piece, row_of, slices
 WINDOW = 10
 SAMPLE = 8
 LIMIT = 16 << 20
+SHARD_BYTES = 4 << 20
 
 
 class Windows:
@@ -198,7 +199,7 @@ def _pass(docs: DataFrame, windows: Windows, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = sent.value
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SHARD_BYTES):
             word, which, (_, _, first) = occurrences(Piece(batch.column(text), lower=True), windows)
             rows = np.searchsorted(first, word, side="right") - 1
             spans = [[] if s is None else s for s in batch.column("_spans").to_pylist()]
