@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks.queries import queries  # noqa: E402
+from tradearea.sources.shipping import ship  # noqa: E402
 
 HEADLINE = (
     "area_features", "trade_area_fixed", "trade_area_closed", "area_overlap_pairs", "forecast_vs_actual_open",
@@ -29,8 +31,10 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "16g")
         # one task per core: inputs here are far below the size at which merging small partitions pays
         .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tradearea-"))
         .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     known, took = queries(), {}
     for name in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(","):
         start = time.time()

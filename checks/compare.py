@@ -6,6 +6,7 @@ python -m checks.compare FOLDER [query ...]
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -50,7 +51,7 @@ def session(cpus: str = "8") -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]").appName("checks")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate())
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tradearea-")).config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

@@ -259,8 +259,8 @@ def sales_pieces(px: str, concept: int, sources: str, extra: str) -> dict[str, s
             join (select r_regionkey as dma_cd, r_name as dma_name from region) g on g.dma_cd = l.dma_cd
             join locgeo p on p.location_id = l.location_id join addr a on a.mailing_address_id = c.mailing_address_id
             where x.concept = {concept} and x.kind in ('S', 'M') and c.customer_id > 0 and c.ghost = 'N' and c.purge = 'N' {extra}""",
-        f"{px}lines": f"""select distinct customer_id, order_trans_id, trans_booked_dt, cast(gross_sales as decimal(18,2)) as gross, channel,
-            weekofyear(trans_booked_dt) as week from {px}sales""",
+        f"{px}lines": f"""select * exclude (gross_sales), cast(gross_sales as decimal(24,6)) as gross from (select distinct customer_id, order_trans_id,
+            trans_booked_dt, gross_sales, channel, weekofyear(trans_booked_dt) as week from {px}sales)""",
         f"{px}weekly": f"""select store_nbr, week, channel, count(distinct customer_id) as customers,
             count(distinct order_trans_id) as transactions, cast(sum(gross) as double) as gross_sales
             from {px}lines join sc using (customer_id) group by 1, 2, 3""",
@@ -279,8 +279,8 @@ def sales_pieces(px: str, concept: int, sources: str, extra: str) -> dict[str, s
             join {px}near using (store_nbr, week) join sinfo using (store_nbr) join season s using (week)""",
         f"{px}wy": f"""select store_nbr, week, channel, count(distinct customer_id) as customers,
             count(distinct order_trans_id) as transactions, cast(sum(gross) as double) as gross_sales
-            from (select distinct customer_id, order_trans_id, trans_booked_dt, cast(gross_sales as decimal(18,2)) as gross, channel,
-              weekofyear(trans_booked_dt) as week from {px}sales_y) join sc using (customer_id) group by 1, 2, 3""",
+            from (select * exclude (gross_sales), cast(gross_sales as decimal(24,6)) as gross from (select distinct customer_id, order_trans_id,
+              trans_booked_dt, gross_sales, channel, weekofyear(trans_booked_dt) as week from {px}sales_y)) join sc using (customer_id) group by 1, 2, 3""",
     }
 
 

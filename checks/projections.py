@@ -62,11 +62,11 @@ class Tables:
     def distance(self) -> DataFrame:
         """Every store with every tract but those whose distance is not known.
 
-        Stores meet tracts through the 25 nations of the tracts, an equi-join on the nation key.
+        Stores meet tracts through the nations, an equi-join on the nation key.
         """
         stores = self.raw("supplier").select(F.col("s_suppkey").alias("store_nbr"), "s_nationkey")
-        nations = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda n: n)
-        near = stores.withColumn("c_nationkey", F.explode(nations)).filter(
+        nations = self.raw("nation").agg(F.sort_array(F.collect_set("n_nationkey")).alias("nations"))
+        near = stores.withColumn("_nations", nations.scalar()).withColumn("c_nationkey", F.explode("_nations")).drop("_nations").filter(
             (F.col("c_nationkey") + F.col("store_nbr")) % 7 != 0)
         tracts = self.blocks().select(
             "c_nationkey", "county", "tract", "fips_state_cd", "fips_county_cd", "census_block_cd").distinct()

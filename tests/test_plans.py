@@ -196,3 +196,10 @@ def test_models(spark):
     from tradearea.operators.models import feature_importance
     top = feature_importance(df, ["a", "b", "c"], "y", numTrees=5, maxDepth=4).collect()
     assert [r.column_name for r in top][:1] == ["a"] and sum(r.importance for r in top) == pytest.approx(1)
+
+
+def test_sales_that_differ_by_less_than_a_cent(spark):
+    sales = spark.sql("""select 1L customer_id, 5L order_trans_id, timestamp'1997-03-04 10:00:00' trans_booked_dt, g gross_sales, 'online' channel
+        from values (10.001D), (10.004D), (10.004D) as t(g)""")
+    customers = spark.createDataFrame([(3, 1)], "store_nbr long, customer_id long")
+    assert S.channel_weekly(sales, customers).first()["gross_sales"] == pytest.approx(20.005)

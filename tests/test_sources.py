@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tradearea import schemas as T
+from tradearea.plans import areas as areas_plan
 from tradearea.sources import readers, writers
 from tradearea.sources.scratch import cut, shared_dir
 
@@ -35,7 +36,8 @@ def test_csv_sources(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     areas = spark.createDataFrame([(1, "06061040200"), (2, "06061040300")], "store_nbr long, geoid string")
     writers.write_areas(areas, f"{tmp_path}/areas", "first")
-    writers.write_areas(areas.filter("store_nbr = 1"), f"{tmp_path}/areas", "closed")
+    for _ in range(2):  # a rerun replaces, it does not double
+        writers.write_areas(areas.filter("store_nbr = 1"), f"{tmp_path}/areas", "closed")
     back = spark.read.parquet(f"{tmp_path}/areas")
     assert sorted((r.brand, r.store_nbr) for r in back.collect()) == [("closed", 1), ("first", 1), ("first", 2)]
     writers.write_forecasts(areas, f"{tmp_path}/fc", "open")
@@ -48,3 +50,24 @@ def test_written_steps_use_the_shared_folder(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     df = cut(spark.range(5).withColumn("x", F.lit("a")))
     assert df.count() == 5 and df.inputFiles()[0].split("://")[-1].replace("file:", "").startswith(shared_dir(spark))
+
+
+def test_params_by_name_and_checked(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("phase_1_best_score,phase_1_minsam,phase_1_eps_val,store_number\n0.67,5,0.3,7\n0.5,4,,8\n")
+    rows = readers.load_params(spark, f"{tmp_path}/p.csv")
+    assert sorted(map(tuple, rows.collect())) == [(7, 0.3, 5, 0.67), (8, None, 4, 0.5)]
+    stores = spark.createDataFrame([(7,), (8,), (9,)], "store_nbr long")
+    assert sorted(r.store_nbr for r in areas_plan.stores_without_params(stores, rows).collect()) == [8, 9]
+    head = "store_number,phase_1_eps_val,phase_1_minsam,phase_1_best_score\n"
+    for name, text in (("bad", head + "7,x,5,0.6\n"), ("twice", head + "7,0.3,5,0.6\n7,0.4,5,0.6\n"), ("lacking", "store_number\n7\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+        with pytest.raises(ValueError):
+            readers.load_params(spark, f"{tmp_path}/{name}.csv")
+
+
+def test_package_archive(tmp_path):
+    import zipfile
+
+    from tradearea.sources.shipping import package_zip
+    names = zipfile.ZipFile(package_zip(f"{tmp_path}/p.zip")).namelist()
+    assert "tradearea/schemas.py" in names and "tradearea/operators/tiles.py" in names and "tradearea/__init__.py" in names

@@ -105,7 +105,7 @@ def scaled_features(features: DataFrame) -> DataFrame:
 def trials_from(params: DataFrame) -> DataFrame:
     return params.select(
         F.col("store_number").alias("store_nbr"), F.col("phase_1_eps_val").alias("eps"),
-        F.col("phase_1_minsam").alias("min_samples"))
+        F.col("phase_1_minsam").alias("min_samples")).filter("eps is not null and min_samples is not null")
 
 
 def stores_without_params(stores: DataFrame, params: DataFrame) -> DataFrame:

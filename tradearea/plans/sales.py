@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tradearea.functions.codes import channel, days_open, fips_normalize, iso_week, near_flags
 from tradearea.schemas import CODES, Brand
 
-MONEY = "decimal(18,2)"
+EXACT = "decimal(24,6)"
 
 
 def area_tracts(areas: DataFrame) -> DataFrame:
@@ -79,9 +79,9 @@ def channel_weekly(sales: DataFrame, customers: DataFrame) -> DataFrame:
     customer and week, so only one row per customer and week meets the stores. A customer listed
     with several addresses in an area counts once in the counts and once per address in the sum.
     """
-    lines = sales.select(
-        "customer_id", "order_trans_id", "trans_booked_dt", F.col("gross_sales").cast(MONEY).alias("gross_sales"),
-        "channel").distinct().withColumn("week", iso_week(F.col("trans_booked_dt")))
+    lines = sales.select("customer_id", "order_trans_id", "trans_booked_dt", "gross_sales", "channel").distinct().withColumns({
+        # after the distinct: two amounts of an order may differ by less than a cent
+        "gross_sales": F.col("gross_sales").cast(EXACT), "week": iso_week(F.col("trans_booked_dt"))})
     listed = customers.groupBy("store_nbr", "customer_id").agg(F.count(F.lit(1)).alias("listed"))
     key = ["store_nbr", "week", "channel"]
     per_customer = ["customer_id", "week", "channel"]
