@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from tradearea.operators.components import connected
 from tradearea.operators.encoding import corr_with, encode, vocabulary
-from tradearea.operators.grouped import quantiles, running_total
+from tradearea.operators.grouped import quantiles, running_total, value_slots
 from tradearea.operators.near import near_group, tiers
 from tradearea.operators.sampling import nearest_within, oversample_tails, tail_of
 from tradearea.operators.scaling import scale_by, unscale
-from tradearea.operators.search import best_params
+from tradearea.operators.search import best_params, dbscan_grid
+from tradearea.operators.silhouette import silhouette_by
 from tradearea.operators.series import forecast_backtest, forecast_monthly, train_tail
 
 
@@ -28,6 +29,44 @@ def test_running_total_and_quantiles_of_one_hot_group(spark):
         assert q[g] == pytest.approx(tuple(want))
 
 
+def test_slots_of_a_heavy_tail(spark):
+    x = np.random.default_rng(8).lognormal(0, 3, 50000)
+    df = spark.createDataFrame([(1, float(v)) for v in x] + [(2, 5.0)] * 3 + [(3, None), (2, None)], "g int, v double")
+    slotted = value_slots(df, ["g"], "v")
+    sizes = [r["count"] for r in slotted.filter("g = 1").groupBy("_slot").count().collect()]
+    assert sum(sizes) == 50000 and max(sizes) < 500
+    spans = sorted((r.lo, r.hi) for r in slotted.filter("g = 1").groupBy("_slot").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))  # slots follow the values
+    assert slotted.filter("g > 1").groupBy("g").agg(F.count("*").alias("n")).collect() and slotted.count() == 50005
+
+
+def test_one_global_group_plans_no_cross_join(spark, capsys):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") * 1.5).alias("v"))
+    for limit in ("-1", "10485760"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            tail_of(df, "v").explain()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        plan = capsys.readouterr().out
+        assert "Scan" in plan or "Range" in plan
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_grid_scores_equal_each_trials_own_score(spark):
+    rng = np.random.default_rng(9)
+    rows = [(g, f"{i:03d}", *map(float, np.round(rng.normal(3 * (i % 2), 0.3, 3), 4))) for g in (1, 2) for i in range(40)]
+    points = spark.createDataFrame(rows, "g int, id string, x double, y double, z double")
+    scores, labels = dbscan_grid(points, ["g"], ["x", "y", "z"], "id", (0.3, 0.6, 0.7, 5.0), (1, 3, 5))
+    want = silhouette_by(labels, ["g", "eps", "min_samples"], ["x", "y", "z"], "label", "pid", weight="w")
+    key = ["g", "eps", "min_samples"]
+    got, want = ({tuple(r[c] for c in key): r for r in df.collect()} for df in (scores, want))
+    assert got.keys() == want.keys() and len(got) == 24
+    for k in got:
+        assert (got[k].clusters, got[k].points) == (want[k].clusters, want[k].points)
+        assert (got[k].score is None) == (want[k].score is None) and (got[k].score is None or got[k].score == pytest.approx(want[k].score, abs=1e-8))
+
+
 def test_components_of_chain_star_and_separate_keys(spark):
     chain = [("x", f"{i:03d}", f"{i + 1:03d}") for i in range(40)]
     star = [("y", "500", f"{i:03d}") for i in range(0, 60, 2)] + [("y", "901", "900")]
@@ -137,3 +176,9 @@ def test_oversampling(spark):
     assert sum(r.y >= 106 for r in kept) == 36 and 50 < len(kept) - 36 < 120
     again = oversample_tails(df.repartition(7), "y", "id", rates={"high": 3.0, "middle": 0.5}, block=3).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, out))
+
+
+def test_oversampling_names_a_null(spark):
+    df = spark.createDataFrame([(i, float(i), None if i == 7 else float(i * i)) for i in range(40)], "id long, x double, y double")
+    with pytest.raises(Exception, match="y is NULL"):
+        oversample_tails(df, "y", "id", coef=0.1).count()

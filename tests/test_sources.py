@@ -71,3 +71,22 @@ def test_package_archive(tmp_path):
     from tradearea.sources.shipping import package_zip
     names = zipfile.ZipFile(package_zip(f"{tmp_path}/p.zip")).namelist()
     assert "tradearea/schemas.py" in names and "tradearea/operators/tiles.py" in names and "tradearea/__init__.py" in names
+
+
+def test_written_steps_go_at_the_end(spark, tmp_path, monkeypatch):
+    from tradearea.sources import scratch
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: str(tmp_path))
+    assert scratch.cut(spark.range(5)).count() == 5 and list(tmp_path.glob("*/step-*"))
+    scratch.clear(spark)
+    assert not list(tmp_path.iterdir())
+
+
+def test_a_cluster_needs_the_shared_folder():
+    from tradearea.sources import scratch
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default=None: "local-cluster[3,2,3000]" if name == "spark.master" else default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Session())

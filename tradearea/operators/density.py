@@ -37,6 +37,12 @@ def _offsets(reach: int, dims: int) -> Column:
     return F.array(*[F.array(*[F.lit(s).cast("long") for s in step]) for step in steps])
 
 
+def _half(reach: int, dims: int) -> Column:
+    """One of each two opposite offsets, and not the middle."""
+    steps = [step for step in product(range(-reach, reach + 1), repeat=dims) if step > (0,) * dims]
+    return F.array(*[F.array(*[F.lit(s).cast("long") for s in step]) for step in steps])
+
+
 def collapse(points: DataFrame, by: Sequence[str], coords: Sequence[str], id_col: str) -> DataFrame:
     """One row per distinct place in a group: weight and smallest id."""
     return points.groupBy(*by, *coords).agg(F.count(F.lit(1)).alias("w"), F.min(id_col).alias("pid"))
@@ -88,15 +94,20 @@ def _full_pairs(pts: DataFrame, unit: list[str], coords: list[str]) -> DataFrame
     ways = [w for w in ways if sum(map(abs, w)) in (1, len(coords))]
     ends = F.array(*[
         F.max_by(place, sum((F.col(c) * s for c, s in zip(coords, way) if s), F.lit(0.0))) for way in ways])
-    boxes = pts.filter("full").groupBy(*unit, *fine, "cell").agg(
+    boxes = cut(pts.filter("full").groupBy(*unit, *fine, "cell").agg(
         *[F.min(c).alias(f"lo{i}") for i, c in enumerate(coords)],
         *[F.max(c).alias(f"hi{i}") for i, c in enumerate(coords)],
-        ends.alias("ends"), F.any_value("top").alias("top"), F.any_value("tries").alias("tries"))
-    stepped = boxes.withColumn("_step", F.explode(_offsets(2, len(coords)))).select(
-        *unit, *[(F.col(f) + F.col("_step")[i]).alias(f) for i, f in enumerate(fine)],
-        F.col("cell").alias("a"), F.col("ends").alias("ends_a"),
+        ends.alias("ends"), F.any_value("top").alias("top"), F.any_value("tries").alias("tries")), "boxes")
+    # only names step to the cells on one side; bounds and end points follow the pairs that met
+    names = boxes.select(*unit, *fine, F.col("cell").alias("_other"))
+    stepped = boxes.select(*unit, *fine, F.col("cell").alias("_own"), F.explode(_half(2, len(coords))).alias("_step")).select(
+        *unit, *[(F.col(f) + F.col("_step")[i]).alias(f) for i, f in enumerate(fine)], "_own")
+    pairs = stepped.join(names, [*unit, *fine]).select(
+        *unit, F.least("_own", "_other").alias("a"), F.greatest("_own", "_other").alias("b"))
+    first = boxes.select(
+        *unit, F.col("cell").alias("a"), F.col("ends").alias("ends_a"),
         *[F.col(f"lo{i}").alias(f"alo{i}") for i in dims], *[F.col(f"hi{i}").alias(f"ahi{i}") for i in dims])
-    met = stepped.join(boxes.withColumnRenamed("cell", "b"), [*unit, *fine]).filter("a < b")
+    met = pairs.join(first, [*unit, "a"]).join(boxes.drop(*fine).withColumnRenamed("cell", "b"), [*unit, "b"])
     gap = sum(
         F.pow(F.greatest(F.col(f"lo{i}") - F.col(f"ahi{i}"), F.col(f"alo{i}") - F.col(f"hi{i}"), F.lit(0.0)), 2)
         for i in dims)
@@ -104,7 +115,7 @@ def _full_pairs(pts: DataFrame, unit: list[str], coords: list[str]) -> DataFrame
         return F.sqrt(sum((x[c] - y[c]) * (x[c] - y[c]) for c in coords))
     sure = F.exists("ends_a", lambda x: F.exists("ends", lambda y: apart(x, y) <= F.col("eps")))
     met = met.filter(F.sqrt(gap) <= F.col("eps") / SHRINK).withColumn("sure", sure)
-    met = cut(met.drop("ends", "ends_a", *fine), "cellpairs")
+    met = cut(met.drop("ends", "ends_a"), "cellpairs")
     # The rest is decided by the points that face the other cell; the search stops at the first hit.
     rest = met.filter(~F.col("sure"))
 

@@ -8,25 +8,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOTS = 1024
+#: borders looked at in one go when a value is routed to its slot
+STRIDE = 32
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on the group columns; an empty list means one global group (`right` has one row)."""
+    """Equi-join on the group columns; an empty list means one global group.
+
+    Then `right` has at most one row, which is read as a scalar: no join is planned, every row of `left` stays, and a
+    second row of `right` is an error.
+    """
     if keys:
         return left.join(right, list(keys), how)
-    one = "_all"
-    return left.withColumn(one, F.lit(1)).join(right.withColumn(one, F.lit(1)), [one], how).drop(one)
+    row = right.select(F.struct(*right.columns).alias("_row")).scalar()
+    return left.withColumn("_row", row).select(*left.columns, "_row.*")
 
 
 def value_slots(df: DataFrame, by: Sequence[str], order: str, slots: int = SLOTS) -> DataFrame:
-    """Add `_slot`: the position of a number in its group's range, cut into equal steps."""
-    span = df.groupBy(*by).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    share = F.try_divide(F.col(order) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    return (
-        join_on(df, span, by)
-        .withColumn("_slot", F.coalesce(F.floor(share * slots), F.lit(0)))
-        .drop("_lo", "_hi")
-    )
+    """Add `_slot`: how many of the group's approximate quantiles lie below a number.
+
+    The quantiles only route rows, so their error moves borders and no result; a heavy tail does not
+    fill one slot as equal steps would. Every STRIDE-th border is tried first, then those after it.
+    """
+    borders = df.groupBy(*by).agg(F.array_distinct(F.percentile_approx(
+        order, [i / slots for i in range(1, slots)], 4 * slots)).alias("_borders"))
+    heads = F.filter("_borders", lambda b, i: i % STRIDE == 0)
+
+    def below(values: Column) -> Column:
+        return F.size(F.filter(values, lambda b: b < F.col(order)))
+
+    routed = join_on(df, borders.withColumn("_heads", heads), by).withColumn("_head", F.greatest(below(F.col("_heads")) - 1, F.lit(0)))
+    near = F.slice("_borders", F.col("_head") * STRIDE + 1, F.lit(STRIDE))
+    return routed.withColumn(
+        "_slot", F.coalesce(F.col("_head") * STRIDE + below(near), F.lit(0)).cast("long")).drop("_borders", "_heads", "_head")
 
 
 def running_total(df: DataFrame, by: Sequence[str], order: str, sums: Mapping[str, str],
@@ -36,7 +50,7 @@ def running_total(df: DataFrame, by: Sequence[str], order: str, sums: Mapping[st
     `sums` maps output names to summed columns. Rows are ordered in two levels: totals per slot
     (few rows per group) give each slot its start, and inside a slot a window adds the rest, so a
     group of any size is spread over its slots. `slot` must not decrease with `order`; the default
-    cuts the numeric range of the group into equal steps.
+    routes numbers by approximate quantiles of the group.
     """
     by = list(by)
     slotted = value_slots(df, by, order) if slot is None else df.withColumn("_slot", slot)

@@ -128,11 +128,17 @@ def oversample_tails(df: DataFrame, y: str, key: str, k: int = 3, coef: float =
     A tail row yields rate - 1 new rows, each on the line to one of its k nearest rows in the same
     tail at a drawn position; the new target is the mean of both targets weighted by nearness. Rows
     of the middle stay with probability `rate`. `key` is a unique integer; draws hash it, so a
-    repeated or re-partitioned run gives the same rows. `rates` overrides the computed rates.
+    repeated or re-partitioned run gives the same rows. `rates` overrides the computed rates. A NULL in
+    any column is an error that names the column.
     Result: the columns of df plus `origin` ('kept' or 'made'); made rows repeat their base row's key.
     """
     columns = [c for c in df.columns if c != key]
-    tailed = tail_of(df, y, coef, thres)
+
+    def known(name: str) -> Column:
+        return F.when(F.col(name).isNotNull(), F.col(name)).otherwise(
+            F.raise_error(F.lit(f"{name} is NULL")).cast(df.schema[name].dataType)).alias(name)
+
+    tailed = tail_of(df.select(*[known(c) for c in df.columns]), y, coef, thres)
     if rates is None:
         tailed = cut(tailed, "bumps")
         wanted = bump_rates(tailed).select("bump", "rate")

@@ -27,12 +27,24 @@ def grid_trials(groups: DataFrame, by: Sequence[str], eps: Sequence[float] = EPS
 def dbscan_grid(points: DataFrame, by: Sequence[str], coords: Sequence[str], id_col: str,
                 eps: Sequence[float] = EPS_VALUES,
                 min_samples: Sequence[int] = MIN_SAMPLES_VALUES) -> tuple[DataFrame, DataFrame]:
-    """(scores, site labels) of every trial in every group; a trial without a valid score has NULL."""
-    by = list(by)
+    """(scores, site labels) of every trial in every group; a trial without a valid score has NULL.
+
+    Many trials give the same labelling. Each labelling of a group is scored once, in its first trial; two hash
+    sums over all its labels (128 bits together) tell labellings apart.
+    """
+    by, trial = list(by), [*by, "eps", "min_samples"]
     trials = grid_trials(points, by, eps, min_samples)
     labels = cut(dbscan_sites(points, trials, by, coords, id_col), "grid")
-    scores = silhouette_by(labels, [*by, "eps", "min_samples"], coords, "label", "pid", weight="w")
-    return scores.withColumn("score", F.round("score", SCORE_DIGITS)), labels
+    named = cut(labels.groupBy(*trial).agg(
+        F.sum(F.xxhash64("pid", "label").cast("decimal(38,0)")).alias("_sum"),
+        F.bit_xor(F.xxhash64(F.lit("x"), "label", "pid")).alias("_xor")), "labellings")
+    same = [*by, "_sum", "_xor"]
+    first = named.groupBy(*same).agg(F.min(F.struct("eps", "min_samples")).alias("_first"))
+    once = labels.join(first.select(*by, "_first.*"), trial, "left_semi")
+    scored = silhouette_by(once, trial, coords, "label", "pid", weight="w").withColumn("score", F.round("score", SCORE_DIGITS))
+    of_first = scored.withColumn("_first", F.struct("eps", "min_samples")).drop("eps", "min_samples")
+    scores = named.join(first, same).join(of_first, [*by, "_first"])
+    return scores.select(*trial, "score", "clusters", "points"), labels
 
 
 def best_params(scores: DataFrame, by: Sequence[str]) -> DataFrame:
