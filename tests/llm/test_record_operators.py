@@ -85,3 +85,90 @@ def test_licenses(spark):
     assert len(got) == len(rows)
     for r in got:
         assert (r["n_sentences"], r["sentence_ids"], r["licenses"]) == brute_licenses(dict(rows)[r["doc_id"]])
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+BSD_2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES."""
+BSD_3 = BSD_2.replace("THIS SOFTWARE IS", """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS""")
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+def unwrapped(text):
+    return "\n\n".join(re.sub(r"\s+", " ", p) for p in text.split("\n\n"))
+
+
+def test_published_notices(spark):
+    notices = {"MIT": MIT, "GPL-3.0-or-later": GPL, "BSD-2-Clause": BSD_2, "BSD-3-Clause": BSD_3, "Apache-2.0": APACHE}
+    rows = []
+    for name, notice in notices.items():
+        rows += [(name, notice), (name, unwrapped(notice)), (name, re.sub(r"\s+", " ", notice)), (name, notice.replace("\n", "\r\n")),
+                 (name, "Copyright (c) 2020 Someone\n" + notice), (name, "/*\n" + notice + "\n */\nint x;")]
+        rows += [(name, "".join(f"{mark}{line}\n" for line in notice.split("\n"))) for mark in ("# ", "// ", " * ", ";; ", "-- ", "    ", "dnl ")]
+    rows += [("BSD-3-Clause", BSD_3.replace("the copyright holder nor", holder + " nor")) for holder in ("Google Inc.", "the University", "ACME, Ltd. of\n   Town")]
+    rows += [("BSD-2-Clause", BSD_2.replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE AUTHOR")),
+             ("GPL-3.0-or-later", GPL.replace("software:", "software;").replace("Foundation,", "Foundation;")), ("GPL-3.0-or-later", GPL.replace("This program", "Foo")),
+             ("MIT,GPL-3.0-or-later", MIT + "\n\n" + GPL), ("Apache-2.0", APACHE.replace("\n\n", "\n")), ("Apache-2.0", re.sub(r"\s+", " ", APACHE).replace("http:", "https:"))]
+    # no whole sentence, or none that stands alone
+    rows += [("", MIT.split(", including")[0]), ("", "We say: not " + re.sub(r"\s+", " ", APACHE.split(";")[0]) + " today"), ("", MIT.replace("\n", "\n\n"))]
+    got = licenses.recognised(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    for r in got:
+        name, text = rows[r["doc_id"]]
+        assert set(r["licenses"]) == set(filter(None, name.split(","))), (name, text, r["sentence_ids"])
+        assert r["n_sentences"] == brute_licenses(text)[0]

@@ -1,21 +1,32 @@
 """Licence recognition by sentences: known sentences become numbers, and rules are ordered lists of numbers.
 
-A text is cut into sentences, each is normalised (lower case, letters and digits, single blanks) and looked up
-among the known ones. The numbers found, in order, are read by the rules from the first to the last: where a
-rule's list stands without another known sentence between, the licence is recognised and its sentences are used up.
-Longer rules stand before shorter ones, so a whole notice is not also reported as its parts.
+A text is normalised (lower case, letters and digits, single blanks) and known sentences are searched that fill
+the room between two sentence ends. A line feed is such an end, but a known sentence may also run over single line
+feeds and the comment marks after them, so hard-wrapped notices are found like unwrapped ones. The numbers found,
+in order, are read by the rules from the first to the last: where a rule's list stands without another known
+sentence between, the licence is recognised and its sentences are used up. Longer rules stand before shorter ones,
+so a whole notice is not also reported as its parts. BSD sentences are known with any holder's name (`NAMED`).
+
+The DuckDB statement looks sentences up line by line and without other holders; there it finds less.
 
 One row per document is all it takes: a projection without shuffle, of built-in functions only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: known sentences, normalised; the number is the place in the list, from 1 on
+_UNLESS = "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
+_COPY = "you may obtain a copy of the license at"
+_REDISTRIBUTE = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+_LATER = "either version 3 of the license or at your option any later version"
+_ENDORSE = "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_DISCLAIMED = "as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+
+#: known sentences, normalised, whole up to the next mark; the number is the place in the list, from 1 on
 SENTENCES: tuple[str, ...] = (
     "this work is licensed under the gnu general public license version 3",
     "licensed under cc by nc 4 0",
@@ -23,22 +34,22 @@ SENTENCES: tuple[str, ...] = (
     "licensed under the apache license version 2 0",
     "licensed under the apache license version 2 0 the license",
     "you may not use this file except in compliance with the license",
-    "you may obtain a copy of the license at",
-    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    _COPY,
+    _UNLESS,
     "see the license for the specific language governing permissions and limitations under the license",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "the software is provided as is without warranty of any kind express or implied",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "this program is free software",
-    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-    "either version 3 of the license or at your option any later version",
+    _REDISTRIBUTE,
+    _LATER,
     "this program is distributed in the hope that it will be useful but without any warranty",
     "you should have received a copy of the gnu general public license along with this program",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "this software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed",
+    f"neither the name of the copyright holder {_ENDORSE}",
+    f"this software is provided by the copyright holders and contributors {_DISCLAIMED}",
     "this work is licensed under a creative commons attribution 4 0 international license",
     "licensed under cc by 4 0",
     "licensed under cc by sa 4 0",
@@ -47,16 +58,31 @@ SENTENCES: tuple[str, ...] = (
     "spdx license identifier apache 2 0",
     "spdx license identifier gpl 3 0 or later",
     "all rights reserved",
+    # the same notices with other marks, and with the address of the licence in the line
+    f"{_REDISTRIBUTE} {_LATER}",
+    f"{_COPY} http www apache org licenses license 2 0",
+    f"{_COPY} https www apache org licenses license 2 0",
+    f"{_COPY} http www apache org licenses license 2 0 {_UNLESS}",
+    f"{_COPY} https www apache org licenses license 2 0 {_UNLESS}",
 )
 
+#: sentences with any name between a beginning and an end, and the number that they stand for
+NAMED: dict[int, tuple[str, str]] = {21: ("neither the name of", _ENDORSE), 22: ("this software is provided by", _DISCLAIMED)}
+
 #: licence and its sentences, in the order in which the rules are tried
 RULES: tuple[tuple[str, tuple[int, ...]], ...] = (
     ("Apache-2.0", (5, 6, 7, 8, 9)),
+    ("Apache-2.0", (5, 6, 32, 8, 9)),
+    ("Apache-2.0", (5, 6, 33, 8, 9)),
+    ("Apache-2.0", (5, 6, 34, 9)),
+    ("Apache-2.0", (5, 6, 35, 9)),
     ("GPL-3.0-or-later", (13, 14, 15, 16, 17)),
+    ("GPL-3.0-or-later", (13, 31, 16, 17)),
     ("BSD-3-Clause", (18, 19, 20, 21, 22)),
     ("BSD-2-Clause", (18, 19, 20, 22)),
     ("MIT", (10, 11, 12)),
     ("GPL-3.0-or-later", (13, 14, 15)),
+    ("GPL-3.0-or-later", (13, 31)),
     ("MIT", (10, 11)),
     ("GPL-3.0-only", (1,)),
     ("CC-BY-NC-4.0", (2,)),
@@ -70,11 +96,13 @@ RULES: tuple[tuple[str, tuple[int, ...]], ...] = (
     ("MIT", (27,)),
     ("Apache-2.0", (28,)),
     ("GPL-3.0-or-later", (29,)),
+    ("GPL-3.0-or-later", (31,)),
     ("All-Rights-Reserved", (30,)),
 )
 
 #: a sentence ends at a line feed, or at one of these marks before white space or the end
-ENDS = r"\n|[.;:!?]+(?=[\x20\x09-\x0D]|$)"
+MARKS = r"[.;:!?]+(?=[\x20\x09-\x0D]|$)"
+ENDS = r"\n|" + MARKS
 
 
 def sentences(text: Column) -> Column:
@@ -83,10 +111,41 @@ def sentences(text: Column) -> Column:
     return F.filter(cleaned, lambda s: s != "")
 
 
-def known(found: Column, sentences_: Sequence[str] = SENTENCES) -> Column:
-    """The numbers of the known sentences, in order."""
+def marked(text: Column) -> Column:
+    """The normalised text with H at a mark or an empty line, S at a single line feed, and no blanks beside them.
+
+    Whatever stands before the first letter or digit of a line, comment marks above all, goes with the line feed.
+    No upper-case letter is left of the text itself.
+    """
+    out = F.lower(text)
+    for pattern, put in ((r"(^|\n)[^a-z0-9\n]+", "$1"), (r"(^|\n)(?:dnl|rem)[\x20\x09]+", "$1"), (MARKS, "H"), (r"\n\n+", "H"), (r"\n", "S"),
+                         ("[^a-z0-9HS]+", " "), (" ?([HS]) ?", "$1")):
+        out = F.regexp_replace(out, pattern, put)
+    return F.trim(out)
+
+
+def _signs(sentences_: Sequence[str]) -> list[str]:
+    """Few words, of which each sentence holds at least one."""
+    left, signs = set(sentences_), []
+    while left:
+        words = sorted({w for s in left for w in s.split(" ")})
+        signs.append(max(words, key=lambda w: (sum(w in s.split(" ") for s in left) * (len(w) > 5), len(w))))
+        left = {s for s in left if signs[-1] not in s.split(" ")}
+    return signs
+
+
+def known(text: Column, sentences_: Sequence[str] = SENTENCES, named: Mapping[int, tuple[str, str]] = NAMED) -> Column:
+    """The numbers of the known sentences of a text, in order; of several from one place the longest."""
     names = F.create_map(*[F.lit(x) for i, s in enumerate(sentences_) for x in (s, i + 1)])
-    return F.filter(F.transform(found, lambda s: F.try_element_at(names, s)), lambda n: n.isNotNull())
+    gap = "[ S]"
+    any_name = [a.replace(" ", gap) + gap + "(?:[a-z0-9]+[ HS]{1,2}){1,12}?" + b.replace(" ", gap) for a, b in named.values()]
+    whole = [s.replace(" ", gap) for s in sorted(sentences_, key=len, reverse=True)]
+    found = F.regexp_extract_all(marked(text), F.lit(f"(?<![a-z0-9 ])(?:{'|'.join(whole + any_name)})(?![a-z0-9 ])"), F.lit(0))
+    # a text without any of the words that sentences are made of needs no search
+    signs = _signs([*sentences_, *(f"{a} {b}" for a, b in named.values())])
+    found = F.when(F.lower(text).rlike("|".join(signs)), found).otherwise(F.array().cast("array<string>"))
+    number = lambda s: F.coalesce(F.try_element_at(names, s), *[F.when(s.startswith(a + " "), F.lit(n)) for n, (a, _) in named.items()])
+    return F.transform(found, lambda s: number(F.translate(s, "S", " ")))
 
 
 def as_text(numbers: Column) -> Column:
@@ -102,11 +161,12 @@ def recognised(docs: DataFrame, key: str = "doc_id", text: str = "text", rules:
                sentences_: Sequence[str] = SENTENCES) -> DataFrame:
     """One row per row of docs: key, n_sentences, n_known, sentence_ids, matches (map of rule number to times), licenses.
 
-    `licenses` are the distinct names in the order of the rules. Null and empty texts have no sentences. Rows that
+    `licenses` are the distinct names in the order of the rules. n_sentences counts each line of a wrapped sentence. Null and empty texts have no sentences. Rows that
     repeat a document are answered row by row; other columns are passed over.
     """
-    out = docs.select(F.col(key), sentences(F.coalesce(F.col(text), F.lit(""))).alias("_found")).select(
-        F.col(key), F.size("_found").cast("bigint").alias("n_sentences"), known(F.col("_found"), sentences_).alias("sentence_ids"))
+    source = F.coalesce(F.col(text), F.lit(""))
+    out = docs.select(F.col(key), F.size(sentences(source)).cast("bigint").alias("n_sentences"),
+                      known(source, sentences_, NAMED if sentences_ is SENTENCES else {}).alias("sentence_ids"))
     out = out.withColumns({"n_known": F.size("sentence_ids").cast("bigint"), "_left": as_text(F.col("sentence_ids"))})
     hits: list[Column] = []
     left = F.col("_left")
