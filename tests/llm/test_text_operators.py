@@ -103,6 +103,20 @@ def test_near_duplicates(spark, docs):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_groups_that_share_an_id(spark):
+    """One id with unrelated texts, wordless ones among them: one row of each group stays, not one of each id."""
+    word = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    a, b, c = word("a"), word("b"), word("c")
+    rows = [(5, a), (5, b), (12, b), (9, a + " more"), (7, c), (7, None), (7, ""), (7, None), (8, c), (5, b), (6, None), (None, a)]
+    rows += [(5, word(f"t{i}x")) for i in range(30)]
+    table = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "doc_id long, text string, root long")
+    left = minhash.one_per_group(table)
+    assert left.columns == table.columns
+    want = {(5, a), (5, b), (7, c), (7, None), (7, ""), (6, None), (None, a)} | {(5, word(f"t{i}x")) for i in range(30)}
+    got = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_families_of_near_copies(spark):
     """Copies with few and with many edits, chains, and unrelated texts that share a passage."""
     rng = np.random.default_rng(5)

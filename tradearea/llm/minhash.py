@@ -230,7 +230,11 @@ def class_links(banded: DataFrame, sets_of, percent: int, rounds: int) -> DataFr
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT,
                bands: int = BANDS, rows: int = BAND_ROWS, rounds: int = 2) -> DataFrame:
-    """One row per row of docs: key, text_hash, n_shingles, component_id."""
+    """One row per row of docs: key, text_hash, n_shingles, component_id, _root.
+
+    _root numbers the group; groups that share their smallest key share component_id only. It is null for
+    rows without a key or without words.
+    """
     prints = cut(fingerprints(docs, key, text, bands, rows), "prints")
     known = prints.filter("key is not null and n_shingles > 0")
     # written at once, so the running number is a lasting name of the class
@@ -247,10 +251,11 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     roots = class_links(banded, sets_of, percent, rounds)
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("head").alias("component_id"))
-    found = rooted.join(lowest, "root").select(*SAME, "component_id")
+    found = rooted.join(lowest, "root").select(*SAME, "component_id", F.col("root").alias("_root"))
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("key"))
     return prints.join(found, SAME, "left").select(
-        F.col("key").alias(key), "text_hash", "n_shingles", F.when(F.col("key").isNotNull(), component).alias("component_id"))
+        F.col("key").alias(key), "text_hash", "n_shingles", F.when(F.col("key").isNotNull(), component).alias("component_id"),
+        F.when(F.col("key").isNotNull(), F.col("_root")).alias("_root"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
@@ -260,18 +265,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     either: their component is null and they are kept. Rows that repeat a key are documents of their own,
     each with the component of its text. Other columns of docs are passed over; empty tables give no rows.
     """
-    return components(docs, key, text, **options).drop("text_hash").withColumn(
+    return components(docs, key, text, **options).drop("text_hash", "_root").withColumn(
         "kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
 
 
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
     """docs with one row of each group left, all columns as they were: of the smallest key the smallest text hash.
 
-    Of rows that repeat key and text one stays. Rows without a key all stay.
+    Rows without words are in no group and stay, and so do groups that have their smallest key in common. Of
+    rows that repeat key and text one stays. Rows without a key all stay.
     """
-    found = components(docs, key, text, **options).filter(F.col(key).isNotNull())
-    stay = cut(found.groupBy("component_id").agg(F.min(F.struct(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"))).alias("_s")).select(
-        "_s._key", "_s._hash"), "stay")
+    found = cut(components(docs, key, text, **options).filter(F.col(key).isNotNull()), "found")
+    named_hash = F.struct(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"))
+    first = found.filter("_root is not null").groupBy("_root").agg(F.min(named_hash).alias("_s")).select("_s._key", "_s._hash")
+    wordless = found.filter("_root is null").select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"))
+    stay = cut(first.unionByName(wordless).distinct(), "stay")
     named = docs.withColumn("_own", F.xxhash64(F.col(text).cast("string")))
     left = named.join(stay, (F.col(key) == F.col("_key")) & (F.col("_own") == F.col("_hash")), "left_semi")
     twice = found.groupBy(key, "text_hash").count().filter("count > 1")
