@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradearea.llm import chat, decontam, licenses, linedup, minhash, mixing, quality, rules, tokens, warc
+from tradearea.llm import bwt, chat, decontam, licenses, linedup, manifest, minhash, mixing, quality, rules, tokens, trie, warc
+from tradearea.sources.scratch import cut
 
 PLANTED_CHAT = ("conv_id", "turn", "role", "text"), [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -79,8 +80,39 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, folder, "documents"))
 
 
+def op11_bwt(spark: SparkSession, folder: str) -> DataFrame:
+    found = bwt.without_repeats(_read(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _crc(number: F.Column) -> F.Column:
+    """CRC-32 of a number's decimal digits."""
+    return F.crc32(number.cast("string").cast("binary"))
+
+
+def op12_rows(turns: DataFrame) -> DataFrame:
+    own = cut(trie.sequences(turns), "conversations")
+    heads = F.pmod(_crc(F.col("conv_id")), F.lit(9)).cast("int")
+    return trie.prefix_trie(trie.rebuilt(own, F.col("conv_id") - F.col("conv_id") % 5, heads))
+
+
+def op12_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return op12_rows(_read(spark, folder, "conversations"))
+
+
+def tampered() -> F.Column:
+    """The text as the check's tampering leaves it: A-Z in lower case where 5 divides the CRC-32 of doc_id."""
+    text = F.col("text")
+    return F.when(F.coalesce(_crc(F.col("doc_id")) % 5 == 0, F.lit(False)), F.translate(text, _UPPER, _LOWER)).otherwise(text)
+
+
+def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.verified(manifest.manifest(_read(spark, folder, "documents"), altered=tampered()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_licenses, op3_warc, op4_chat, op5_tokens, op6_linedup, op7_mixing, op8_decontamination, op9_rules, op10_minhash)}
+    f.__name__: f for f in (op1_quality, op2_licenses, op3_warc, op4_chat, op5_tokens, op6_linedup, op7_mixing, op8_decontamination, op9_rules, op10_minhash, op11_bwt, op12_trie, op13_manifest)}
 
 
 def _quoted(text: str) -> str:
@@ -185,6 +217,96 @@ m as (select node, min(root) as root from r group by 1)
 select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(m.root, d.doc_id) as component_id, coalesce(m.root, d.doc_id) = d.doc_id as kept
 from d left join n on d.doc_id = n.doc_id left join m on d.doc_id = m.node"""
 
+#: CRC-32 of a number's decimal digits: a digit is mixed in, then eight shifts (-1) follow
+_CRC_SQL = ("list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split({0}::varchar, ''), lambda c: "
+            "[ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end)")
+
+
+def _crc_sql(number: str) -> str:
+    return f"xor({_CRC_SQL.format(number)}, 4294967295)"
+
+
+_BWT_SQL = f"""
+with d as (select doc_id, hex(coalesce(text, '')) as h, strlen(coalesce(text, '')) as n from documents),
+x as (select doc_id, j, substr(h, 2 * j + 1, {2 * (256 + bwt.LENGTH)}) as part, least(256, n - j - {bwt.LENGTH - 1}) as starts from (
+  select doc_id, h, n, unnest(range(0, n - {bwt.LENGTH - 1}, 256)) as j from d)),
+w as (select doc_id, j + k as i, substr(part, 2 * k + 1, {2 * bwt.LENGTH}) as s from (select doc_id, j, part, unnest(range(0, starts)) as k from x)),
+m as (select s, min(doc_id) as first_id from w group by 1),
+hit as (select doc_id, i from w join m on w.s = m.s where first_id < doc_id),
+b as (select *, case when i <= lag(i) over (partition by doc_id order by i) + {bwt.LENGTH} then 0 else 1 end as opens from hit),
+g as (select *, sum(opens) over (partition by doc_id order by i) as island from b),
+sp as (select doc_id, island, min(i) as a, max(i) + {bwt.LENGTH} as e from g group by 1, 2),
+pc as (select sp.doc_id, a, e, substr(h, 2 * lag(e, 1, 0) over (partition by sp.doc_id order by a) + 1, 2 * (a - lag(e, 1, 0) over (partition by sp.doc_id order by a))) as piece from sp join d on d.doc_id = sp.doc_id),
+k as (select doc_id, string_agg(piece, '' order by a) as kept, max(e) as last_end, count(*) as n_spans, sum(e - a) as n_removed from pc group by 1)
+select d.doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last_end, 0) + 1))) as kept_sha256
+from d left join k on d.doc_id = k.doc_id"""
+
+_TRIE_SQL = f"""
+with t as (select conv_id, coalesce(role, '') as r, coalesce(text, '') as x,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 5 as base, {_crc_sql("conv_id")} % 9 as h from (select distinct conv_id from conversations where conv_id is not null)),
+heads as (select base, h from (select distinct base from c), (select unnest(range(0, 9)) as h)),
+n_head as (select heads.base, heads.h, count(t.i) as n from heads left join t on t.conv_id = heads.base and t.i <= heads.h group by 1, 2),
+re as (select c.conv_id, t.i as i, r, x from c join t on t.conv_id = c.base and t.i <= c.h
+  union all select c.conv_id, t.i - c.h + n as i, r, x from c join n_head on n_head.base = c.base and n_head.h = c.h join t on t.conv_id = c.conv_id and t.i > c.h),
+p0 as (select conv_id, i, strlen(x) as size, strlen(r) || ':' || strlen(x) || ':' || r || x as said from re),
+p as (select conv_id, i as depth, size, sha256(string_agg(said, '|') over (partition by conv_id order by i)) as name from p0
+  union all select conv_id, 0, 0, 'root' from c),
+l as (select conv_id, max(depth) as len from p group by 1),
+e as (select p.name, string_agg(l.conv_id::varchar, ',' order by l.conv_id) as ids from l join p on p.conv_id = l.conv_id and p.depth = l.len group by 1),
+node as (select name, any_value(depth) as depth, min(conv_id) as rep, count(*) as n_convs, any_value(size) as size from p group by 1),
+up as (select node.name, rep, node.depth, n_convs, node.size, p.name as above from node left join p on p.conv_id = node.rep and p.depth = node.depth - 1),
+kids as (select above, count(*) as n_children from up where above is not null group by 1),
+full_up as (select up.*, coalesce(n_children, 0) as n_children from up left join kids on kids.above = up.name),
+tree as (select p.name as top, sum(case when n_children = 0 then 1 else 0 end) as n_leaves, sum((n_convs - 1) * f.size) as saved
+  from full_up f join p on p.conv_id = f.rep and p.depth <= f.depth group by 1)
+select f.rep as conv_id, cast(f.depth as bigint) as depth, parent.rep as parent_conv_id, f.n_convs, f.n_children, cast(n_leaves as bigint) as n_leaves,
+  cast(saved as bigint) as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from full_up f left join node parent on parent.name = f.above join tree on tree.top = f.name left join e on e.name = f.name"""
+
+
+def _merkle_sql(levels: int = 6, upper: int = 3) -> str:
+    """Six levels of sixteen hold 16 million leaves a source, three 4,096 sources."""
+    def said(c: str) -> str:
+        return f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join([said('doc_id'), said('source'), said('lang'), said('n_chars'), said(text)])})"
+
+    changed = f"case when {_crc_sql('doc_id')} % 5 = 0 then translate(text, '{_UPPER}', '{_LOWER}') else text end"
+    steps = [f"""l0 as (select coalesce('=' || source, '') as g, doc_id, {leaf('text')} as h, {leaf('(' + changed + ')')} as checked,
+  row_number() over (partition by source order by doc_id nulls first) - 1 as pos, count(*) over (partition by source) as n from documents)"""]
+
+    def climb(name: str, count: int) -> None:
+        for k in range(1, count + 1):
+            steps.append(f"""{name}{k} as (select g, pos // 16 as pos, (any_value(n) + 15) // 16 as n,
+  case when any_value(n) = 1 then any_value(h) else sha256(string_agg(h, '' order by pos)) end as h from {name}{k - 1} group by g, pos // 16)""")
+
+    climb("l", levels)
+    steps.append(f"u0 as (select '' as g, g as of, h, row_number() over (order by g) - 1 as pos, count(*) over () as n from l{levels})")
+    climb("u", upper)
+
+    def path(name: str, count: int, start: str) -> None:
+        """Each child's siblings left and right of it, level by level, as parallel lists."""
+        steps.append(start)
+        for k in range(count):
+            steps.append(f"""{name}p{k + 1} as (select p.*, list_append(p.befores, coalesce(s.b, '')) as befores2, list_append(p.afters, coalesce(s.a, '')) as afters2 from {name}q{k} p
+  join (select g, pos, n, string_agg(h, '') over (partition by g, pos // 16 order by pos rows between unbounded preceding and 1 preceding) as b,
+    string_agg(h, '') over (partition by g, pos // 16 order by pos rows between 1 following and unbounded following) as a from {name}{k}) s on s.g = p.g and s.pos = p.spot),
+{name}q{k + 1} as (select * exclude (befores, afters, befores2, afters2, spot, left_n), case when left_n = 1 then befores else befores2 end as befores,
+  case when left_n = 1 then afters else afters2 end as afters, spot // 16 as spot, (left_n + 15) // 16 as left_n from {name}p{k + 1})""")
+
+    path("l", levels, "lq0 as (select doc_id, g, h, checked, pos as spot, n as left_n, []::varchar[] as befores, []::varchar[] as afters from l0)")
+    path("u", upper, "uq0 as (select of, g, h, pos as spot, n as left_n, []::varchar[] as befores, []::varchar[] as afters from u0)")
+    both = f"""whole as (select d.doc_id, d.h as leaf, d.checked, u.h as subroot, (select h from u{upper}) as root,
+  list_zip(list_concat(d.befores, u.befores), list_concat(d.afters, u.afters)) as path from lq{levels} d join uq{upper} u on u.of = d.g),
+folded as (select doc_id, leaf, subroot, root, sha256(coalesce(list_aggregate(list_transform(path, lambda s: s[1] || s[2]), 'string_agg', ''), '')) as proof_sha256,
+  list_reduce(list_prepend({{'b': '', 'a': checked}}, list_transform(path, lambda s: {{'b': s[1], 'a': s[2]}})), lambda x, y: {{'b': '', 'a': sha256(y.b || x.a || y.a)}}).a as folded_root from whole)"""
+    return f"with {', '.join([*steps, both])} select *, folded_root = root as verified from folded"
+
+
 ORACLES: dict[str, str] = {
     "op2_licenses": _licenses_sql(), "op3_warc": _WARC_SQL, "op4_chat": _CHAT_SQL, "op7_mixing": _MIX_SQL,
-    "op8_decontamination": _DECONTAMINATION_SQL, "op10_minhash": _MINHASH_SQL}
+    "op8_decontamination": _DECONTAMINATION_SQL, "op10_minhash": _MINHASH_SQL,
+    "op11_bwt": _BWT_SQL, "op12_trie": _TRIE_SQL, "op13_manifest": _merkle_sql()}
