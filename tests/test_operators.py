@@ -10,7 +10,8 @@ from tradearea.operators.grouped import quantiles, running_total, value_slots
 from tradearea.operators.near import near_group, tiers
 from tradearea.operators.sampling import nearest_within, oversample_tails, tail_of
 from tradearea.operators.scaling import scale_by, unscale
-from tradearea.operators.search import best_params, dbscan_grid
+from brute import dbscan as brute_dbscan, silhouette as brute_silhouette
+from tradearea.operators.search import Grid, best_params, dbscan_grid
 from tradearea.operators.silhouette import silhouette_by
 from tradearea.operators.series import forecast_backtest, forecast_monthly, train_tail
 
@@ -67,6 +68,34 @@ def test_grid_scores_equal_each_trials_own_score(spark):
         assert (got[k].score is None) == (want[k].score is None) and (got[k].score is None or got[k].score == pytest.approx(want[k].score, abs=1e-8))
 
 
+@pytest.mark.parametrize("limit", [2048, 30])
+def test_whole_grid_equals_brute_force(spark, limit):
+    """All 72 trials of the default grid, by one matrix and (above the limit) by joins."""
+    rng = np.random.default_rng(4)
+    frames = {}
+    for g, n in ((1, 25), (2, 70)):
+        xyz = np.concatenate([rng.normal(0, 0.2, (n // 2, 3)), rng.normal(1, 0.4, (n - n // 2, 3)), np.repeat([[0.1, 0.2, 0.3]], 4, axis=0)])
+        frames[g] = ([f"{i:03d}" for i in rng.permutation(len(xyz))], np.round(xyz, 4))
+    points = spark.createDataFrame([(g, i, *map(float, x)) for g, (ids, xyz) in frames.items() for i, x in zip(ids, xyz)], "g int, id string, x double, y double, z double")
+    grid = Grid(points, ["g"], ["x", "y", "z"], "id", limit=limit)
+    scores = {(r.g, r.eps, r.min_samples): r for r in grid.scores.collect()}
+    labels = {}
+    for r in grid.labels().collect():
+        labels.setdefault((r.g, r.eps, r.min_samples), {})[r.x, r.y, r.z] = r.label
+    assert len(scores) == len(labels) == 144
+    for (g, eps, m), r in scores.items():
+        ids, xyz = frames[g]
+        _, want = brute_dbscan(xyz, ids, eps, m)
+        assert [labels[g, eps, m][tuple(x)] for x in xyz] == list(want), (g, eps, m)
+        score = brute_silhouette(xyz, want)
+        assert r.clusters == len(np.unique(want)) and r.points == len(xyz)
+        assert (r.score is None) == (score is None) and (score is None or r.score == pytest.approx(score, abs=1e-9))
+    best = best_params(grid.scores, ["g"])
+    picked = {r.g: (r.eps, r.min_samples) for r in best.collect()}
+    for r in grid.chosen(best.drop("score")).collect():
+        assert labels[(r.g, *picked[r.g])][r.x, r.y, r.z] == r.label
+
+
 def test_components_of_chain_star_and_separate_keys(spark):
     chain = [("x", f"{i:03d}", f"{i + 1:03d}") for i in range(40)]
     star = [("y", "500", f"{i:03d}") for i in range(0, 60, 2)] + [("y", "901", "900")]

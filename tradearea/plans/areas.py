@@ -12,7 +12,7 @@ from tradearea.functions.measures import closeness, finite_or, per_capita
 from tradearea.operators.density import dbscan_by
 from tradearea.operators.near import near_group, tiers
 from tradearea.operators.scaling import scale_by
-from tradearea.operators.search import best_params, dbscan_grid
+from tradearea.operators.search import Grid, best_params
 from tradearea.schemas import CODES, EPS_VALUES, MAX_DISTANCE, MIN_SAMPLES_VALUES
 from tradearea.sources.scratch import cut
 
@@ -145,11 +145,10 @@ def area_summary(rows: DataFrame, suffix: str = "") -> DataFrame:
 
 
 def _best_labels(points: DataFrame, eps: Sequence[float], min_samples: Sequence[int]) -> tuple[DataFrame, DataFrame]:
-    scores, sites = dbscan_grid(points, STORE, COORDS, "row_id", eps, min_samples)
-    best = cut(best_params(scores, STORE), "best")
-    chosen = sites.join(best, [*STORE, "eps", "min_samples"])
-    labelled = points.join(chosen.select(*STORE, *COORDS, "label"), [*STORE, *COORDS])
-    return best, cut(labelled, "phase")
+    grid = Grid(points, STORE, COORDS, "row_id", eps, min_samples)
+    best = cut(best_params(grid.scores, STORE), "best")
+    chosen = grid.chosen(best.drop("score"))
+    return best, cut(points.join(chosen, [*STORE, *COORDS]), "phase")
 
 
 def trade_area_tuned(features: DataFrame, eps: Sequence[float] = EPS_VALUES,
