@@ -91,3 +91,22 @@ def quantiles(df: DataFrame, value: str, points: Mapping[str, float], by: Sequen
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
     return found.select(*out)
+
+
+def occurrences(df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """Number the rows of each group from 0 in a column `name`; which row gets which number is open.
+
+    For telling equal rows apart. The rows must be a written table: a running number of its rows puts them in order,
+    in two levels, so a group may hold any share of them.
+    """
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    slot = F.shiftright("_row", 12)
+    counted = rows.groupBy(*by, slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_slot").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    inside = Window.partitionBy(*by, "_slot").orderBy("_row")
+    return rows.withColumn("_slot", slot).join(starts, same & (F.col("_slot") == F.col("_of"))).withColumn(
+        name, F.col("_start") + F.row_number().over(inside) - 1).select(*df.columns, name)
