@@ -52,6 +52,22 @@ def test_chat_round_trip(spark):
     assert chat.formatted(table.limit(0).withColumn("parts", chat.text_parts(F.col("text")))).count() == 0
 
 
+def test_chat_ties_go_by_the_raw_text_and_roles_come_back(spark):
+    roles = ["a\nb", "a\\nb", "a\\\nb", "\n", "\\", "<\n", "[INST]\n\n", "\\\\n", "user"]
+    texts = ["<|", "<a", "<\\", "[INST]", "[A", "", None, "\\n", "x\ny"]
+    rows = [(1, 0, r, t) for r in roles for t in texts]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(4).withColumn("parts", chat.text_parts(F.col("text")))
+    got = chat.formatted(table).select(chat.read_turns(F.col("formatted")).alias("turns")).first()["turns"]
+    assert [(t["role"], t["text"]) for t in got] == sorted((r, t or "") for r, t in ((r, t) for _, _, r, t in rows))
+
+
+def test_chat_of_very_many_turns(spark):
+    table = spark.range(20000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+                                      F.concat(F.lit("turn "), F.col("id").cast("string")).alias("text")).withColumn("parts", chat.text_parts(F.col("text")))
+    got = chat.formatted(table).select(F.size(chat.read_turns(F.col("formatted"))), F.element_at(chat.read_turns(F.col("formatted")), -1)["text"]).first()
+    assert tuple(got) == (20000, "turn 19999")
+
+
 def test_chat_parts(spark):
     row = [(1, 0, "user", [("text", "see <|image|> and ", None, None), ("image", None, "s3://x/1.png", 4), ("audio", None, "a.wav", 10), None,
                            ("odd", None, "o", None)]), (1, 1, "assistant", None)]

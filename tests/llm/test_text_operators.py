@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from tradearea.llm import decontam, linedup, minhash, mixing, quality, rules, tokens, words
+from tradearea.llm.words import Piece
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -79,7 +80,7 @@ def groups(rows):
     sets, comp = [shingle_set(t) for _, t in rows], list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if rows[i][0] is not None and rows[j][0] is not None and sets[i] and sets[j]:
+            if sets[i] and sets[j]:
                 if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                     old, new = comp[i], comp[j]
                     comp = [new if c == old else c for c in comp]
@@ -87,7 +88,7 @@ def groups(rows):
     for (key, _), c in zip(rows, comp):
         if key is not None:
             low[c] = min(low.get(c, key), key)
-    return [(k, len(s), None if k is None else low[c]) for (k, _), s, c in zip(rows, sets, comp)]
+    return [(k, len(s), low.get(c) if s else k) for (k, _), s, c in zip(rows, sets, comp)]
 
 
 def test_near_duplicates(spark, docs):
@@ -95,11 +96,12 @@ def test_near_duplicates(spark, docs):
     want = groups([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
     key = lambda x: tuple((v is None, v) for v in x)
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=key) == sorted(want, key=key)
-    assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in got)
+    # rows without a key go like others: (None, a) is a copy of 1, (None, None) has no words
+    assert all(r["kept"] == (r["n_shingles"] == 0 if r["doc_id"] is None else r["doc_id"] == r["component_id"]) for r in got)
     left = minhash.one_per_group(docs)
     assert left.columns == docs.columns
     kept = [r["doc_id"] for r in left.select("doc_id").collect()]
-    assert sorted(k for k in kept if k is not None) == sorted({w[2] for w in want if w[2] is not None}) and kept.count(None) == 2
+    assert sorted(k for k in kept if k is not None) == sorted({w[2] for w in want if w[2] is not None}) and kept.count(None) == 1
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -112,11 +114,192 @@ def test_groups_that_share_an_id(spark):
     table = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "doc_id long, text string, root long")
     left = minhash.one_per_group(table)
     assert left.columns == table.columns
-    want = {(5, a), (5, b), (7, c), (7, None), (7, ""), (6, None), (None, a)} | {(5, word(f"t{i}x")) for i in range(30)}
+    want = {(5, a), (5, b), (7, c), (7, None), (7, ""), (6, None)} | {(5, word(f"t{i}x")) for i in range(30)}
     got = [(r["doc_id"], r["text"]) for r in left.collect()]
     assert len(got) == len(want) and set(got) == want
 
 
+def test_rows_without_key_take_part(spark):
+    """A third of the rows has no id: their copies go, and a group of them alone keeps one row."""
+    word = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(i, word(f"k{i}x")) for i in range(6)] + [(None, word("k2x")), (None, word("k2x") + " more")]
+    rows += [(None, word("lone")), (None, word("lone")), (None, word("lone") + " more"), (None, word("single")), (None, None), (None, None), (None, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in minhash.one_per_group(table).collect()]
+    keyless = [t for k, t in got if k is None]
+    assert sorted(k for k, _ in got if k is not None) == list(range(6))
+    assert len(keyless) == 5 and word("single") in keyless and keyless.count(None) == 2 and "" in keyless
+    assert sum(t is not None and t.startswith("lone0") for t in keyless) == 1
+    marked = minhash.near_duplicates(table).filter("doc_id is null and component_id is null and n_shingles > 0").collect()
+    assert len(marked) == 4 and {r["kept"] for r in marked} == {True, False}
+
+
+def test_template_without_links(spark):
+    """Many texts that share much, but not enough, and a few links among them: nothing is lost, nothing is linked wrongly."""
+    rng = np.random.default_rng(12)
+    shared = [f"t{i}" for i in range(70)]
+    rows = [(k, " ".join(shared + [f"own{k}x{i}" for i in range(26)])) for k in range(60)]
+    rows += [(100 + k, rows[k][1] + f" tail{k}") for k in range(0, 60, 7)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(table).collect()}
+    assert got == {(k, c) for k, _, c in groups(rows)}
+    nodes = spark.createDataFrame([(k, k, len(shingle_set(t))) for k, t in rows], "node long, root long, n long")
+    sets = spark.createDataFrame([(k, [hash(g) for g in shingle_set(t)]) for k, t in rows], "node long, listed array<long>")
+    pairs = {(r["a"], r["b"]) for r in minhash.rare_pairs(nodes, sets, 75).collect()}
+    linked = {(a, b) for a, x in rows for b, y in rows if a < b and 100 * len(shingle_set(x) & shingle_set(y)) >= 75 * len(shingle_set(x) | shingle_set(y))}
+    assert linked <= pairs and len(pairs) < 200
+    assert rng is not None
+
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute_votes(text):
+    """Votes of the nine labellers on a text, by plain Python."""
+    words, letters = WORDS.findall(text or ""), re.findall("[A-Za-z]", text or "")
+    n = max(len(words), 1)
+    odd = sum(any(c in "#$%&*+/<=>@[\\]^_`{|}~!" for c in w) for w in words) / n
+    shout, symbols = sum("!" in w for w in words) / n, sum(c in "#*$%&|<>" for c in text or "") / n
+    raw = (text or "").encode()
+    inner = sum(65 <= b <= 90 and (65 <= a <= 90 or 97 <= a <= 122) for a, b in zip(raw, raw[1:]))
+    upper = inner / max(len(letters), 1)
+    grams = Counter(tuple(words[i:i + 3]) for i in range(len(words) - 2))
+    covered = {j for i in range(len(words) - 2) if grams[tuple(words[i:i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    repeat = len(covered) / n
+    distinct = len(set(words)) / n ** 0.5 if n >= 50 else 8
+    lines = [x for x in (text or "").split("\n") if WORDS.search(x)]
+    copied = (len(lines) - len(set(lines))) / max(len(lines), 1)
+    stops = sum(w[-1] in ".!?" for w in words) / n
+    bad = [symbols > 0.2, odd > 0.3, upper > 0.4, shout > 0.3, repeat > 0.5, distinct < 1.5, copied > 0.5]
+    prose = bool(words) and odd < 0.05 and upper < 0.2 and repeat < (0.7 if len(words) < 50 else 0.2) and copied < 0.4
+    sentences = stops > 0.01 and (stops < 0.5 or len(words) < 20) and odd < 0.2
+    return tuple([quality.BAD if b else quality.NONE for b in bad] + [quality.GOOD if g else quality.NONE for g in (prose, sentences)])
+
+
+def brute_estimate(patterns, rounds=100):
+    """Expectation-maximisation document by document: P(good) of each document."""
+    p = [(v.count(1) + 0.8) / (v.count(1) + 2 * v.count(0) + 1) for v in patterns]
+    for _ in range(rounds):
+        prior = (sum(p) + 1) / (len(p) + 2)
+        chance = {}
+        for good in (True, False):
+            q = [x if good else 1 - x for x in p]
+            for j in range(9):
+                seen = [sum(w for w, v in zip(q, patterns) if v[j] == vote) + 0.5 for vote in range(3)]
+                for vote in range(3):
+                    chance[good, j, vote] = seen[vote] / sum(seen)
+        new = []
+        for v in patterns:
+            a, b = prior, 1 - prior
+            for j in range(9):
+                a, b = a * chance[True, j, v[j]], b * chance[False, j, v[j]]
+            new.append(a / (a + b))
+        done, p = max(abs(x - y) for x, y in zip(p, new)) < 1e-9, new
+        if done:
+            break
+    return p
+
+
+def test_quality_equals_brute_force(spark, docs):
+    """Votes and posteriors of every document, and scores from the fitted weights, by plain Python."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()] + [(100 + i, t) for i, t in enumerate(
+        ["BUY NOW!! " * 30, "x# y% z$ " * 40, "A fine sentence. " * 3, "one\ntwo\none\ntwo\none\ntwo", "word " * 80, "Plain prose, with a comma. And more of it.", "MiXeD cAsE wOrDs"])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    piece = Piece(pa.array([t for _, t in rows]))
+    got = quality.votes(quality.measures(piece)[0])
+    want = [brute_votes(t) for _, t in rows]
+    assert [tuple(v) for v in got.tolist()] == want
+    assert sorted(r["pattern"] for r in quality.voted(table).collect()) == sorted(sum(x * 3 ** j for j, x in enumerate(v)) for v in want)
+    numbers, counts = np.unique(quality.pattern(got), return_counts=True)
+    p, _ = quality.estimate(numbers, counts)
+    posterior = dict(zip(numbers.tolist(), p))
+    assert np.allclose([posterior[n] for n in quality.pattern(got).tolist()], brute_estimate(want), atol=1e-6)
+    weights = quality.train(table)[0]
+    scores = {(r["doc_id"], r["n_words"]): r["score"] for r in quality.classified(table).collect()}
+    for i, (key, text) in enumerate(rows):
+        one = Piece(pa.array([text]))
+        m, words = quality.measures(one)
+        by_word, by_shape, bins = quality.buckets_of(m, words, 1)
+        total = weights[quality.BUCKETS] + sum(weights[b] for b in bins[0]) + sum(weights[b] for b in [*by_word, *by_shape]) / max(len(WORDS.findall(text or "")), 1)
+        assert scores[key, len(WORDS.findall(text or ""))] == pytest.approx(1 / (1 + np.exp(-total)), abs=2e-6), (i, key)
+
+
+def test_fit_lowers_the_loss_to_that_of_dense_steps():
+    rng = np.random.default_rng(3)
+    cells = [np.sort(rng.choice(50, 6, replace=False)).astype(np.int32) for _ in range(80)]
+    label = np.array([1.0 if (c < 20).sum() > 2 else 0.0 for c in cells])
+    w = quality.fit(cells, [np.ones(6, np.float32)] * 80, label)
+    x = np.zeros((80, quality.BUCKETS + 1))
+    for i, c in enumerate(cells):
+        x[i, c] = 1
+    x[:, -1] = 1
+    v = u = np.zeros(x.shape[1])
+    for step in range(150):
+        ahead = v + (step / (step + 3)) * (v - u)
+        u, v = v, ahead - 0.3 * (x.T @ (1 / (1 + np.exp(-(x @ ahead))) - label) / 80 + 1e-4 * ahead)
+    assert np.allclose(w, v, atol=1e-8) and ((x @ w > 0) == (label > 0)).mean() > 0.9
+
+
+def test_certified_cutoffs_equal_brute_force(spark):
+    """Exact binomial tests in the stated order, by plain sums, and documents judged by them; copies are one case."""
+    from math import comb
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(900):
+        words = [f"w{i}x{j}" for j in range(int(rng.integers(55, 70)))]
+        for j in rng.integers(0, 50, int(rng.integers(0, 4))):
+            words[j] = "##" + words[j]
+        rows.append((i, " ".join(words), "en" if i % 9 else None))
+    rows += [(1000 + i, "bad ## text " + " ".join(f"q{j}" for j in range(60)), "en") for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
+    counted = {r["doc_id"]: r.asDict() for r in rules.measured(table, ["doc_id", "lang"]).collect()}
+    cases = {}
+    for key, text, lang in rows:
+        cases.setdefault(lang, {})[text] = counted[key]
+    level = 0.05 / (len(cases) * len(rules.RULES))
+    share = 0.05 / len(rules.RULES)
+    cut = {}
+    for lang, own in cases.items():
+        for name, (expr, cutoffs) in rules.RULES.items():
+            values = []
+            for c in own.values():
+                env = {k: (v or 0) for k, v in c.items() if k != "lang"}
+                values.append(eval(expr, {"greatest": max}, env))  # the rules are arithmetic over the counts
+            for c in cutoffs:
+                k, n = sum(v > c for v in values), len(values)
+                if sum(comb(n, i) * share ** i * (1 - share) ** (n - i) for i in range(k + 1)) > level:
+                    break
+                cut[lang, name] = c
+    got = {r["doc_id"]: r for r in rules.risk_controlled(table, labels).collect()}
+    assert cut and len(got) == len(rows)
+    for key, _, lang in rows:
+        env = {k: (v or 0) for k, v in counted[key].items() if k != "lang"}
+        broken = [name for name, (expr, _) in rules.RULES.items() if (lang, name) in cut and eval(expr, {"greatest": max}, env) > cut[lang, name]]
+        assert got[key]["broken_rules"] == broken and got[key]["kept"] == (not got[key]["base_failed"] and not broken), key
+
+
+def parity(n, flip=0):
+    """The parity sequence: two of them agree in every polynomial modulo a power of two, from some length on."""
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_parity_sequences_are_told_apart(spark, n):
+    from tradearea.llm import decontam, rules, tokens, words
+    one, two = parity(n), parity(n, 1)
+    piece = words.Piece(pa.array([one, two]))
+    h = piece.hashes(np.array([0, n]), np.array([n, 2 * n]))
+    assert h[0] != h[1]
+    texts = [" ".join(f"{p}{k}" for k in range(12)) for p in (one, two)]
+    table = spark.createDataFrame([(1, texts[0], "en"), (2, texts[1], "en"), (3, f"{one}\n{two}", "en")], "doc_id long, text string, lang string")
+    assert {r["component_id"] for r in minhash.near_duplicates(table).collect()} == {1, 2, 3}
+    assert [r["n_dup_lines"] for r in rules.measured(table, ["doc_id"]).orderBy("doc_id").collect()] == [0, 0, 0]
+    tests = spark.createDataFrame([("x", " ".join(f"{two}{k}" for k in range(10)))], "item_id string, text string")
+    assert sorted((r["doc_id"], r["n_hit"]) for r in decontam.contamination(table, tests).collect()) == [(1, 0), (2, 10), (3, 0)]
+    assert tokens is not None
+
+
 def test_families_of_near_copies(spark):
     """Copies with few and with many edits, chains, and unrelated texts that share a passage."""
     rng = np.random.default_rng(5)
@@ -247,6 +430,24 @@ def test_line_dedup(spark, docs):
     assert linedup.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_mixing_samples_rows_that_share_an_id(spark):
+    """A third of the rows has no id and many are equal: taken and left rows are of all sizes, and equal rows are drawn one by one."""
+    rng = np.random.default_rng(6)
+    rows = [(None, " ".join(f"w{rng.integers(0, 9)}" for _ in range(int(rng.integers(1, 60)))), "a") for _ in range(400)]
+    rows += [(7, "all the same words", "a")] * 200 + [(k, f"big source {k} " * 30, "b") for k in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = [r for r in mixing.mix(table, weights=(1, 9), carry=["text", "taken"]).collect() if r["source"] == "a"]
+    assert got[0]["text"] is not None and len(got) == 600
+    keyless = [r for r in got if r["doc_id"] is None]
+    taken, left = ([r["size"] for r in keyless if (r["taken"] > 0) == t] for t in (True, False))
+    assert min(taken) < 20 < 40 < max(taken) and min(left) < 20 < 40 < max(left)
+    assert 0 < sum(r["taken"] > 0 for r in got if r["doc_id"] == 7) < 200
+    assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 60
+    again = [r for r in mixing.mix(table.repartition(3), weights=(1, 9), carry=["text"]).collect() if r["source"] == "a"]
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"], r["taken"])
+    assert sorted(map(key, got)) == sorted(map(key, again))
+
+
 def test_mixing(spark, docs):
     got = rows_of(mixing.mix(docs))
     assert len(got) == docs.count() and got and sorted(map(str, got)) == sorted(map(str, rows_of(mixing.mix(docs))))

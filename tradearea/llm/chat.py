@@ -32,6 +32,16 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\(\\?)", "$1")
 
 
+def escape_role(role: Column) -> Column:
+    """An escaped role on one line: a line feed becomes a backslash and n, which escaped text has nowhere else."""
+    return F.replace(escape(role), F.lit("\n"), F.lit("\\n"))
+
+
+def unescape_role(role: Column) -> Column:
+    """A backslash and n is a line feed if an even number of backslashes stands before it."""
+    return unescape(F.regexp_replace(role, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"))
+
+
 def text_parts(text: Column) -> Column:
     """A plain text as the only part of its turn; a null text is empty."""
     return F.array(F.struct(F.lit("text").alias("kind"), F.coalesce(text, F.lit("")).alias("text"),
@@ -68,8 +78,12 @@ def formatted(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     body = F.array_join(F.transform(own, visit), "")
     named = F.filter(F.transform(own, lambda p: F.struct(
         p["kind"].alias("kind"), p["ref"].alias("ref"), expanded(p, per_unit).alias("tokens"))), lambda a: F.coalesce(a["kind"], F.lit("text")) != "text")
-    marked = F.concat(F.lit(BEGIN), F.regexp_replace(escape(F.coalesce(F.col(role), F.lit(""))), "\n", " "), F.lit("\n"), body, F.lit(END))
-    rows = turns.select(F.col(conv).alias("_conv"), F.struct(F.col(turn).alias("t"), F.coalesce(F.col(role), F.lit("")).alias("r"), marked.alias("m"), named.alias("a")).alias("_x"))
+    said = F.coalesce(F.col(role), F.lit(""))
+    marked = F.concat(F.lit(BEGIN), escape_role(said), F.lit("\n"), body, F.lit(END))
+    # ties go by the text itself: escaping changes the order
+    plain = F.array_join(F.transform(own, lambda p: F.when(is_text(p), F.coalesce(p["text"], F.lit(""))).otherwise(F.lit(""))), "")
+    rows = turns.select(F.col(conv).alias("_conv"), F.struct(
+        F.col(turn).alias("t"), said.alias("r"), plain.alias("p"), marked.alias("m"), named.alias("a")).alias("_x"))
     grouped = rows.groupBy("_conv").agg(F.sort_array(F.collect_list("_x")).alias("_turns"))
     attachments = F.flatten(F.transform("_turns", lambda x, i: F.transform(x["a"], lambda a: F.struct(
         i.cast("bigint").alias("turn"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
@@ -85,7 +99,7 @@ def read_turns(text: Column) -> Column:
     def one(piece: Column) -> Column:
         inner = F.substring(piece, F.lit(len(BEGIN) + 1), F.length(piece))
         head = F.substring_index(inner, "\n", 1)
-        return F.struct(unescape(head).alias("role"), unescape(F.substring(inner, F.length(head) + 2, F.length(inner))).alias("text"))
+        return F.struct(unescape_role(head).alias("role"), unescape(F.substring(inner, F.length(head) + 2, F.length(inner))).alias("text"))
 
     return F.transform(pieces, one)
 

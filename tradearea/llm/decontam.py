@@ -9,7 +9,7 @@ spans of words are merged per document. A run of words that no window holds can'
 leaving it out loses nothing.
 
 Nothing is shuffled: each document is answered by the task that reads it. The windows are sent to every
-task; a benchmark above `limit` bytes is searched in several passes of at most that size, so what is sent is
+task; a benchmark above half of `limit` bytes is searched in several passes of at most that size, so what is built and sent is
 bounded for any benchmark.
 """
 
@@ -27,7 +27,8 @@ from tradearea.llm.words import PLAIN, Piece, row_of, slices
 
 WINDOW = 10
 SAMPLE = 8
-LIMIT = 16 << 20
+#: bytes of benchmark text of a pass, twice over; a window takes about 60 bytes, so a pass sends at most some 40 MB
+LIMIT = 2 << 20
 SHARD_BYTES = 4 << 20
 
 
@@ -39,20 +40,30 @@ class Windows:
         starts, ends, first = piece.spans(PLAIN)
         hashed = piece.hashes(starts, ends)
         self.words = np.unique(hashed)  # word i + 1 has hash words[i]
-        numbers = np.searchsorted(self.words, hashed) + 1
-        of: dict[tuple[int, ...], set[int]] = {}
-        for i in range(len(items)):
-            own = numbers[first[i]:first[i + 1]].tolist()
-            for at in range(max(1, len(own) - size + 1)) if own else ():
-                of.setdefault(tuple(own[at:at + size]), set()).add(i)
-        keys = sorted(of)
+        numbers = (np.searchsorted(self.words, hashed) + 1).astype(np.int32)
+        counts = np.diff(first)
+        many = np.where(counts > 0, np.maximum(counts - size + 1, 1), 0)
+        of = np.repeat(np.arange(len(items), dtype=np.int32), many)
+        begin = np.repeat(first[:-1], many) + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        length = np.minimum(counts, size)[of]
+        padded = np.concatenate((numbers, np.zeros(1, np.int32)))
+        # one column at a time: a row of `size` numbers, zeros behind short items
+        rows = np.empty((len(of), size), ">i4")
+        for k in range(size):
+            rows[:, k] = np.where(k < length, padded[np.minimum(begin + k, len(numbers))], 0)
+        packed = rows.view(f"S{4 * size}").ravel()
+        order = np.lexsort((of, packed))
+        new = np.ones(len(order), bool)
+        new[1:] = packed[order[1:]] != packed[order[:-1]]
+        heads = order[new]
         self.items = items
-        self.lengths = np.array([len(k) for k in keys], np.int64)
-        self.numbers = np.zeros((len(keys), size), np.int64)
-        for i, k in enumerate(keys):
-            self.numbers[i, :len(k)] = k
-        self.holders = np.array([j for k in keys for j in sorted(of[k])], np.int64)
-        self.first_holder = np.concatenate(([0], np.cumsum([len(of[k]) for k in keys]))).astype(np.int64)
+        self.lengths = length[heads].astype(np.int64)
+        self.numbers = rows[heads].astype(np.int32)
+        window = np.cumsum(new) - 1
+        held = new.copy()
+        held[1:] |= of[order[1:]] != of[order[:-1]]
+        self.holders = of[order[held]]
+        self.first_holder = np.searchsorted(window[held], np.arange(len(heads) + 1))
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
@@ -140,6 +151,7 @@ class Index:
     def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows whose suffix begins with each pattern, by backward search of all patterns together."""
         low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n)
+        patterns = patterns.astype(np.int64, copy=False)
         for step in range(patterns.shape[1]):
             live = np.flatnonzero((step < lengths) & (low < high))
             if not len(live):

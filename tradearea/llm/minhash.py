@@ -9,9 +9,9 @@ Documents with equal shingle sets are one class from the start, so a large group
 aggregate. Classes that share a band are candidates. A class whose shingles are mostly its own can have no
 partner and leaves (an exact bound on what a pair can have in common). Then each band tries all its members
 against one hub, the class with the fewest shingles of its own, on the full sets; bands that still hold several
-components try a second and third hub; what is then left between different components is tried pair by pair, but
-for pairs that the counts already made rule out. So a band with thousands of near copies costs about one
-comparison per member, pairs are never listed inside a band, and no candidate link is lost.
+components try a second and third hub; what is then left between different components is joined on its rarest
+shingles (an exact prefix filter). So a band with thousands of near copies costs about one
+comparison per member, no bucket is ever joined with itself, and no candidate link is lost.
 """
 
 from __future__ import annotations
@@ -156,34 +156,46 @@ def hopeful(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _several(left.select("band", "hash", "node", "n", "s"))
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    """Bucket members with `keys`: names of all buckets in which their node stands, by band."""
-    name = F.xxhash64("band", "hash")
-    keys = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("band", name.alias("k")))).alias("_k")).select(
-        "node", F.transform("_k", lambda x: x["k"]).alias("keys"))
-    return rows.join(keys, "node")
-
-
 def _pairs(rows: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) of rows and others of a bucket in different components that may be similar, each once.
+    """Pairs (a, b, n_a, n_b) of rows and the one other of their bucket, in different components, that may be similar, each once.
 
-    With `keys` a pair is made only in the first bucket that both share. c counts what a member has in common with the first hub of its bucket. Two members have at most the
+    c counts what a member has in common with the first hub of its bucket. Two members have at most the
     smaller c in common inside the hub, and outside of it at most what either shares with anyone there.
     """
-    keyed = ["keys"] if "keys" in rows.columns else []
-    named = others.select("band", "hash", *[F.col(c).alias(f"_{c}") for c in ["node", "root", "n", "s", "c", *keyed]])
+    named = others.select("band", "hash", *[F.col(c).alias(f"_{c}") for c in ["node", "root", "n", "s", "c"]])
     most = F.least("c", "_c") + F.least(F.col("s") - F.col("c"), F.col("_s") - F.col("_c"))
     most = F.least("s", "_s", F.coalesce(most, F.col("s")))
     met = rows.join(named, ["band", "hash"]).filter(F.col("root") != F.col("_root")).filter(
         _possible(F.least(F.col("n"), F.col("_n"), most), F.col("n"), F.col("_n"), percent))
-    if keyed:
-        met = met.filter(F.get(F.array_intersect("keys", "_keys"), F.lit(0)) == F.xxhash64("band", "hash"))
     first = F.col("node") < F.col("_node")
     return met.select(
         F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"), F.when(first, F.col("n")).otherwise(F.col("_n")).alias("n_a"),
         F.when(first, F.col("_n")).otherwise(F.col("n")).alias("n_b")).distinct()
 
 
+def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of `nodes` (node, root, n) in different components that may be similar, by exact prefix filter.
+
+    Shingles are put in one order, the rarest among the nodes first. Sets of n shingles that reach `percent` have one of the first
+    n - n * percent / 100 + 1 in common, so only those are joined. What most nodes share stands behind every prefix:
+    nodes made from one template meet only where they also share something rare. A shingle of very many prefixes is dealt
+    out over several tasks by the other side's node.
+    """
+    own = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("listed").alias("g"))
+    count = own.groupBy("g").agg(F.count(F.lit(1)).alias("_f")).filter("_f > 1")
+    shared = cut(own.join(count, "g").join(nodes, "node"), "rare")
+    seen = shared.groupBy("node").agg(F.count(F.lit(1)).alias("_seen"))
+    # shingles of no other node come first and need no row; a window holds one node's set
+    place = F.row_number().over(Window.partitionBy("node").orderBy("_f", "g")) + F.col("n") - F.col("_seen")
+    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1
+    kept = shared.join(seen, "node").withColumn("_place", place).filter(F.col("_place") <= prefix).select("g", "node", "root", "n")
+    kept = cut(kept.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(8)).cast("int")), "prefixes")
+    sides = kept.select("g", F.col("node").alias("_node"), F.col("root").alias("_root"), F.col("n").alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_salt"))
+    met = kept.join(sides, ["g", "_salt"]).filter(F.col("node") < F.col("_node")).filter(F.col("root") != F.col("_root")).filter(
+        F.least("n", "_n") * 100 >= F.greatest("n", "_n") * percent)
+    return met.select(F.col("node").alias("a"), F.col("_node").alias("b"), F.col("n").alias("n_a"), F.col("_n").alias("n_b")).distinct()
+
+
 def class_links(banded: DataFrame, sets_of, percent: int, rounds: int) -> DataFrame:
     """Component of each class that has a link: (node, root), root being the smallest node.
 
@@ -215,14 +227,15 @@ def class_links(banded: DataFrame, sets_of, percent: int, rounds: int) -> DataFr
         named = named.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("main")), "hub", "left").withColumn("main", F.coalesce("main", "hub"))
         named = cut(_several(named, "root"), "named")
         outside = named.filter("root <> main")
+        if outside.isEmpty():
+            break
         if turn < rounds:
             # a second centre among those that the first one did not reach
             centre = F.min_by(F.struct("node", "root", "n", "s", "c"), F.struct(F.col("n") - F.col("s"), "node")).alias("_x")
             others = outside.groupBy("band", "hash").agg(centre).select("band", "hash", "_x.*")
             pairs = _pairs(named, others, percent)
         else:
-            keyed = cut(_keyed(named), "keyed")
-            pairs = _pairs(keyed.filter("root <> main"), keyed, percent)
+            pairs = rare_pairs(named.select("node", "root", "n").distinct(), sets, percent)
         new = cut(counted(pairs.join(known, ["a", "b"], "left_anti"), sets), "tried")
         known, links = known.unionByName(new.select("a", "b")), links.unionByName(new.filter(linked).select("a", "b"))
     return connected(links, [], "a", "b")
@@ -230,59 +243,66 @@ def class_links(banded: DataFrame, sets_of, percent: int, rounds: int) -> DataFr
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT,
                bands: int = BANDS, rows: int = BAND_ROWS, rounds: int = 2) -> DataFrame:
-    """One row per row of docs: key, text_hash, n_shingles, component_id, _root.
+    """One row per row of docs: key, text_hash, n_shingles, component_id, _root, _least.
 
-    _root numbers the group; groups that share their smallest key share component_id only. It is null for
-    rows without a key or without words.
+    _root numbers the group (null for rows without words); groups that share their smallest key share component_id only. A group
+    without any key has no component_id. _least is the smallest text hash of the group's rows without a key.
     """
     prints = cut(fingerprints(docs, key, text, bands, rows), "prints")
-    known = prints.filter("key is not null and n_shingles > 0")
+    known = prints.filter("n_shingles > 0")
+    lone = F.when(F.col("key").isNull(), F.col("text_hash"))
     # written at once, so the running number is a lasting name of the class
-    classes = cut(known.groupBy(*SAME).agg(F.min("key").alias("head")).withColumn("node", F.monotonically_increasing_id()), "classes")
-    banded = known.withColumnRenamed("key", "head").join(classes, [*SAME, "head"]).select(
-        "node", F.col("n_shingles").alias("n"), F.posexplode("listed").alias("band", "hash"))
+    classes = cut(known.groupBy(*SAME).agg(F.min("key").alias("head"), F.min("text_hash").alias("head_hash"), F.min(lone).alias("lone"),
+                                           F.any_value("listed").alias("listed")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    banded = classes.select("node", F.col("n_shingles").alias("n"), F.posexplode("listed").alias("band", "hash"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        heads = classes.join(nodes, "node", "left_semi")
-        texts = docs.join(heads.select(F.col("head").alias(key)).distinct(), key, "left_semi")
-        full = fingerprints(texts, key, text, bands, rows, whole=True).withColumnRenamed("key", "head")
-        return full.join(heads, [*SAME, "head"]).select("node", "listed")
+        heads = classes.drop("listed").join(nodes, "node", "left_semi")
+        texts = docs.join(heads.select(F.col("head").alias(key)).distinct(), key, "left_semi").select(key, text)
+        unkeyed = heads.filter("head is null").select("head_hash")
+        if not unkeyed.isEmpty():
+            # classes without any key are found by their text, of which one copy does
+            other = docs.filter(F.col(key).isNull()).select(key, text, F.xxhash64(F.col(text).cast("string")).alias("head_hash")).join(unkeyed, "head_hash", "left_semi")
+            texts = texts.unionByName(other.groupBy("head_hash").agg(F.first(text).alias(text)).select(F.lit(None).cast(docs.schema[key].dataType).alias(key), text))
+        full = fingerprints(texts, key, text, bands, rows, whole=True)
+        return full.join(heads, SAME).groupBy("node").agg(F.any_value("listed").alias("listed"))
 
     roots = class_links(banded, sets_of, percent, rounds)
-    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = rooted.groupBy("root").agg(F.min("head").alias("component_id"))
-    found = rooted.join(lowest, "root").select(*SAME, "component_id", F.col("root").alias("_root"))
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("key"))
-    return prints.join(found, SAME, "left").select(
-        F.col("key").alias(key), "text_hash", "n_shingles", F.when(F.col("key").isNotNull(), component).alias("component_id"),
-        F.when(F.col("key").isNotNull(), F.col("_root")).alias("_root"))
+    rooted = cut(classes.drop("listed").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    lowest = rooted.groupBy("root").agg(F.min("head").alias("component_id"), F.min("lone").alias("_least"))
+    found = rooted.join(lowest, "root").select(*SAME, "component_id", F.col("root").alias("_root"), "_least")
+    return prints.drop("listed").join(found, SAME, "left").select(
+        F.col("key").alias(key), "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"), "_root", "_least")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id (the smallest key reachable), kept.
 
-    Null or wordless texts have empty sets and are linked with nothing. Rows without a key are not linked
-    either: their component is null and they are kept. Rows that repeat a key are documents of their own,
-    each with the component of its text. Other columns of docs are passed over; empty tables give no rows.
+    Null or wordless texts have empty sets, are linked with nothing and kept. Rows that repeat a key are documents of their
+    own, each with the component of its text. Rows without a key are linked like others; they go if their group has a
+    row with a key, else the group's component is null and those with its smallest text hash are kept (equal rows
+    all). Texts of any length are whole; other columns of docs are passed over; empty tables give no rows.
     """
-    return components(docs, key, text, **options).drop("text_hash", "_root").withColumn(
-        "kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+    lone = F.col("_root").isNull() | (F.col("component_id").isNull() & (F.col("text_hash") == F.col("_least")))
+    kept = F.when(F.col(key).isNull(), lone).otherwise(F.col(key) == F.col("component_id"))
+    return components(docs, key, text, **options).withColumn("kept", F.coalesce(kept, F.lit(False))).drop("text_hash", "_root", "_least")
 
 
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """docs with one row of each group left, all columns as they were: of the smallest key the smallest text hash.
+    """docs with one row of each group left, all columns as they were: of the smallest key the smallest text hash; a
+    row without a key only if the group has no other.
 
-    Rows without words are in no group and stay, and so do groups that have their smallest key in common. Of
-    rows that repeat key and text one stays. Rows without a key all stay.
+    Rows without words are in no group and stay. Groups that have their smallest key in common each keep a row of
+    their own. Of rows that repeat key and text one stays; of wordless rows without a key all do.
     """
-    found = cut(components(docs, key, text, **options).filter(F.col(key).isNotNull()), "found")
-    named_hash = F.struct(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"))
-    first = found.filter("_root is not null").groupBy("_root").agg(F.min(named_hash).alias("_s")).select("_s._key", "_s._hash")
-    wordless = found.filter("_root is null").select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"))
-    stay = cut(first.unionByName(wordless).distinct(), "stay")
+    found = cut(components(docs, key, text, **options).filter("_root is not null").select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"), "_root"), "found")
+    rank = F.struct(F.col("_key").isNull().alias("_last"), "_key", "_hash")
+    stay = cut(found.groupBy("_root").agg(F.min(rank).alias("_s")).select("_s._key", "_s._hash").distinct(), "stay")
+    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     named = docs.withColumn("_own", F.xxhash64(F.col(text).cast("string")))
-    left = named.join(stay, (F.col(key) == F.col("_key")) & (F.col("_own") == F.col("_hash")), "left_semi")
-    twice = found.groupBy(key, "text_hash").count().filter("count > 1")
-    if not twice.isEmpty():
+    left = named.filter(worded).join(stay, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_hash")), "left_semi")
+    if not found.groupBy("_key", "_hash").count().filter("count > 1").isEmpty():
         left = left.dropDuplicates([key, "_own"])
-    return left.unionByName(named.filter(F.col(key).isNull())).drop("_own")
+    wordless = named.filter(~worded)
+    once = wordless.filter(F.col(key).isNotNull()).dropDuplicates([key, "_own"])
+    return left.unionByName(once).unionByName(wordless.filter(F.col(key).isNull())).drop("_own")

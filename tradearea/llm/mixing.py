@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted sampling without replacement.
 
-Every document gets the key -ln(u) / weight, u being uniform and fixed by its id. Smallest keys first is a
+Every document gets the key -ln(u) / weight, u being uniform and fixed by its id and text. Smallest keys first is a
 weighted random order (Efraimidis and Spirakis); reading it until the budget is full samples without
 replacement with the documents' quality as weights. A source whose target exceeds its size gives
 complete epochs first, and only what is left is sampled.
@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradearea.operators.grouped import occurrences
 from tradearea.sources.scratch import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,9 +37,9 @@ def quality_of(text: Column, size: Column) -> Column:
     return F.lit(0.5) + F.lit(0.5) / (F.lit(1.0) + marks.cast("double") / F.greatest(size, F.lit(1)).cast("double"))
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """A number in (0, 1) fixed by seed and key: 48 bits of an MD5 sum."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+def uniform(seed: int, *values: Column) -> Column:
+    """A number in (0, 1) fixed by seed and values: 48 bits of an MD5 sum."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(v.cast("string"), F.lit("")) for v in values]).cast("binary"))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint").cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
@@ -68,18 +69,27 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), times: int =
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (1, 2, 3),
-        times: int = TIMES, seed: int = 7, cells: int = CELLS) -> DataFrame:
-    """One row per row of docs: key, source, size, source_size, target, weight, taken (words the mix takes).
+        times: int = TIMES, seed: int = 7, cells: int = CELLS, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per row of docs: key, source, size, source_size, target, weight, taken (words the mix takes), and the columns `carry`.
 
     taken is size times the complete epochs, plus size once more for sampled documents. The document in which
-    the budget ends is taken if that brings the source nearer to its target. Ties of the sampling key go
-    to the smaller id, then size; null ids are first. Rows that repeat an id share its key. A null source is a source; a null
-    text has size 0. Other columns of docs are passed over; an empty table gives no rows.
+    the budget ends is taken if that brings the source nearer to its target. The sampling key is fixed by id and
+    text, and by a running number among rows equal in both; so rows that share an id, or have none, are sampled
+    like others. Ties of the key go to the smaller id (null first), then size. A null source is a source; a null
+    text has size 0. Carried columns named like a result, or beginning with an underscore, are passed over, as are all others; an empty table gives no rows.
     """
     size = size_of(F.col(text))
-    sized = docs.select(F.col(key).alias("_id"), F.col(source).alias("source"), size.alias("size"), quality_of(F.col(text), size).alias("weight"))
-    sized = sized.withColumn("_key", -F.log(uniform(F.col("_id"), seed)) / F.col("weight"))
-    sized = cut(sized.withColumn("_cell", F.floor(F.log("_key") * cells)), "sized")
+    results = {key, "source", "size", "source_size", "target", "weight", "taken"}
+    carried = [c for c in carry if c not in results and not c.startswith("_")]
+    sized = docs.select(F.col(key).alias("_id"), F.col(source).alias("source"), size.alias("size"), quality_of(F.col(text), size).alias("weight"),
+                        F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_text"), *carried)
+    sized = cut(sized, "sized")
+    if sized.groupBy("_id", "_text").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty():
+        sized = sized.withColumn("_nth", F.lit(0).cast("bigint"))
+    else:
+        sized = cut(occurrences(sized, ["_id", "_text"], "_nth"), "numbered")
+    sized = sized.withColumn("_key", -F.log(uniform(seed, F.col("_id"), F.col("_text"), F.col("_nth"))) / F.col("weight")).drop("_text", "_nth")
+    sized = sized.withColumn("_cell", F.floor(F.log("_key") * cells))
     by_cell = cut(sized.groupBy("source", "_cell").agg(F.sum("size").alias("words")), "cells")
     goal = cut(targets(by_cell.groupBy("source").agg(F.sum("words").alias("source_size")), weights, times).withColumns({
         "_epochs": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")}
@@ -93,7 +103,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     # sources whose budget is empty have no cell in which it ends
     plan = cut(goal.join(ends, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumnRenamed("source", "_source"), "plan")
     joined = sized.join(plan, F.col("source").eqNullSafe(F.col("_source")))
-    columns = [F.col("_id").alias(key), "source", "size", "source_size", "target", "weight"]
+    columns = [F.col("_id").alias(key), *carried, "source", "size", "source_size", "target", "weight"]
     # all cells but the last one are taken or left whole
     whole = joined.filter("_end is null or _cell <> _end").select(
         *columns, (F.col("size") * (F.col("_epochs") + F.coalesce(F.col("_cell") < F.col("_end"), F.lit(False)).cast("bigint"))).alias("taken"))

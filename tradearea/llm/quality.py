@@ -149,23 +149,30 @@ def _features(m: dict[str, np.ndarray], words: tuple, rows: int) -> list[pa.Arra
     of = np.concatenate([of, np.repeat(np.arange(rows), bins.shape[1])])
     value = np.concatenate([value, np.ones(bins.size)])
     order = np.argsort(of, kind="stable")
-    borders = pa.array(np.searchsorted(of[order], np.arange(rows + 1)).astype(np.int32))
-    return [pa.array(pattern(votes(m))), pa.ListArray.from_arrays(borders, pa.array(cell[order].astype(np.int32))),
-            pa.ListArray.from_arrays(borders, pa.array(value[order].astype(np.float32)))]
-
-
-def fit(rows: list, posterior: dict[int, float], rounds: int = 150, rate: float = 0.3, decay: float = 1e-4) -> np.ndarray:
-    """Weights of the linear scorer (the last one is the constant) by accelerated gradient steps on the log loss of soft labels."""
-    x = np.zeros((len(rows), BUCKETS + 1), np.float32)
-    x[:, BUCKETS] = 1
-    for i, r in enumerate(rows):
-        x[i, r["cells"]] = r["weights"]
-    y = np.array([posterior[r["pattern"]] for r in rows], np.float32)
-    w, last = np.zeros(BUCKETS + 1, np.float32), np.zeros(BUCKETS + 1, np.float32)
-    for step in range(rounds if len(rows) else 0):
+    borders = np.searchsorted(of[order], np.arange(rows + 1))
+    spans = list(zip(borders[:-1], borders[1:]))
+    cell, value = cell[order].astype(np.int32), value[order].astype(np.float32)
+    return [pa.array(pattern(votes(m))), pa.array([cell[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([value[a:b].tobytes() for a, b in spans], pa.binary())]
+
+
+def fit(cells: list[np.ndarray], weights: list[np.ndarray], posterior: np.ndarray, rounds: int = 150, rate: float = 0.3, decay: float = 1e-4) -> np.ndarray:
+    """Weights of the linear scorer (the last one is the constant) by accelerated gradient steps on the log loss of soft labels.
+
+    Only the cells that a document has are kept, so memory follows the sample's words.
+    """
+    n = len(cells)
+    w, last = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+    if not n:
+        return w
+    sizes = np.array([len(c) for c in cells])
+    cell, value, row = np.concatenate(cells), np.concatenate(weights), np.repeat(np.arange(n, dtype=np.int32), sizes)
+    for step in range(rounds):
         ahead = w + (step / (step + 3)) * (w - last)
-        slope = x.T @ (1 / (1 + np.exp(-np.clip(x @ ahead, -50, 50))) - y) / len(rows) + decay * ahead
-        last, w = w, ahead - rate * slope
+        total = np.bincount(row, value * ahead[cell], minlength=n) + ahead[BUCKETS]
+        miss = 1 / (1 + np.exp(-np.clip(total, -50, 50))) - posterior
+        slope = np.bincount(cell, value * miss[row], minlength=BUCKETS + 1)
+        slope[BUCKETS] += miss.sum()
+        last, w = w, ahead - rate * (slope / n + decay * ahead)
     return w
 
 
@@ -174,15 +181,17 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
     votes_of = cut(voted(docs, key, text), "votes")
     table = votes_of.groupBy("pattern").count().collect()  # at most 3^9 rows
     if not table:
-        return np.zeros(BUCKETS + 1, np.float32), {}
+        return np.zeros(BUCKETS + 1), {}
     patterns = np.array([r["pattern"] for r in table])
     order = np.argsort(patterns)
     p, model = estimate(patterns[order], np.array([r["count"] for r in table])[order])
     posterior = dict(zip(patterns[order].tolist(), p.tolist()))
     last = votes_of.select("_hash").orderBy("_hash").limit(sample).agg(F.max("_hash")).first()[0]
-    features = _mapped(docs, key, text, _features, "pattern bigint, cells array<int>, weights array<float>", ["pattern", "cells", "weights"], until=last)
-    rows = features.orderBy("_hash").limit(sample).collect()
-    return fit(rows, posterior), model
+    features = _mapped(docs, key, text, _features, "pattern bigint, cells binary, weights binary", ["pattern", "cells", "weights"], until=last)
+    rows = features.orderBy("_hash", "cells").limit(sample).select("pattern", "cells", "weights").toArrow()
+    label = np.array([posterior[v] for v in rows.column("pattern").to_pylist()])
+    packed = [[np.frombuffer(v.as_buffer(), kind) for v in rows.column(name)] for name, kind in (("cells", np.int32), ("weights", np.float32))]
+    return fit(*packed, label), model
 
 
 def scored(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:

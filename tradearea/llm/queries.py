@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tradearea.llm import bwt, chat, decontam, licenses, linedup, manifest, minhash, mixing, quality, rules, tokens, trie, warc
 from tradearea.sources.scratch import cut
 
-PLANTED_CHAT = ("conv_id", "turn", "role", "text"), [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+#: two turns that every run adds, over id 0 and 1
+PLANTED_CHAT = {"conv_id": "-7", "turn": "id", "role": "if(id = 0, 'user', 'assistant')", "text": "'</s>[INST] ok [/INST]'"}
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -41,9 +42,8 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
     turns = _read(spark, folder, "conversations")
-    names, rows = PLANTED_CHAT
-    planted = spark.createDataFrame(rows, ", ".join(f"{c} {turns.schema[c].dataType.simpleString()}" for c in names))
-    every = turns.select(*names).unionByName(planted).withColumn("parts", chat.text_parts(F.col("text")))
+    planted = spark.range(2).select(*[F.expr(v).cast(turns.schema[c].dataType).alias(c) for c, v in PLANTED_CHAT.items()])
+    every = turns.select(*PLANTED_CHAT).unionByName(planted).withColumn("parts", chat.text_parts(F.col("text")))
     back = chat.formatted(every).withColumn("_turns", chat.read_turns(F.col("formatted")))
     spoken = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select("conv_id", F.size("_turns").cast("bigint").alias("n_turns"), _sha(spoken).alias("turns_sha256"),
@@ -158,19 +158,19 @@ from d left join f on d.payload_digest = f.payload_digest"""
 
 _ESCAPED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '\\', '\\\\', 'g'), '([<\[])(/?(?:s>|INST\]))', '\1\\\2', 'g'), '(<)(</?SYS>>)', '\1\\\2', 'g'), '([<\[])(\|)', '\1\\\2', 'g')"
 _CHAT_SQL = f"""
-with t as (select conv_id, turn, role, coalesce(text, '') as text from conversations
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]')
-select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
-  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-  cast(sum({len(chat.BEGIN) + 1 + len(chat.END)} + length(role) + length({_ESCAPED.format('text')})) as bigint) as formatted_chars
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum({len(chat.BEGIN) + 1 + len(chat.END)} + length(replace({_ESCAPED.format('role')}, chr(10), '\\n')) + length({_ESCAPED.format('text')})) as bigint) as formatted_chars
 from t group by conv_id"""
 
 _MIX_SQL = rf"""
 with d as (select doc_id, source, text, len({_WORDS.format("coalesce(text, '')")}) as size from documents),
 w as (select doc_id, source, cast(size as bigint) as size,
     0.5::double + 0.5::double / (1.0::double + (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '{mixing.MARKS}', '')))::double / greatest(size, 1)::double) as weight,
-    ((('0x' || substr(md5('7:' || coalesce(doc_id::varchar, '')), 1, 12))::bigint)::double + 0.5::double) / 281474976710656::double as u from d),
+    ((('0x' || substr(md5('7:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, '')) || ':' || (row_number() over (partition by doc_id, text) - 1)), 1, 12))::bigint)::double + 0.5::double) / 281474976710656::double as u from d),
 k as (select *, -ln(u) / weight as key from w),
 s as (select source, cast(sum(size) as bigint) as source_size from k group by 1),
 o as (select *, case (row_number() over (order by source is null, source) - 1) % 3 when 0 then 1.0::double when 1 then 2.0::double else 3.0::double end as w from s),

@@ -162,11 +162,12 @@ def risk_controlled(docs: DataFrame, labels: DataFrame, stratum: str = "lang", r
     """One row per document: doc_id, stratum, the counts, base_failed, broken_rules, kept.
 
     `labels` has doc_id and quality (1: good). Of several labels of a document the lowest counts; labels
-    without id or quality are passed over. Repeated documents are judged row by row, and each labelled row
-    is one holdout case. Null or empty texts fail the base rules. Empty tables give no rows.
+    without id or quality are passed over. Repeated documents are judged row by row, but equal texts of a stratum are one
+    holdout case: copies say nothing new about the risk. Null or empty texts fail the base rules. Empty tables give no rows.
     """
-    counted = cut(measured(docs, ["doc_id", stratum]).withColumnRenamed(stratum, "stratum"), "measures")
+    named = docs.select("doc_id", F.col(stratum).alias("stratum"), F.xxhash64("text").alias("_same"), "text")
+    counted = cut(measured(named, ["doc_id", "stratum", "_same"]), "measures")
     good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         F.min("quality").alias("_quality")).filter("_quality = 1").select("doc_id")
-    holdout = counted.filter(~base_failed()).join(good, "doc_id", "left_semi")
-    return judge(counted, certified(holdout, "stratum", risk=risk, error=error), "stratum")
+    holdout = counted.filter(~base_failed()).join(good, "doc_id", "left_semi").dropDuplicates(["stratum", "_same", *COUNTS])
+    return judge(counted, certified(holdout, "stratum", risk=risk, error=error), "stratum").drop("_same")

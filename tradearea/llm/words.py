@@ -15,8 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: span hashes are two polynomials over the field of this prime; sums of 2^32 residues fit 64 bits
+_PRIME = (1 << 31) - 1
+_BASES = (1403580497, 811532633)
 
 
 def table(inside) -> np.ndarray:
@@ -39,13 +40,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    one = np.ones(n, np.uint64)
-    with np.errstate(over="ignore"):
-        up, down = one.copy(), one.copy()
-        up[1:], down[1:] = _BASE, _INVERSE
-        return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+@lru_cache(maxsize=16)
+def _powers(base: int, n: int) -> np.ndarray:
+    """base^0 ... base^(n-1) over the field."""
+    out = np.ones(n, np.uint64)
+    done, step = 1, base
+    while done < n:
+        more = min(done, n - done)
+        out[done:done + more] = out[:more] * np.uint64(step) % np.uint64(_PRIME)
+        done, step = done * 2, step * step % _PRIME
+    return out
 
 
 class Piece:
@@ -66,7 +70,7 @@ class Piece:
         self.data = LOWER[raw] if lower else raw
         self.borders = at - at[0]
         self.rows = n
-        self._sums: np.ndarray | None = None
+        self._sums: list[np.ndarray] | None = None
 
     def text(self, start: int, end: int) -> str:
         return self.data[start:end].tobytes().decode("utf-8")
@@ -97,13 +101,22 @@ class Piece:
         return starts, ends, np.append(first, len(starts))
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hash of each span of bytes, equal for equal bytes wherever they stand."""
-        size = 1 << max(12, len(self.data).bit_length())
-        up, down = _powers(size)
+        """64-bit hash of each span of bytes, equal for equal bytes wherever they stand.
+
+        Two different spans of n bytes agree in a residue for at most n of the 2^31 bases, and it takes both.
+        """
+        size, prime = 1 << max(12, len(self.data).bit_length()), np.uint64(_PRIME)
         if self._sums is None:
-            self._sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:len(self.data)], out=self._sums[1:])
-        return mix((self._sums[ends] - self._sums[starts]) * down[starts] ^ (ends - starts).astype(np.uint64))
+            self._sums = []
+            for base in _BASES:
+                terms = (self.data + np.uint64(1)) * _powers(base, size)[:len(self.data)]
+                terms = (terms & prime) + (terms >> np.uint64(31))
+                self._sums.append(np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64))))
+        out = (ends - starts).astype(np.uint64)
+        for base, sums in zip(_BASES, self._sums):
+            down = _powers(pow(base, -1, _PRIME), size)
+            out = mix(out + (sums[ends] - sums[starts]) % prime * down[starts] % prime)
+        return out
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
