@@ -37,8 +37,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    return mixing.mix(docs)
+    """All rows and columns stay, with size, source_size, target, weight and taken: how many words of each document the mix takes."""
+    return mixing.mix(docs, carry=docs.columns)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
