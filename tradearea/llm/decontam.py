@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per shard of training text.
 
-A shard is a few megabytes of whole documents inside one task. Its words become numbers: the words of
+A shard is a megabyte of whole documents inside one task. Its words become numbers: the words of
 the test windows are numbered, all others share the number 0. Runs of numbered words long enough for the
 shortest window are written one after another, each behind a separator of its own, and indexed: suffix
 order by prefix doubling, Burrows-Wheeler transform in a wavelet matrix, sampled suffix positions. All
@@ -29,7 +29,8 @@ WINDOW = 10
 SAMPLE = 8
 #: bytes of benchmark text of a pass, twice over; a window takes about 60 bytes, so a pass sends at most some 40 MB
 LIMIT = 2 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
+ADDED = ("_words", "_spans", "_items")
 
 
 class Windows:
@@ -204,27 +205,49 @@ def occurrences(piece: Piece, windows: Windows) -> tuple[np.ndarray, np.ndarray,
     return begins[run] + place - (borders[run] + run + 1), which, spans
 
 
-def _pass(docs: DataFrame, windows: Windows, text: str) -> DataFrame:
-    """Adds to _spans (first and past-the-last word, in turn) and _items what the windows hit."""
+def _cut(column: pa.Array, piece: Piece, spans: tuple, hit: list[list[int]]) -> pa.Array:
+    """The texts without the bytes from the first to the last word of each hit span."""
+    starts, ends, first = spans
+    whole = column.to_pylist()
+    for row, own in enumerate(hit):
+        if own:
+            raw, zero = whole[row].encode("utf-8"), int(piece.borders[row])
+            left, at = [], 0
+            for a, b in zip(own[::2], own[1::2]):
+                left.append(raw[at:int(starts[first[row] + a]) - zero])
+                at = int(ends[first[row] + b - 1]) - zero
+            whole[row] = b"".join([*left, raw[at:]]).decode("utf-8")
+    return pa.array(whole, column.type)
+
+
+def _pass(docs: DataFrame, windows: Windows, text: str, cut: bool = False) -> DataFrame:
+    """Adds to _spans (first and past-the-last word, in turn) and _items what the windows hit; with `cut`, then takes
+    the spans out of the text and leaves the three columns away."""
     sent = docs.sparkSession.sparkContext.broadcast(windows)
-    names = docs.columns
+    kinds = StructType([f for f in docs.schema.fields if not cut or f.name not in ADDED])
+    names = kinds.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = sent.value
         for batch in slices(batches, text, SHARD_BYTES):
-            word, which, (_, _, first) = occurrences(Piece(batch.column(text), lower=True), windows)
+            piece = Piece(batch.column(text), lower=True)
+            word, which, (starts, ends, first) = occurrences(piece, windows)
             rows = np.searchsorted(first, word, side="right") - 1
             spans = [[] if s is None else s for s in batch.column("_spans").to_pylist()]
-            items = [set(s or ()) for s in batch.column("_items").to_pylist()]
+            items = [set(s or ()) for s in batch.column("_items").to_pylist()] if not cut else []
             for row, at, w in zip(rows.tolist(), (word - first[rows]).tolist(), which.tolist()):
                 spans[row] += (at, at + int(windows.lengths[w]))
-                items[row].update(windows.items[j] for j in windows.holders[windows.first_holder[w]:windows.first_holder[w + 1]])
+                if not cut:
+                    items[row].update(windows.items[j] for j in windows.holders[windows.first_holder[w]:windows.first_holder[w + 1]])
             merged = [merge(s) for s in spans]
-            new = {"_spans": pa.array(merged, pa.list_(pa.int64())), "_items": pa.array([sorted(s) for s in items], pa.list_(pa.string())),
-                   "_words": pa.array(np.diff(first).astype(np.int64))}
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(names)], names=names)
+            if cut:
+                new = {text: _cut(batch.column(text), piece, (starts, ends, first), merged)} if any(merged) else {}
+            else:
+                new = {"_spans": pa.array(merged, pa.list_(pa.int64())), "_items": pa.array([sorted(s) for s in items], pa.list_(pa.string())),
+                       "_words": pa.array(np.diff(first).astype(np.int64))}
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, kinds)
 
 
 def merge(spans: list[int]) -> list[int]:
@@ -250,17 +273,20 @@ def window_sets(tests: DataFrame, item: str, text: str, window: int, limit: int)
 
 
 def hits(docs: DataFrame, tests: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-         window: int = WINDOW, limit: int = LIMIT) -> DataFrame:
-    """docs with _words (word count), _spans (merged hit spans, in words) and _items (items found, sorted).
+         window: int = WINDOW, limit: int = LIMIT, cut: bool = False) -> DataFrame:
+    """docs with _words (word count), _spans (merged hit spans, in words) and _items (items found, sorted); with `cut`,
+    docs without the spans' words instead.
 
     Null texts have no words. An item of fewer words than `window`, but not none, is one window. Items
     without id count under the empty id. Columns of docs with these three names are replaced.
     """
-    out = docs.drop("_words", "_spans", "_items").withColumns({
+    out = docs.drop(*ADDED).withColumns({
         "_words": F.lit(0).cast("bigint"), "_spans": F.array().cast("array<bigint>"), "_items": F.array().cast("array<string>")})
+    # one set ahead: the last pass also cuts
+    held = None
     for windows in window_sets(tests, item, item_text, window, limit):
-        out = _pass(out, windows, text)
-    return out
+        out, held = (out if held is None else _pass(out, held, text)), windows
+    return _pass(out, held, text, cut)
 
 
 def contamination(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -274,29 +300,7 @@ def contamination(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text:
 def without_hits(docs: DataFrame, tests: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs with the hit words cut out of the text, from the first to the last word of each merged span.
 
-    All other columns and all rows stay; a text without hits is unchanged, a null text stays null.
+    All other columns and all rows stay; a text without hits is unchanged, a null text stays null. Rows that repeat are
+    answered row by row, texts of any length are searched whole; an empty table or benchmark changes nothing.
     """
-    found = hits(docs, tests, text=text, **options)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            place = batch.schema.names.index(text)
-            spans = batch.column("_spans").to_pylist()
-            if any(spans):
-                column = batch.column(text)
-                piece = Piece(column, lower=True)
-                starts, ends, first = piece.spans(PLAIN)
-                whole = column.to_pylist()
-                for row, own in enumerate(spans):
-                    if own:
-                        raw, zero = whole[row].encode("utf-8"), int(piece.borders[row])
-                        left, at = [], 0
-                        for a, b in zip(own[::2], own[1::2]):
-                            left.append(raw[at:int(starts[first[row] + a]) - zero])
-                            at = int(ends[first[row] + b - 1]) - zero
-                        whole[row] = b"".join([*left, raw[at:]]).decode("utf-8")
-                batch = batch.set_column(place, batch.schema.field(place), pa.array(whole, column.type))
-            yield batch.select([c for c in batch.schema.names if c not in ("_words", "_spans", "_items")])
-
-    kinds = StructType([f for f in found.schema.fields if f.name not in ("_words", "_spans", "_items")])
-    return found.mapInArrow(run, kinds)
+    return hits(docs, tests, text=text, cut=True, **options)

@@ -130,7 +130,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     """docs with later copies of repeated line runs deleted from the text; all rows and other columns stay.
 
     Earlier means a smaller key (null first), then text hash, then line. Lines are separated by line feeds and
-    compared exactly. A text loses whole lines with their line feeds; one that loses all becomes empty. Null texts stay
+    compared by 64-bit names and word counts. A text loses whole lines with their line feeds; one that loses all becomes empty. Null texts stay
     null. Rows that repeat key and text are one document: all keep the same lines.
     """
     found = _joined(docs, key, text, min_words)

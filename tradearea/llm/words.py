@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 20
+#: a step holds about 150 bytes a byte of its piece
+PIECE_BYTES = 1 << 18
 #: span hashes are two polynomials over the field of this prime; sums of 2^32 residues fit 64 bits
 _PRIME = (1 << 31) - 1
 _BASES = (1403580497, 811532633)
