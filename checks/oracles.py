@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from math import pi
 
 from tradearea.schemas import COMPETITOR_COUNTS, FEATURES, HOLIDAY_WEEKS, NEAR_CODES, NEAR_KINDS
 
@@ -366,8 +367,54 @@ PIECES |= {
         where week not in ({', '.join(map(str, HOLIDAY_WEEKS))}) and week <= 40 group by 1""",
 }
 
+def _draw(*parts: str) -> str:
+    """The library's key-only draw: 48 bits of an MD5 sum."""
+    said = " || ':' || ".join(["'42'", *[f"cast({p} as varchar)" for p in parts]])
+    return f"(cast(('0x' || substr(md5({said}), 1, 12))::bigint as double) + 0.5::double) / 281474976710656::double"
+
+
+def oversample_pieces(coef: str = "2.5", k: int = 3, pert: str = "0.02", far: str = "2.0") -> dict[str, str]:
+    """osmade: the oversampled training rows; osnear: the nearest rows of every row in its own tail."""
+    cols = (*FEATURES, "store_online_gross_sales")
+    money = {c: 4 if c.startswith("store") else 2 for c in cols if c.endswith("gross_sales")}
+    d = "sqrt(" + " + ".join(f"(a.{c}-b.{c})*(a.{c}-b.{c})" for c in FEATURES) + ")"
+
+    def normal(i: int) -> str:
+        return f"sqrt(-2.0::double * ln({_draw('p.id', 'p.copy', str(10 + 2 * i))})) * cos({2 * pi!r}::double * {_draw('p.id', 'p.copy', str(11 + 2 * i))})"
+
+    made = ", ".join(f"case when near then p.{c} + u * (o.{c} - p.{c}) else p.{c} + {pert}::double * p.s_{c} * {normal(i)} end as {c}" for i, c in enumerate(cols))
+    return {
+        "osrows": "select cast(store_nbr * 100 + week as bigint) as id, " + ", ".join(
+            f"{rd(c, money[c])} as {c}" if c in money else f"cast({c} as double) as {c}" for c in cols) + " from trainset",
+        "osbox": "select quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.5) as med, quantile_cont(v, 0.75) as q3 from (select store_online_gross_sales as v from osrows)",
+        "osbound": f"""select med, case when bool_or(v < q1 - {coef} * (q3 - q1)) then min(case when v >= q1 - {coef} * (q3 - q1) then v end) end as low,
+            case when bool_or(v > q3 + {coef} * (q3 - q1)) then max(case when v <= q3 + {coef} * (q3 - q1) then v end) end as high
+            from (select store_online_gross_sales as v from osrows), osbox group by med""",
+        "osclimb": """select r.*, store_online_gross_sales > med as upper,
+            case when case when store_online_gross_sales > med then high else low end is not null then
+              least((store_online_gross_sales - med) / nullif(case when store_online_gross_sales > med then high else low end - med, 0), 1.0::double) end as u from osrows r, osbound""",
+        "ostail": "select * exclude (u, upper), case when coalesce(u * u * (3 - 2 * u), 0) >= 0.8 then (case when upper then 'high' else 'low' end) else 'middle' end as bump from osclimb",
+        "ossize": "select bump, count(*) as size from ostail group by 1",
+        "osrate": "select bump, round(all_rows / size / inverse / size, 1) as rate from ossize, (select sum(size) as all_rows, sum(1.0::double / size) as inverse from ossize)",
+        "ostried": "select * from ostail join osrate using (bump)",
+        "osrare": "select * from ostried where bump <> 'middle' and rate > 1",
+        "osnear": f"""select a.bump, a.id, b.id as neighbour, {d} as d, row_number() over (partition by a.id order by {d}, b.id) as nearest
+            from ostried a join ostried b on a.bump = b.bump and a.id <> b.id qualify nearest <= {k}""",
+        "oskth": "select bump, quantile_cont(m, 0.5) as median from (select bump, id, max(round(d, 9)) as m from osnear group by 1, 2) group by 1",
+        "osspread": "select bump, " + ", ".join(f"stddev_pop({c}) as s_{c}" for c in cols) + " from osrare group by 1",
+        "osbase": f"""select r.*, unnest(range(1, cast(floor(rate - 1) as bigint) + case when {_draw('id', '-2')} < rate - 1 - floor(rate - 1) then 1 else 0 end + 1)) as copy from osrare r""",
+        "osdrawn": f"""select b.*, m.median, s.* exclude (bump), c.n, cast(floor({_draw('b.id', 'b.copy', '1')} * c.n) as bigint) + 1 as pick, {_draw('b.id', 'b.copy', '2')} as u
+            from osbase b join oskth m using (bump) join osspread s using (bump) join (select id, count(*) as n from osnear group by 1) c using (id)""",
+        "ospick": f"select p.*, n.neighbour, round(n.d, 9) <= {far}::double * p.median as near from osdrawn p join osnear n on n.id = p.id and n.nearest = p.pick",
+        "osmade": f"""select id, {', '.join(cols)}, 'kept' as origin from ostried where rate >= 1 or {_draw('id', '-1')} < rate
+            union all select p.id, {made}, case when near then 'between' else 'shaken' end as origin from ospick p join osrare o on o.id = p.neighbour""",
+    }
+
+
+PIECES |= oversample_pieces()
+
 CORR_COLUMNS = ["week", *_NUM, "holiday_ind", "calendar_season_cd_cat", "store_volume_cd_cat", "fashion_attribute_cd_cat"]
-MATERIALIZED = re.compile(r"^(f|g1|g2)(d|core|edge|num|lab|ranked|best)$|^(pts|pts2|p1|features|scaled|s1sales|s2sales|sc|dist|areas|fva|trainset0|scoreset0|s1features)$")
+MATERIALIZED = re.compile(r"^(f|g1|g2)(d|core|edge|num|lab|ranked|best)$|^(pts|pts2|p1|features|scaled|s1sales|s2sales|sc|dist|areas|fva|trainset0|scoreset0|s1features|ostried|osnear)$")
 
 
 def statement(final: str) -> str:
@@ -536,6 +583,8 @@ FINAL |= {
         from (select l_extendedprice * l_quantity as v from lineitem),
           (select quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.5) as med, quantile_cont(v, 0.75) as q3 from (select l_extendedprice * l_quantity as v from lineitem))
         group by med)""",
+    "oversample_tails": "select id, " + ", ".join(f"{rd(c, 4)} as {c}" for c in (*FEATURES, "store_online_gross_sales")) + ", origin from osmade",
+    "nearest_rows": f"select bump, id as row, neighbour, {rd('d')} as distance, cast(nearest as bigint) as nearest from osnear",
     "closure_report": f"select store_nbr, {rd('closure_factor')} as closure_factor from report",
     "closure_top10": f"select store_nbr, {rd('closure_factor')} as closure_factor from report order by report.closure_factor desc nulls last, store_nbr limit 10",
     "closure_outliers": f"select store_nbr, {rd('closure_factor')} as closure_factor from report where closure_factor >= 100",

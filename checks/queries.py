@@ -17,7 +17,7 @@ from tradearea.operators.models import (
     feature_importance, fit_boosted, fit_forest, fit_linear, random_search, score, similar_by_clusters,
 )
 from tradearea.operators.near import near_group
-from tradearea.operators.sampling import oversample_tails, relevance_bounds
+from tradearea.operators.sampling import nearest_within, oversample_tails, relevance_bounds, tail_of
 from tradearea.operators.scaling import unscale
 from tradearea.operators.search import best_params, dbscan_grid
 from tradearea.operators.series import forecast_backtest, forecast_monthly, split_years
@@ -242,12 +242,19 @@ def _model(s: Steps, fit) -> DataFrame:
     return score(fit(training, FEATURES, TARGET), scoring).select("store_nbr", "week", "online_gross_sales", "forecast")
 
 
+def _keyed_rows(s: Steps) -> DataFrame:
+    """The feature table of the training weeks under a key of store and week."""
+    training = s.training().withColumn("id", F.col("store_nbr") * 100 + F.col("week"))
+    return cut(rounded(training.select("id", *FEATURES, TARGET), **MONEY), "keyed")
+
+
 def _oversampled(s: Steps) -> DataFrame:
-    # order and line number repeat: a written running number names each row, and every row stays
-    lines = s.t.raw("lineitem").select(
-        F.monotonically_increasing_id().alias("line"), "l_quantity", "l_discount", "l_tax",
-        (F.col("l_extendedprice") * F.col("l_quantity")).alias("amount"))
-    return oversample_tails(cut(lines, "lines"), "amount", "line", coef=1.0)
+    return rounded(oversample_tails(_keyed_rows(s), TARGET, "id"), 4)
+
+
+def _nearest_rows(s: Steps) -> DataFrame:
+    tailed = tail_of(_keyed_rows(s), TARGET)
+    return rounded(nearest_within(tailed, ["bump"], FEATURES, "id", 3))
 
 
 def _bounds(s: Steps) -> DataFrame:
@@ -371,6 +378,7 @@ QUERIES: dict[str, Callable[[Steps], DataFrame]] = {
     "boosted_trees": lambda s: _model(s, lambda *a: fit_boosted(*a, maxIter=10)),
     "random_search": _search,
     "oversample_tails": _oversampled,
+    "nearest_rows": _nearest_rows,
     "tail_bounds": _bounds,
     # report
     "closure_report": lambda s: rounded(s.fixed_report()),

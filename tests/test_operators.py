@@ -199,14 +199,42 @@ def test_oversampling(spark):
     bumps = {r.bump: r.n for r in tail_of(df, "y").groupBy("bump").agg(F.count("*").alias("n")).collect()}
     assert bumps == {"middle": 172, "high": 36}  # the outermost inner value counts as rare
     out = oversample_tails(df, "y", "id", rates={"high": 3.0, "middle": 0.5}).collect()
-    made = [r for r in out if r.origin == "made"]
+    made = [r for r in out if r.origin == "between"]
+    shaken = [r for r in out if r.origin == "shaken"]
     kept = [r for r in out if r.origin == "kept"]
-    assert len(made) == 72 and all(106 <= r.y <= 470 and 0 <= r.x <= 9 for r in made)
+    assert len(made) + len(shaken) == 72 and all(106 <= r.y <= 470 and 0 <= r.x <= 9 for r in made)
     assert sum(r.y >= 106 for r in kept) == 36 and 50 < len(kept) - 36 < 120
-    again = oversample_tails(df.repartition(7), "y", "id", rates={"high": 3.0, "middle": 0.5}, block=3).collect()
+    again = oversample_tails(df.repartition(7), "y", "id", rates={"high": 3.0, "middle": 0.5}).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, out))
 
 
+def test_oversampling_shakes_rows_with_far_neighbours(spark):
+    """A tail row far from all others is not mixed with them: its copies stay beside it."""
+    rows = [(k, float(k % 10), 100.0 + k % 7) for k in range(200)] + [(200 + k, 0.1 * k, 400.0 + k) for k in range(9)] + [(300, 5000.0, 405.0)]
+    out = oversample_tails(spark.createDataFrame(rows, "id long, x double, y double"), "y", "id", rates={"high": 6.0, "middle": 1.0}).collect()
+    lone = [r for r in out if r.id == 300]
+    assert [r.origin for r in lone].count("shaken") == 5 and [r.origin for r in lone].count("kept") == 1
+    # a fiftieth of the tail's deviation, times a normal draw
+    assert all(abs(r.x - 5000) < 0.02 * 1500 * 5 for r in lone) and len({r.x for r in lone}) == 6
+    assert sum(r.origin == "kept" for r in out) == 210 and any(r.origin == "between" for r in out)
+
+
+def test_nearest_within_when_groups_are_small_equal_or_lone(spark):
+    rows = [("a", 1, 0.0, 0.0)] + [("b", 10 + i, 5.0, 5.0) for i in range(5)] + [("c", 20, 0.0, 0.0), ("c", 21, 1e6, -1e6)]
+    rows += [("d", 100 + i, float(i % 40), float(i // 40) ** 3) for i in range(1600)]
+    got = {}
+    for r in nearest_within(spark.createDataFrame(rows, "g string, id long, x double, y double"), ["g"], ["x", "y"], "id", 3, 4).collect():
+        got.setdefault(r.row, []).append((r.nearest, r.neighbour, r.distance))
+    assert 1 not in got and sorted(got[20]) == [(1, 21, pytest.approx(2 ** 0.5 * 1e6))]
+    assert [n for _, n, _ in sorted(got[10])] == [11, 12, 13] and [n for _, n, _ in sorted(got[14])] == [10, 11, 12]
+    at = {k: np.array([x, y]) for g, k, x, y in rows if g == "d"}
+    keys, places = np.array(list(at)), np.array(list(at.values()))
+    for k in list(at)[::37]:
+        far = np.sqrt(((places - at[k]) ** 2).sum(1))
+        far[keys == k] = np.inf
+        assert [n for _, n, _ in sorted(got[k])] == keys[np.lexsort((keys, far))[:3]].tolist()
+
+
 def test_oversampling_names_a_null(spark):
     df = spark.createDataFrame([(i, float(i), None if i == 7 else float(i * i)) for i in range(40)], "id long, x double, y double")
     with pytest.raises(Exception, match="y is NULL"):

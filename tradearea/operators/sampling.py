@@ -3,24 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import pi
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from tradearea.operators.grouped import join_on, quantiles
-from tradearea.operators.tiles import (
-    BLOCK, Batches, block_pairs, field_arrays, into_blocks, list_values, pair_distances, with_lists,
-)
 from tradearea.sources.scratch import cut
 
-BUCKETS = 1 << 30
 
-
-def unit_draw(*parts: Column) -> Column:
-    """A number in [0, 1) that depends on the row's key only, not on where the row is processed."""
-    return F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)) / F.lit(float(BUCKETS))
+def unit_draw(seed: int, *parts: Column) -> Column:
+    """A number in (0, 1) that depends on seed and key only, not on where the row is processed: 48 bits of an MD5 sum."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint").cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
 def relevance_bounds(df: DataFrame, y: str, coef: float = 2.5) -> DataFrame:
@@ -70,67 +65,65 @@ def bump_rates(tailed: DataFrame) -> DataFrame:
     return join_on(sizes, whole, []).select("bump", "size", F.round(wanted / F.col("size"), 1).alias("rate"))
 
 
-def _nearest(keep: list[str], dims: int, k: int):
-    """Per point of block i its k nearest points of block j: distances and positions in j."""
-
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            xi = [list_values(batch, f"i_x{d}") for d in range(dims)]
-            xj = [list_values(batch, f"j_x{d}") for d in range(dims)]
-            ki, kj = list_values(batch, "i_row"), list_values(batch, "j_row")
-            far, place = [], []
-            for r in range(batch.num_rows):
-                dist = pair_distances(np.stack([x[r] for x in xi], axis=1), np.stack([x[r] for x in xj], axis=1))
-                dist[ki[r][:, None] == kj[r][None, :]] = np.inf
-                order = np.lexsort((np.broadcast_to(kj[r], dist.shape), dist), axis=1)[:, :k]
-                short = k - order.shape[1]
-                found = np.take_along_axis(dist, order, axis=1)
-                far.append(np.pad(found, ((0, 0), (0, short)), constant_values=np.inf).ravel())
-                place.append(np.pad(kj[r][order], ((0, 0), (0, short)), constant_values=-1).ravel())
-            yield with_lists(batch, keep, {"far": far, "found": place})
-
-    return run
-
-
 def nearest_within(df: DataFrame, by: Sequence[str], coords: Sequence[str], row: str, k: int,
-                   block: int = BLOCK) -> DataFrame:
-    """(by, row, neighbour, distance, nearest): the k nearest other rows of the same group, exactly.
+                   per_cell: int = 64) -> DataFrame:
+    """(by, row, neighbour, distance, nearest): the k nearest other rows of the same group, exactly; ties to the smaller row.
 
-    `row` is an integer key. Blocks of rows meet in pairs; each tile hands on only its k best per row.
+    `row` is an integer key. Rows fall into square cells over the two coordinates of the widest range, at first so large that a
+    cell holds about `per_cell` rows. A row meets the rows of the cells around its own and is done if its k-th neighbour is no
+    farther than a cell is wide, since whatever lies outside is farther; the others go on with cells of twice the width. Only
+    the k best of a row pass from a join on, however many it met.
     """
-    by = list(by)
-    pts = df.select(*by, F.col(row).cast("long").alias("row"),
-                    *[F.col(c).cast("double").alias(f"x{d}") for d, c in enumerate(coords)])
-    sizes = pts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    part = F.pmod(F.xxhash64("row"), F.ceil(F.col("_n") / block)).cast("string")
+    by = list(by) or ["_all"]
     xs = [f"x{d}" for d in range(len(coords))]
-    tiles = block_pairs(into_blocks(join_on(pts, sizes, by), by, part, ["row", *xs]), by)
-    ready = tiles.select(*by, *field_arrays(tiles, ["row", *xs], ["row", *xs]))
-    keep = [*by, "i_row"]
-    out = StructType([ready.schema[c] for c in keep] + [
-        StructField("far", ArrayType(DoubleType())), StructField("found", ArrayType(LongType()))])
-    found = ready.mapInArrow(_nearest(keep, len(coords), k), out)
-    flat = found.select(*by, "i_row", F.posexplode(F.arrays_zip("far", "found")).alias("_at", "_p")).select(
-        *by, F.element_at("i_row", (F.floor(F.col("_at") / k) + 1).cast("int")).alias("row"),
-        F.col("_p.far").alias("distance"), F.col("_p.found").alias("neighbour"),
-    ).filter("distance < double('infinity')")
-    best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k)
-    return flat.groupBy(*by, "row").agg(best.alias("_b")).select(
-        *by, "row", F.posexplode("_b").alias("nearest", "_n")).select(
-        *by, "row", F.col("_n.neighbour").alias("neighbour"), F.col("_n.distance").alias("distance"),
-        (F.col("nearest") + 1).alias("nearest"))
+    source = df if "_all" not in by else df.withColumn("_all", F.lit(0))
+    pts = source.select(*by, F.col(row).cast("long").alias("row"), *[F.col(c).cast("double").alias(x) for c, x in zip(coords, xs)])
+    ranges = pts.agg(*[(F.max(x) - F.min(x)).alias(x) for x in xs]).first()
+    wide = sorted(xs, key=lambda x: (-(ranges[x] or 0.0), x))[:2]
+    span = F.greatest(*[F.max(x) - F.min(x) for x in wide]) if len(wide) > 1 else F.max(wide[0]) - F.min(wide[0])
+    groups = pts.groupBy(*by).agg(span.alias("_span"), F.count(F.lit(1)).alias("_n")).withColumn(
+        "_width", F.when(F.col("_span") > 0, F.col("_span") / F.greatest(F.lit(1.0), F.sqrt(F.col("_n") / F.lit(float(per_cell))))).otherwise(F.lit(1.0)))
+    todo = pts = cut(pts.join(groups.filter("_n > 1").drop("_n"), by), "points")
+    steps = F.array(*[F.array(F.lit(a).cast("long"), F.lit(b).cast("long")) for a in (-1, 0, 1) for b in ((-1, 0, 1) if len(wide) > 1 else (0,))])
+    found: list[DataFrame] = []
+    while not todo.isEmpty():
+        width = F.col("_width") * F.lit(float(2 ** len(found)))
+        cells = {f"_c{i}": F.floor(F.col(x) / width) for i, x in enumerate(wide)}
+        around = todo.withColumns(cells).withColumn("_s", F.explode(steps)).withColumns({c: F.col(c) + F.col("_s")[i] for i, c in enumerate(cells)}).drop("_s")
+        other = pts.withColumns(cells).select(*by, *cells, F.col("row").alias("neighbour"), *[F.col(x).alias(f"_{x}") for x in xs])
+        far = F.sqrt(sum(((F.col(x) - F.col(f"_{x}")) * (F.col(x) - F.col(f"_{x}")) for x in xs), F.lit(0.0)))
+        met = around.join(other, [*by, *cells]).filter("row <> neighbour").select(*by, "row", "_span", width.alias("_reach"), "neighbour", far.alias("distance"))
+        place = F.row_number().over(Window.partitionBy(*by, "row").orderBy("distance", "neighbour"))
+        best = met.withColumn("nearest", place).filter(F.col("nearest") <= k)
+        listed = cut(best.groupBy(*by, "row").agg(
+            F.array_sort(F.collect_list(F.struct("nearest", "neighbour", "distance"))).alias("_b"), F.any_value("_span").alias("_span"), F.any_value("_reach").alias("_reach"),
+            F.max(F.when(F.col("nearest") == k, F.col("distance"))).alias("_kth")), "nearest")
+        sure = (F.coalesce(F.col("_kth") <= F.col("_reach"), F.lit(False))) | (F.col("_reach") >= F.col("_span"))
+        done = listed.filter(sure)
+        found.append(done)
+        # a row that met nobody is not listed, and goes on unless its cells already covered the group
+        todo = cut(todo.filter(width < F.col("_span")).join(done.select(*by, "row"), [*by, "row"], "left_anti"), "todo")
+    if not found:
+        found = [pts.select(*by, "row", F.array().cast("array<struct<nearest:int,neighbour:bigint,distance:double>>").alias("_b"))]
+    every = found[0].select(*by, "row", "_b")
+    for more in found[1:]:
+        every = every.unionByName(more.select(*by, "row", "_b"))
+    return every.select(*by, "row", F.explode("_b").alias("_n")).select(
+        *[c for c in by if c != "_all"], "row", F.col("_n.neighbour").alias("neighbour"), F.col("_n.distance").alias("distance"), F.col("_n.nearest").alias("nearest"))
 
 
 def oversample_tails(df: DataFrame, y: str, key: str, k: int = 3, coef: float = 2.5, thres: float = 0.8,
-                     seed: int = 42, rates: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
+                     seed: int = 42, rates: dict[str, float] | None = None, pert: float = 0.02, far: float = 2.0) -> DataFrame:
     """Rows of the numeric table with rare targets multiplied and common ones thinned.
 
-    A tail row yields rate - 1 new rows, each on the line to one of its k nearest rows in the same
-    tail at a drawn position; the new target is the mean of both targets weighted by nearness. Rows
-    of the middle stay with probability `rate`. `key` is a unique integer; draws hash it, so a
+    A tail row yields rate - 1 new rows, each from one of its k nearest rows in the same tail, drawn. If that row is no
+    farther than `far` times the tail's median distance to the k-th nearest row, the new row lies between the two at a
+    drawn position, and its target is the mean of both weighted by nearness. A farther row says little about what
+    lies between, so then the base row itself is shaken: each value by `pert` of the tail's standard deviation times a normal draw. Rows
+    of the middle stay with probability `rate`. `key` is a unique integer; draws are digests of it, so a
     repeated or re-partitioned run gives the same rows. `rates` overrides the computed rates. A NULL in
-    any column is an error that names the column.
-    Result: the columns of df plus `origin` ('kept' or 'made'); made rows repeat their base row's key.
+    any column is an error that names the column. A tail of one row has no neighbours and yields no new rows.
+    Result: the columns of df plus `origin` ('kept', 'between' or 'shaken'); made rows repeat their base row's key.
     """
     columns = [c for c in df.columns if c != key]
 
@@ -147,30 +140,37 @@ def oversample_tails(df: DataFrame, y: str, key: str, k: int = 3, coef: float =
         pick = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])
         tailed = tailed.withColumn("rate", F.coalesce(F.element_at(pick, F.col("bump")), F.lit(1.0)))
     tailed = cut(tailed, "tails")
-    stays = (F.col("rate") >= 1) | (unit_draw(F.col(key), F.lit(seed), F.lit(-1)) < F.col("rate"))
-    old = tailed.filter(stays).select(key, *columns, F.lit("kept").alias("origin"))
+    stays = (F.col("rate") >= 1) | (unit_draw(seed, F.col(key), F.lit(-1)) < F.col("rate"))
+    old = tailed.filter(stays).select(key, *[F.col(c).cast("double").alias(c) for c in columns], F.lit("kept").alias("origin"))
 
-    rare = tailed.filter("bump <> 'middle' and rate > 1")
+    rare = tailed.filter("bump <> 'middle' and rate > 1").select("bump", "rate", key, *[F.col(c).cast("double").alias(c) for c in columns])
     xs = [c for c in columns if c != y]
-    near = nearest_within(rare, ["bump"], xs, key, k, block)
-    choices = near.groupBy("bump", "row").agg(
-        F.sort_array(F.collect_list(F.struct("nearest", "neighbour"))).alias("choices"))
+    near = cut(nearest_within(rare, ["bump"], xs, key, k).withColumn("distance", F.round("distance", 9)), "neighbours")
+    kth = quantiles(near.groupBy("bump", "row").agg(F.max("distance").alias("_kth")), "_kth", {"_median": 0.5}, ["bump"])
+    spread = rare.groupBy("bump").agg(*[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
+    choices = near.groupBy("bump", F.col("row").alias(key)).agg(F.sort_array(F.collect_list(F.struct("nearest", "neighbour", "distance"))).alias("choices"))
     extra = F.col("rate") - 1
     whole = F.floor(extra)
-    copies = whole + (unit_draw(F.col(key), F.lit(seed), F.lit(-2)) < extra - whole).cast("long")
+    copies = whole + (unit_draw(seed, F.col(key), F.lit(-2)) < extra - whole).cast("long")
     bases = (
         rare.withColumn("copies", copies).filter("copies > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-        .join(choices.withColumnRenamed("row", key), ["bump", key])
+        .join(choices, ["bump", key]).join(kth, "bump").join(spread, "bump")
     )
-    turn = F.floor(unit_draw(F.col(key), F.col("copy"), F.lit(seed), F.lit(1)) * F.size("choices")).cast("int")
-    drawn = bases.withColumn("neighbour", F.get("choices", turn)["neighbour"]).withColumn(
-        "u", unit_draw(F.col(key), F.col("copy"), F.lit(seed), F.lit(2)))
+
+    def draw(n: int) -> Column:
+        return unit_draw(seed, F.col(key), F.col("copy"), F.lit(n))
+
+    drawn = bases.withColumn("_pick", F.get("choices", F.floor(draw(1) * F.size("choices")).cast("int"))).withColumns({
+        "neighbour": F.col("_pick.neighbour"), "u": draw(2), "_near": F.col("_pick.distance") <= F.lit(far) * F.col("_median")})
     other = rare.select("bump", F.col(key).alias("neighbour"), *[F.col(c).alias(f"_o_{c}") for c in columns])
-    u = F.col("u")
+    # two uniform draws make a normal one
+    def normal(i: int) -> Column:
+        return F.sqrt(F.lit(-2.0) * F.log(draw(10 + 2 * i))) * F.cos(F.lit(2 * pi) * draw(11 + 2 * i))
+
     made = drawn.join(other, ["bump", "neighbour"]).select(
         key,
-        *[(F.col(c) + u * (F.col(f"_o_{c}") - F.col(c))).alias(c) for c in columns],
-        F.lit("made").alias("origin"))
-    return old.select(key, *[F.col(c).cast("double").alias(c) for c in columns], "origin").unionByName(
-        made.select(key, *[F.col(c).cast("double").alias(c) for c in columns], "origin"))
+        *[F.when(F.col("_near"), F.col(c) + F.col("u") * (F.col(f"_o_{c}") - F.col(c))).otherwise(
+            F.col(c) + F.lit(pert) * F.col(f"_s_{c}") * normal(i)).alias(c) for i, c in enumerate(columns)],
+        F.when(F.col("_near"), "between").otherwise("shaken").alias("origin"))
+    return old.unionByName(made)
