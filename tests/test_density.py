@@ -2,8 +2,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from brute import dbscan, silhouette
-from tradearea.operators.density import dbscan_by
+from brute import dbscan, distances, silhouette
+from tradearea.operators import density
+from tradearea.operators.density import dbscan_by, neighbor_counts
 from tradearea.operators.silhouette import silhouette_by
 
 XYZ = ["x", "y", "z"]
@@ -69,3 +70,23 @@ def test_partitioning_does_not_matter(spark, labelled):
                      on=["store", "eps", "min_samples", "id"], suffixes=("", "_again"))
     assert len(want) == len(again) > 0
     assert (want.label == want.label_again).all()
+
+
+@pytest.mark.parametrize("leaf", [48, 3])
+def test_neighbor_counts_equal_brute_force(spark, monkeypatch, leaf):
+    """Loose, dense and coinciding places, two groups with radii of their own, and cells opened several times."""
+    monkeypatch.setattr(density, "LEAF", leaf)
+    rng = np.random.default_rng(7)
+    frames = []
+    for store, n in ((1, 500), (2, 90)):
+        xyz = np.concatenate([rng.normal(0, 0.05, (n, 3)), rng.uniform(-2, 2, (60, 3)), np.repeat([[0.01, 0.02, 0.03]], 30, axis=0), [[0.3, 0.0, 0.0], [-0.3, 0.0, 0.0]]])
+        frames.append(pd.DataFrame(np.round(xyz, 5), columns=XYZ).assign(store=store, id=[f"{store}-{k:04d}" for k in range(len(xyz))]))
+    pdf = pd.concat(frames, ignore_index=True)
+    radius = spark.createDataFrame([(1, 0.3), (2, 0.6), (3, 1.0)], "store long, eps double")
+    got = neighbor_counts(spark.createDataFrame(pdf).repartition(5), radius, ["store"], XYZ, "id").toPandas()
+    assert len(got) == len(pdf)
+    for (store, eps) in ((1, 0.3), (2, 0.6)):
+        own = pdf[pdf.store == store]
+        far = distances(own[XYZ].to_numpy())
+        want = dict(zip(own.id, (far <= eps).sum(axis=1)))
+        assert dict(zip(got[got.store == store].id, got[got.store == store].neighbors)) == want

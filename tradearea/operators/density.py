@@ -16,11 +16,14 @@ from collections.abc import Sequence
 from itertools import product
 from math import sqrt
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tradearea.operators.components import connected
 from tradearea.operators.grouped import running_total
+from tradearea.operators.tiles import Batches, field_arrays, list_values, pair_distances, with_lists
 from tradearea.sources.scratch import cut
 
 SHRINK = 1 - 1e-9
@@ -227,23 +230,118 @@ def dbscan_by(points: DataFrame, trials: DataFrame, by: Sequence[str], coords: S
     return points.join(sites.drop("w", "pid"), [*by, *coords])
 
 
+#: places a cell may hold before it is opened, and how often a cell's side may be halved
+LEAF, HALVINGS = 48, 20
+
+
+def _nested(sites: DataFrame, by: list[str], coords: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, leaves): cells of side eps, halved while they hold more than LEAF places.
+
+    nodes: by, node, parent, bounds (lo, hi), w (rows), leaf. leaves: the sites with the leaf that holds them. Cells are
+    named by depth and position, a node without children is a leaf.
+    """
+    dims = range(len(coords))
+    bounds = [*[F.min(c).alias(f"lo{i}") for i, c in enumerate(coords)], *[F.max(c).alias(f"hi{i}") for i, c in enumerate(coords)]]
+    left = sites.withColumns({f"_f{i}": F.floor(F.col(c) / F.col("eps") * SHRINK * float(1 << HALVINGS)) for i, c in enumerate(coords)})
+
+    def name(depth: int) -> Column:
+        return F.concat_ws("/", F.lit(str(depth)), *[F.shiftright(f"_f{i}", HALVINGS - depth).cast("string") for i in dims])
+
+    nodes, leaves = [], []
+    for depth in range(HALVINGS + 1):
+        parent = name(depth - 1) if depth else F.lit(None).cast("string")
+        cells = cut(left.groupBy(*by, "eps", parent.alias("parent"), name(depth).alias("node")).agg(
+            *bounds, F.sum("w").alias("w"), F.count(F.lit(1)).alias("_n")).withColumn(
+            "leaf", (F.col("_n") <= LEAF) if depth < HALVINGS else F.lit(True)), "nodes")
+        nodes.append(cells.drop("_n"))
+        placed = left.withColumn("node", name(depth))
+        leaves.append(placed.join(cells.filter("leaf").select(*by, "node"), [*by, "node"], "left_semi").select(*by, "eps", "node", "pid", "w", *coords))
+        if cells.filter("not leaf").isEmpty():
+            break
+        left = cut(placed.join(cells.filter("not leaf").select(*by, "node"), [*by, "node"], "left_semi").drop("node"), "dense")
+    every, held = nodes[0], leaves[0]
+    for more_nodes, more_leaves in zip(nodes[1:], leaves[1:]):
+        every, held = every.unionByName(more_nodes), held.unionByName(more_leaves)
+    return every, held
+
+
+def _leaf_pairs(keep: list[str], dims: int):
+    """Per row of a pair of leaves: the places of the first leaf and the weight of the second within eps of each."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            xi = [list_values(batch, f"i_x{k}") for k in range(dims)]
+            xj = [list_values(batch, f"j_x{k}") for k in range(dims)]
+            wj, eps = list_values(batch, "j_w"), batch.column(batch.schema.get_field_index("eps")).to_numpy()
+            near = []
+            for r in range(batch.num_rows):
+                far = pair_distances(np.stack([x[r] for x in xi], axis=1), np.stack([x[r] for x in xj], axis=1))
+                near.append(((far <= eps[r]) * wj[r]).sum(axis=1).astype(np.int64))
+            yield with_lists(batch, keep, {"near": near})
+
+    return run
+
+
 def neighbor_counts(points: DataFrame, radius: DataFrame, by: Sequence[str], coords: Sequence[str],
                     id_col: str) -> DataFrame:
     """(by, id, neighbors): rows of the same group within eps of each row, itself included.
 
-    `radius` holds eps per group. Distinct places meet only the places of the cells around them,
-    and the counts are added up inside the join, so no pair is ever kept.
+    `radius` holds eps per group. Cells are nested, and pairs of cells are followed from the widest on: a pair that lies wholly
+    within eps adds the one's rows to all rows of the other at once, one that lies wholly apart is dropped, and
+    only pairs on the border are opened, down to leaves of a few places, which are compared place by place. So a dense region
+    costs its border, not the square of its rows.
     """
     by, coords = list(by), list(coords)
-    wide = [f"g{i}" for i in range(len(coords))]
-    sites = collapse(points, by, coords, id_col).join(radius.select(*by, "eps").distinct(), by).withColumns({
-        f"g{i}": F.floor(F.col(c) / (F.col("eps") / SHRINK)) for i, c in enumerate(coords)})
-    around = sites.withColumn("_step", F.explode(_offsets(1, len(coords)))).select(
-        *by, "eps", "pid", *coords, *[(F.col(g) + F.col("_step")[i]).alias(g) for i, g in enumerate(wide)])
-    p, q = around.alias("p"), sites.alias("q")
-    near = distance("p", "q", coords) <= F.col("p.eps")
-    for c in [*by, *wide]:
-        near = near & (F.col(f"p.{c}") == F.col(f"q.{c}"))
-    counts = p.join(q, near).groupBy(*[F.col(f"p.{c}").alias(c) for c in [*by, *coords]]).agg(
-        F.sum("q.w").alias("neighbors"))
+    dims, wide = range(len(coords)), [f"g{i}" for i in range(len(coords))]
+    sites = cut(collapse(points, by, coords, id_col).join(radius.select(*by, F.col("eps").cast("double").alias("eps")).distinct(), by), "sites")
+    nodes, held = _nested(sites, by, coords)
+    nodes, held = cut(nodes, "cells"), cut(held, "leaves")
+    box = [*[f"lo{i}" for i in dims], *[f"hi{i}" for i in dims]]
+
+    # the first pairs: cells of side eps that touch
+    places = [F.split("node", "/")[i + 1].cast("long") for i in dims]
+    tops = nodes.filter("parent is null").withColumns(dict(zip(wide, places)))
+    around = tops.withColumn("_step", F.explode(_offsets(1, len(coords)))).select(*by, F.col("node").alias("a"), *[(F.col(g) + F.col("_step")[i]).alias(g) for i, g in enumerate(wide)])
+    pairs = around.join(tops.select(*by, *wide, F.col("node").alias("b")), [*by, *wide]).select(*by, "a", "b")
+    first = nodes.select(*by, "eps", F.col("node").alias("a"), F.col("leaf").alias("leaf_a"), *[F.col(c).alias(f"a{c}") for c in box])
+    second = nodes.select(*by, F.col("node").alias("b"), F.col("leaf").alias("leaf_b"), F.col("w").alias("w_b"), *[F.col(c).alias(f"b{c}") for c in box])
+    steps = nodes.filter("parent is not null").select(*by, F.col("parent").alias("up"), F.col("node").alias("down"))
+    ends = nodes.filter("leaf").select(*by, F.col("node").alias("up"), F.col("node").alias("down"))
+    opened = steps.unionByName(ends)
+    gap = sum((F.pow(F.greatest(F.col(f"alo{i}") - F.col(f"bhi{i}"), F.col(f"blo{i}") - F.col(f"ahi{i}"), F.lit(0.0)), 2) for i in dims), F.lit(0.0))
+    reach = sum((F.pow(F.greatest(F.col(f"ahi{i}") - F.col(f"blo{i}"), F.col(f"bhi{i}") - F.col(f"alo{i}")), 2) for i in dims), F.lit(0.0))
+    whole, border = [], []
+    while True:
+        met = pairs.join(first, [*by, "a"]).join(second, [*by, "b"]).filter(F.sqrt(gap) <= F.col("eps") / SHRINK).withColumn(
+            "inside", F.sqrt(reach) <= F.col("eps") * SHRINK).select(*by, "eps", "a", "b", "inside", "w_b", (F.col("leaf_a") & F.col("leaf_b")).alias("last"))
+        met = cut(met, "cellpairs")
+        whole.append(met.filter("inside").groupBy(*by, F.col("a").alias("node")).agg(F.sum("w_b").alias("near")))
+        border.append(met.filter("not inside and last").select(*by, "eps", "a", "b"))
+        rest = met.filter("not inside and not last").select(*by, "a", "b")
+        if rest.isEmpty():
+            break
+        pairs = rest.join(opened.withColumnsRenamed({"up": "a", "down": "_a"}), [*by, "a"]).join(
+            opened.withColumnsRenamed({"up": "b", "down": "_b"}), [*by, "b"]).select(*by, F.col("_a").alias("a"), F.col("_b").alias("b"))
+    tallies, edges = whole[0], border[0]
+    for more_whole, more_border in zip(whole[1:], border[1:]):
+        tallies, edges = tallies.unionByName(more_whole), edges.unionByName(more_border)
+
+    # a leaf has what its own cell and all cells above it were given at once
+    parts = F.split("node", "/")
+    depth = parts[0].cast("int")
+    above = F.transform(F.sequence(F.lit(0), depth), lambda d: F.concat_ws("/", d.cast("string"), *[
+        F.floor(parts[i + 1].cast("double") / F.pow(F.lit(2.0), depth - d)).cast("string") for i in dims]))
+    given = tallies.groupBy(*by, "node").agg(F.sum("near").alias("near"))
+    whole_of = nodes.filter("leaf").select(*by, F.col("node").alias("leaf"), F.explode(above).alias("node")).join(given, [*by, "node"]).groupBy(
+        *by, F.col("leaf").alias("node")).agg(F.sum("near").alias("whole"))
+
+    xs = [f"x{i}" for i in dims]
+    packed = held.select(*by, "node", F.struct("pid", "w", *[F.col(c).alias(x) for c, x in zip(coords, xs)]).alias("_s")).groupBy(*by, "node").agg(F.collect_list("_s").alias("rows"))
+    tiles = edges.join(packed.withColumnRenamed("node", "a"), [*by, "a"]).join(packed.select(*by, F.col("node").alias("b"), F.col("rows").alias("other_rows")), [*by, "b"])
+    ready = tiles.select(*by, "eps", *field_arrays(tiles, ["pid", *xs], ["w", *xs]))
+    keep = [*by, "i_pid"]
+    compared = ready.mapInArrow(_leaf_pairs(keep, len(coords)), StructType([*[ready.schema[c] for c in keep], StructField("near", ArrayType(LongType()))]))
+    single = compared.select(*by, F.explode(F.arrays_zip(F.col("i_pid").alias("pid"), "near")).alias("_p")).select(*by, "_p.*").groupBy(*by, "pid").agg(F.sum("near").alias("single"))
+    counts = held.join(whole_of, [*by, "node"], "left").join(single, [*by, "pid"], "left").select(
+        *by, *coords, (F.coalesce("whole", F.lit(0)) + F.coalesce("single", F.lit(0))).alias("neighbors"))
     return points.select(*by, *coords, id_col).join(counts, [*by, *coords]).select(*by, id_col, "neighbors")
