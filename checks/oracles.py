@@ -413,6 +413,19 @@ def oversample_pieces(coef: str = "2.5", k: int = 3, pert: str = "0.02", far: st
 
 PIECES |= oversample_pieces()
 
+
+def fourier_gram_sql(bends: int = 4, waves: int = 3) -> str:
+    x = ["1.0::double", "t", *[f"greatest(t - {(j + 1) / (bends + 1)!r}::double, 0.0::double)" for j in range(bends)]]
+    for k in range(1, waves + 1):
+        x += [f"sin({2 * pi / 12!r}::double * m * {k})", f"cos({2 * pi / 12!r}::double * m * {k})"]
+    p = range(len(x))
+    sums = [f"{rd(f'sum(x{i} * x{j})', 5)} as g_{i}_{j}" for i in p for j in p if i <= j] + [f"{rd(f'sum(x{i} * ly)', 5)} as r_{i}" for i in p]
+    return f"""select store_nbr, count(*) as n, {', '.join(sums)}, {rd('sum(ly * ly)', 5)} as yy from (
+        select store_nbr, ly, {', '.join(f'{c} as x{i}' for i, c in enumerate(x))} from (
+        select store_nbr, month(month) as m, ln(y) as ly, coalesce((mn - min(mn) over w)::double / nullif(max(mn) over w - min(mn) over w, 0), 0.0::double) as t
+        from (select store_nbr, month, y, year(month) * 12 + month(month) as mn from train where y > 0) window w as (partition by store_nbr))) group by 1"""
+
+
 CORR_COLUMNS = ["week", *_NUM, "holiday_ind", "calendar_season_cd_cat", "store_volume_cd_cat", "fashion_attribute_cd_cat"]
 MATERIALIZED = re.compile(r"^(f|g1|g2)(d|core|edge|num|lab|ranked|best)$|^(pts|pts2|p1|features|scaled|s1sales|s2sales|sc|dist|areas|fva|trainset0|scoreset0|s1features|ostried|osnear)$")
 
@@ -585,6 +598,7 @@ FINAL |= {
         group by med)""",
     "oversample_tails": "select id, " + ", ".join(f"{rd(c, 4)} as {c}" for c in (*FEATURES, "store_online_gross_sales")) + ", origin from osmade",
     "nearest_rows": f"select bump, id as row, neighbour, {rd('d')} as distance, cast(nearest as bigint) as nearest from osnear",
+    "fourier_gram": fourier_gram_sql(),
     "closure_report": f"select store_nbr, {rd('closure_factor')} as closure_factor from report",
     "closure_top10": f"select store_nbr, {rd('closure_factor')} as closure_factor from report order by report.closure_factor desc nulls last, store_nbr limit 10",
     "closure_outliers": f"select store_nbr, {rd('closure_factor')} as closure_factor from report where closure_factor >= 100",

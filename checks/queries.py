@@ -20,7 +20,7 @@ from tradearea.operators.near import near_group
 from tradearea.operators.sampling import nearest_within, oversample_tails, relevance_bounds, tail_of
 from tradearea.operators.scaling import unscale
 from tradearea.operators.search import best_params, dbscan_grid
-from tradearea.operators.series import forecast_backtest, forecast_monthly, split_years
+from tradearea.operators.series import forecast_backtest, forecast_fourier, forecast_monthly, fourier_gram, split_years
 from tradearea.operators.silhouette import silhouette_by
 from tradearea.plans import areas as A
 from tradearea.plans import closure as C
@@ -333,6 +333,8 @@ QUERIES: dict[str, Callable[[Steps], DataFrame]] = {
     "split_years": _split,
     "month_calendar": lambda s: rounded(_forecast(s).select("store_nbr", "month")),
     "forecast": lambda s: rounded(_forecast(s).drop("position"), 3),
+    "fourier_gram": lambda s: rounded(fourier_gram(s.train(), ["store_nbr"], "month", "sales").drop("first_mn", "last_mn", "last_month"), 5),
+    "forecast_fourier": lambda s: rounded(forecast_fourier(s.train(), ["store_nbr"], "month", "sales"), 3),
     "forecast_vs_actual_open": lambda s: rounded(s.compared(s.opened()), 3, relative_difference=6),
     "forecast_vs_actual_closed": lambda s: rounded(s.compared(s.closed(), relative=False), 3),
     "forecast_error": lambda s: rounded(P.forecast_error(s.compared(s.opened()))),

@@ -13,7 +13,7 @@ from tradearea.operators.scaling import scale_by, unscale
 from brute import dbscan as brute_dbscan, silhouette as brute_silhouette
 from tradearea.operators.search import Grid, best_params, dbscan_grid
 from tradearea.operators.silhouette import silhouette_by
-from tradearea.operators.series import forecast_backtest, forecast_monthly, train_tail
+from tradearea.operators.series import forecast_backtest, forecast_fourier, forecast_monthly, train_tail
 
 
 def test_running_total_and_quantiles_of_one_hot_group(spark):
@@ -239,3 +239,40 @@ def test_oversampling_names_a_null(spark):
     df = spark.createDataFrame([(i, float(i), None if i == 7 else float(i * i)) for i in range(40)], "id long, x double, y double")
     with pytest.raises(Exception, match="y is NULL"):
         oversample_tails(df, "y", "id", coef=0.1).count()
+
+
+def test_fourier_forecast_equals_numpy(spark):
+    """Regularised least squares of the logarithm on bends and waves, series by series; a year's pattern is found again."""
+    import datetime
+    rng = np.random.default_rng(5)
+    rows, months = [], [datetime.date(2015 + m // 12, m % 12 + 1, 1) for m in range(60)]
+    for store in (1, 2, 3):
+        for m, day in enumerate(months[:60 if store < 3 else 1]):
+            level = 1000 * (1 + 0.01 * m) * (1 + 0.3 * np.sin(2 * np.pi * (m % 12 + 1) / 12)) * store
+            rows.append((store, day, float(level * np.exp(rng.normal(0, 0.01)))))
+    rows.append((2, datetime.date(2014, 1, 1), -5.0))
+    got = {}
+    for r in forecast_fourier(spark.createDataFrame(rows, "store int, month date, y double"), ["store"], "month", "y", periods=12).collect():
+        got.setdefault(r.store, []).append((r.position, r.month, r.yhat, r.lower, r.upper))
+
+    def design(t, month):
+        cols = [np.ones_like(t), t, *[np.maximum(t - (j + 1) / 5, 0) for j in range(4)]]
+        for k in (1, 2, 3):
+            cols += [np.sin(2 * np.pi / 12 * month * k), np.cos(2 * np.pi / 12 * month * k)]
+        return np.stack(cols, 1)
+
+    pull = np.diag([0, 0, .5, .5, .5, .5, *[.05] * 6]) + 1e-9 * np.eye(12)
+    for store in (1, 2):
+        own = [(d, y) for s, d, y in rows if s == store and y > 0]
+        t, month = np.arange(60) / 59, np.array([d.month for d, _ in own])
+        x, ly = design(t, month), np.log([y for _, y in own])
+        beta = np.linalg.solve(x.T @ x + pull, x.T @ ly)
+        spread = np.sqrt(((ly - x @ beta) ** 2).mean())
+        ahead = design(np.arange(60, 72) / 59, np.arange(12) % 12 + 1) @ beta
+        mine = sorted(got[store])
+        assert [p for p, *_ in mine] == list(range(1, 13)) and mine[0][1] == datetime.date(2020, 1, 1)
+        assert np.allclose([y for _, _, y, _, _ in mine], np.exp(ahead), rtol=1e-6)
+        assert np.allclose([lo for *_, lo, _ in mine], np.exp(ahead - 1.2816 * spread), rtol=1e-6)
+        truth = [1000 * (1 + 0.01 * m) * (1 + 0.3 * np.sin(2 * np.pi * (m % 12 + 1) / 12)) * store for m in range(60, 72)]
+        assert np.abs(np.exp(ahead) / truth - 1).max() < 0.12
+    assert len(got[3]) == 12 and all(np.isfinite(y) for _, _, y, _, _ in got[3])

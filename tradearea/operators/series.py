@@ -1,11 +1,15 @@
-"""Monthly forecasts of all series at once: straight trend times month-of-year index."""
+"""Monthly forecasts of all series at once: straight trend times month-of-year index, or a bending trend times waves."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from math import pi
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tradearea.schemas import FORECAST_PERIODS, INTERVAL_Z
 
@@ -82,6 +86,82 @@ def forecast_monthly(df: DataFrame, by: Sequence[str], month: str, value: str,
         (F.col("yhat") + z * F.col("spread")).alias("upper"), (F.col("position") + 1).alias("position"))
 
 
+BENDS, WAVES = 4, 3
+#: pull towards zero of level, slope, bends and waves
+RIDGE = (0.0, 0.0, 0.5, 0.05)
+
+
+def terms(t: Column, month: Column, bends: int = BENDS, waves: int = WAVES) -> list[Column]:
+    """Level, slope, bends of the trend at equal steps of the training span (t runs from 0 to 1), and yearly waves."""
+    turn = F.lit(2 * pi / 12) * month
+    out = [F.lit(1.0), t, *[F.greatest(t - F.lit((j + 1) / (bends + 1)), F.lit(0.0)) for j in range(bends)]]
+    for k in range(1, waves + 1):
+        out += [F.sin(turn * k), F.cos(turn * k)]
+    return out
+
+
+def fourier_gram(df: DataFrame, by: Sequence[str], month: str, value: str, bends: int = BENDS, waves: int = WAVES) -> DataFrame:
+    """One row per series: n, first_mn, last_month, g_i_j (sums of products of two terms), r_i (of a term and log y), yy.
+
+    Seasons are factors, so the model is linear in the logarithm; months without positive sales say nothing about it and are left out.
+    One aggregate holds all a fit needs, however many months a series has.
+    """
+    by = list(by)
+    rows = df.groupBy(*by, F.col(month).alias("month")).agg(F.sum(value).alias("y")).filter("y > 0").withColumn("mn", month_number(F.col("month")))
+    ends = rows.groupBy(*by).agg(F.min("mn").alias("first_mn"), F.max("mn").alias("last_mn"), F.max("month").alias("last_month"))
+    placed = rows.join(ends, by).withColumns({
+        "t": F.coalesce(F.try_divide((F.col("mn") - F.col("first_mn")).cast("double"), (F.col("last_mn") - F.col("first_mn")).cast("double")), F.lit(0.0)),
+        "ly": F.log("y")})
+    x = terms(F.col("t"), F.month("month"), bends, waves)
+    named = placed.select(*by, "first_mn", "last_mn", "last_month", "ly", *[c.alias(f"x{i}") for i, c in enumerate(x)])
+    p = range(len(x))
+    return named.groupBy(*by, "first_mn", "last_mn", "last_month").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"g_{i}_{j}") for i in p for j in p if i <= j],
+        *[F.sum(F.col(f"x{i}") * F.col("ly")).alias(f"r_{i}") for i in p], F.sum(F.col("ly") * F.col("ly")).alias("yy"))
+
+
+def _solved(size: int, ridge: np.ndarray, keep: list[str]):
+    """Coefficients and residual spread of each series of a batch, all solved together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names) if c not in keep}
+            gram = np.zeros((batch.num_rows, size, size))
+            for i in range(size):
+                for j in range(i, size):
+                    gram[:, i, j] = gram[:, j, i] = at[f"g_{i}_{j}"]
+            right = np.stack([at[f"r_{i}"] for i in range(size)], axis=1)
+            # a hair on the diagonal keeps series of one month solvable
+            found = np.linalg.solve(gram + np.diag(ridge + 1e-9), right[:, :, None])[:, :, 0]
+            miss = at["yy"] - 2 * (found * right).sum(1) + np.einsum("ni,nij,nj->n", found, gram, found)
+            spread = np.sqrt(np.maximum(miss, 0) / at["n"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.names.index(c)) for c in keep], pa.array(list(found), pa.list_(pa.float64())), pa.array(spread)],
+                                             names=[*keep, "beta", "spread"])
+
+    return run
+
+
+def forecast_fourier(df: DataFrame, by: Sequence[str], month: str, value: str, periods: int = FORECAST_PERIODS, z: float = INTERVAL_Z,
+                     bends: int = BENDS, waves: int = WAVES, ridge: Sequence[float] = RIDGE) -> DataFrame:
+    """(by, month, yhat, lower, upper, position): a bending trend times yearly waves, fitted by regularised least squares.
+
+    After the training span the last slope goes on. The interval is the forecast times and over exp(z * residual spread). Series
+    without a month of positive sales have no forecast.
+    """
+    by = list(by)
+    keep = [*by, "first_mn", "last_mn", "last_month"]
+    gram = fourier_gram(df, by, month, value, bends, waves)
+    pull = np.array([ridge[0], ridge[1], *[ridge[2]] * bends, *[ridge[3]] * (2 * waves)])
+    schema = StructType([*[gram.schema[c] for c in keep], StructField("beta", ArrayType(DoubleType())), StructField("spread", DoubleType())])
+    fit = gram.mapInArrow(_solved(2 + bends + 2 * waves, pull, keep), schema)
+    ahead = fit.select(*keep, "beta", "spread", F.posexplode(month_calendar(F.col("last_month"), periods)).alias("position", "month"))
+    t = F.coalesce(F.try_divide((month_number(F.col("month")) - F.col("first_mn")).cast("double"), (F.col("last_mn") - F.col("first_mn")).cast("double")), F.lit(1.0))
+    total = sum((F.col("beta")[i] * x for i, x in enumerate(terms(t, F.month("month"), bends, waves))), F.lit(0.0))
+    return ahead.withColumn("_log", total).select(
+        *by, "month", F.exp("_log").alias("yhat"), F.exp(F.col("_log") - z * F.col("spread")).alias("lower"),
+        F.exp(F.col("_log") + z * F.col("spread")).alias("upper"), (F.col("position") + 1).alias("position"))
+
+
 def train_tail(df: DataFrame, by: Sequence[str], month: str, value: str,
                periods: int = FORECAST_PERIODS) -> DataFrame:
     """The last training values of a series, numbered 1..periods; nothing for a shorter series."""
