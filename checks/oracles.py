@@ -427,7 +427,7 @@ def fourier_gram_sql(bends: int = 4, waves: int = 3) -> str:
 
 
 CORR_COLUMNS = ["week", *_NUM, "holiday_ind", "calendar_season_cd_cat", "store_volume_cd_cat", "fashion_attribute_cd_cat"]
-MATERIALIZED = re.compile(r"^(f|g1|g2)(d|core|edge|num|lab|ranked|best)$|^(pts|pts2|p1|features|scaled|s1sales|s2sales|sc|dist|areas|fva|trainset0|scoreset0|s1features|ostried|osnear)$")
+MATERIALIZED = re.compile(r"^(f|g1|g2|w)(d|core|edge|num|lab|ranked|best)$|^(pts|pts2|p1|features|scaled|s1sales|s2sales|sc|dist|areas|fva|trainset0|scoreset0|s1features|ostried|osnear)$")
 
 
 def statement(final: str) -> str:
@@ -607,5 +607,23 @@ FINAL |= {
 }
 
 
+PIECES |= {"wtrial": "select store_nbr, eps, min_samples from g1best"} | dbscan_pieces("w", "pts", "wtrial")
+PIECES |= {"wkept": "select p.*, l.label from wlab l join pts p using (store_nbr, row_id) where l.label <> 0 and p.distance < 50"} | near_pieces("w", "wkept")
+FINAL |= {
+    "cohort_loaded": " union all ".join(f"select {CODES}, count(*) as row_count, '{n}' as table_name from {t} group by {CODES}"
+                                        for n, t in (("transactions", "tx"), ("distance", "dist"), ("bopis", "bp"))),
+    "params_round_trip": "select distinct store_nbr, row_id as geoid from wnear",
+    "areas_written": f"select store_nbr, {CODES}, geoid, 'open' as brand from open_areas union all select store_nbr, {CODES}, geoid, 'closed' from closed_areas",
+    "forecasts_written": f"select *, 'closed' as cohort from ({FINAL['forecast_vs_actual_closed']})",
+    "sales_loaded": FINAL["month_date"],
+    "competitors_loaded": f"select store_nbr, {', '.join(f'cast({c} as bigint) as {c}' for c in COMPETITOR_COUNTS)} from comp",
+    "factors_loaded": FINAL["negative_factors"],
+    "weekly_loaded": f"select distinct * from ({FINAL['weekly_features_first']})",
+    "warehouse_loaded": FINAL["channel_weekly_first"],
+    "report_written": FINAL["closure_report"],
+    "factor_copied": f"select store_nbr, cast(week as bigint) as week, {rd('closure_factor')} as closure_factor, {rd('closure_factor')} as mod_closure_factor from trainset",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: statement(final) for name, final in FINAL.items()}

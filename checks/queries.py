@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,8 +29,9 @@ from tradearea.plans import forecasts as P
 from tradearea.plans import impact as I
 from tradearea.plans import overlap as O
 from tradearea.plans import sales as S
-from tradearea.schemas import CODES, FEATURES, FIRST_BRAND, SECOND_BRAND
-from tradearea.sources.scratch import cut
+from tradearea.schemas import CODES, FEATURES, FIRST_BRAND, SECOND_BRAND, WEEKLY
+from tradearea.sources import readers, writers
+from tradearea.sources.scratch import cut, run_dir
 
 SMALL_GRID = ((0.2, 0.3), (3, 5))
 TARGET = C.TARGET
@@ -275,6 +277,98 @@ def _store_clusters(s: Steps) -> DataFrame:
     return similar_by_clusters(sized, ["sales", "swing"], 4).select("store_nbr", "store_group")
 
 
+# -- written and read back
+def _at(s: Steps, name: str) -> str:
+    return f"{run_dir(s.t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _cohort_loaded(s: Steps) -> DataFrame:
+    """Codes that came as whole numbers, and sources' own column names."""
+    at = _at(s, "cohort")
+    whole = [F.col(c).cast("int").alias(c) for c in CODES]
+    s.t.transactions().select("store_nbr", *whole, "instore_transaction_count").write.parquet(f"{at}/tx")
+    s.t.distance().select(F.col("store_nbr").cast("int").alias("store_nbr"), *CODES, "distance").write.parquet(f"{at}/distance")
+    s.t.bopis().withColumnsRenamed({"store_nbr": "PICKUP_STORE", "bopis_customers": "CUSTOMER_ID"}).write.parquet(f"{at}/bopis")
+    cohort = readers.load_cohort(s.t.spark, {"transactions": f"{at}/tx", "distance": f"{at}/distance", "bopis": f"{at}/bopis"})
+    parts = [cohort[n].groupBy(*CODES).agg(F.count(F.lit(1)).alias("row_count")).withColumn("table_name", F.lit(n)) for n in ("transactions", "distance", "bopis")]
+    return union_all(parts)
+
+
+def _params_round_trip(s: Steps) -> DataFrame:
+    """Tuned parameters written, read by name, and used by the fixed job."""
+    features = cut(s.features(), "features")
+    at = _at(s, "params")
+    writers.write_params(A.trade_area_tuned(features, *SMALL_GRID)[1], at)
+    return _area(A.trade_area_fixed(features, readers.load_params(s.t.spark, at)))
+
+
+def _areas_written(s: Steps) -> DataFrame:
+    """Areas of two brands, one written twice: a rerun replaces its stores, and one brand is read alone."""
+    at = _at(s, "areas")
+    writers.write_areas(s.closed_areas(), at, "closed")
+    for _ in range(2):
+        writers.write_areas(s.open_areas(), at, "open")
+    return union_all([readers.load_areas(s.t.spark, at, b).withColumn("brand", F.lit(b)) for b in ("open", "closed")])
+
+
+def _forecasts_written(s: Steps) -> DataFrame:
+    at = _at(s, "forecasts")
+    for _ in range(2):
+        writers.write_forecasts(s.compared(s.closed(), relative=False), at, "closed")
+    return rounded(s.t.spark.read.parquet(at), 3)
+
+
+def _sales_loaded(s: Steps) -> DataFrame:
+    at = _at(s, "sales")
+    writers.write_result(s.t.monthly_sales(), at, "csv")
+    return rounded(P.with_month(readers.load_monthly_sales(s.t.spark, at)).select("store_nbr", "month", "sales"), 2)
+
+
+def _competitors_loaded(s: Steps) -> DataFrame:
+    """The names that the source gives its columns."""
+    at = _at(s, "competitors")
+    named = s.t.competitors()
+    writers.write_result(named.toDF(*[c.replace("_0_5_", "_0.5_").replace("_2_5_", "_2.5_").replace("_mi", " mi").title() if c != "store_nbr" else c for c in named.columns]), at, "csv")
+    return rounded(readers.load_competitors(s.t.spark, at))
+
+
+def _factors_loaded(s: Steps) -> DataFrame:
+    at = _at(s, "factors")
+    s.t.closure_factors().withColumnsRenamed({"store_nbr": "STORE_NUMBER", "closure_factor": "HALO_FACTOR"}).write.parquet(at)
+    return rounded(C.negative_factors(readers.load_factors(s.t.spark, at)))
+
+
+def _weekly_loaded(s: Steps) -> DataFrame:
+    """Weekly features as runs: the newest finished one is read, the oldest goes."""
+    at = _at(s, "weekly")
+    weekly = cut(s.weekly().select(*[f.name for f in WEEKLY.fields]), "weekly")
+    writers.write_run(weekly.limit(1), at, "1")
+    for name in ("2", "3"):
+        writers.write_run(weekly.withColumnRenamed("week", "WEEKS"), at, name)
+    writers.drop_runs(s.t.spark, at, 2)
+    return rounded(readers.load_weekly(s.t.spark, f"{at}/run=3").unionByName(writers.read_run(s.t.spark, at).withColumnRenamed("WEEKS", "week")).distinct(), 2)
+
+
+def _warehouse_loaded(s: Steps) -> DataFrame:
+    """All nine tables from catalog views, by role."""
+    tables = s.warehouse()
+    names = {role: f"{role}_{uuid.uuid4().hex}" for role in tables}
+    for role, name in names.items():
+        tables[role].createOrReplaceTempView(name)
+    loaded = readers.load_warehouse(s.t.spark, names)
+    return rounded(S.channel_weekly(S.enriched_sales(loaded, FIRST_BRAND), S.store_customers(loaded["mailing_address"], s.t.near_areas(), loaded["customer_curr"])), 2)
+
+
+def _report_written(s: Steps) -> DataFrame:
+    at = _at(s, "report")
+    writers.write_result(s.fixed_report(), at, "csv")
+    return rounded(s.t.spark.read.schema("store_nbr bigint, closure_factor double").csv(at, header=True))
+
+
+def _factor_copied(s: Steps) -> DataFrame:
+    return rounded(s.training().select("store_nbr", "week", "closure_factor", "mod_closure_factor"))
+
+
 def _area(df: DataFrame) -> DataFrame:
     return df.select("store_nbr", "geoid")
 
@@ -387,6 +481,18 @@ QUERIES: dict[str, Callable[[Steps], DataFrame]] = {
     "closure_top10": lambda s: rounded(C.closure_top(s.fixed_report())),
     "closure_outliers": lambda s: rounded(C.closure_outliers(s.fixed_report())),
     "closure_mean_no_outliers": lambda s: rounded(C.closure_summary(s.fixed_report())),
+    # sources and sinks
+    "cohort_loaded": _cohort_loaded,
+    "params_round_trip": _params_round_trip,
+    "areas_written": _areas_written,
+    "forecasts_written": _forecasts_written,
+    "sales_loaded": _sales_loaded,
+    "competitors_loaded": _competitors_loaded,
+    "factors_loaded": _factors_loaded,
+    "weekly_loaded": _weekly_loaded,
+    "warehouse_loaded": _warehouse_loaded,
+    "report_written": _report_written,
+    "factor_copied": _factor_copied,
     "store_info_rows": lambda s: C.store_info_rows(s.sets()[1]),
 }
 

@@ -90,3 +90,66 @@ def test_a_cluster_needs_the_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch.shared_dir(Session())
+
+
+def test_types_are_widened_but_never_cut(spark, tmp_path):
+    base = spark.createDataFrame([(1, 6, 61, 40200)], "store_nbr int, fips_state_cd int, fips_county_cd long, census_block_cd int")
+    got = T.require_columns(base.withColumn("distance", F.lit(1.5).cast("float")), T.DISTANCE)
+    assert got.dtypes == [(f.name, f.dataType.simpleString()) for f in T.DISTANCE.fields] and tuple(got.first()) == (1, "06", "061", "040200", 1.5)
+    with pytest.raises(Exception, match="more than 2 digits"):
+        T.require_columns(base.withColumn("fips_state_cd", F.lit(123)).withColumn("distance", F.lit(1.0)), T.DISTANCE).collect()
+    for kind, schema in (("bigint", T.CLOSURE_FACTOR), ("string", T.CLOSURE_FACTOR), ("decimal(20,2)", T.CLOSURE_FACTOR)):
+        with pytest.raises(ValueError, match="closure_factor"):
+            T.require_columns(spark.createDataFrame([(1,)], "store_nbr long").withColumn("closure_factor", F.lit("1").cast(kind)), schema)
+    spark.createDataFrame([(5, -0.25)], "Store_Number int, Halo_Factor double").write.parquet(f"{tmp_path}/f")
+    assert tuple(readers.load_factors(spark, f"{tmp_path}/f").first()) == (5, -0.25)
+
+
+def test_competitors_are_declared(spark, tmp_path):
+    (tmp_path / "ok.csv").write_text("STORE_NBR,Kol_2.5_mi,Wal 10 mi\n7,1,\n")
+    got = readers.load_competitors(spark, f"{tmp_path}/ok.csv")
+    assert [f.dataType.simpleString() for f in got.schema.fields] == ["bigint", "int", "int"] and tuple(got.first()) == (7, 1, None)
+    (tmp_path / "bad.csv").write_text("store_nbr,wal_10_mi\n7,many\n")
+    with pytest.raises(Exception, match="no whole number"):
+        readers.load_competitors(spark, f"{tmp_path}/bad.csv").collect()
+    (tmp_path / "odd.csv").write_text("store_nbr,shop\n7,1\n")
+    with pytest.raises(ValueError, match="unknown"):
+        readers.load_competitors(spark, f"{tmp_path}/odd.csv")
+
+
+def test_runs_have_a_life(spark, tmp_path):
+    at = f"{tmp_path}/result"
+    with pytest.raises(FileNotFoundError):
+        writers.read_run(spark, at)
+    for n in ("1", "2", "3"):
+        writers.write_run(spark.range(int(n)), at, n)
+    (tmp_path / "result" / "run=4").mkdir()  # a run that broke off has no mark
+    (tmp_path / "result" / "run=0").mkdir()
+    assert writers.read_run(spark, at).count() == 3 and writers.read_run(spark, at, "1").count() == 1
+    with pytest.raises(FileNotFoundError):
+        writers.read_run(spark, at, "4")
+    with pytest.raises(Exception, match="exists"):
+        writers.write_run(spark.range(1), at, "3")
+    assert writers.drop_runs(spark, at, 2) == ["run=0", "run=1"]
+    assert writers.read_run(spark, at, "2").count() == 2
+    assert writers.write_run(spark.range(9), at) > "2" and writers.read_run(spark, at).count() in (3, 9)
+
+
+def test_params_written_by_the_search_are_read_by_the_fixed_job(spark, tmp_path):
+    params = spark.createDataFrame([(7, 0.3, 5, 0.67, "ok"), (8, None, None, None, "no_valid_params")],
+                                   "store_nbr long, phase_1_eps_val double, phase_1_minsam int, phase_1_best_score double, status string")
+    writers.write_params(params, f"{tmp_path}/params")
+    assert [tuple(r) for r in areas_plan.trials_from(readers.load_params(spark, f"{tmp_path}/params")).collect()] == [(7, 0.3, 5)]
+    twice = spark.createDataFrame([(7, 0.3, 5), (7, 0.4, 5)], "store_number long, phase_1_eps_val double, phase_1_minsam int")
+    with pytest.raises(Exception, match="several parameter rows for store 7"):
+        areas_plan.trials_from(twice).collect()
+
+
+def test_a_job_clears_its_steps(spark, tmp_path, monkeypatch):
+    from tradearea.sources import scratch
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: str(tmp_path))
+    with pytest.raises(ValueError), scratch.job(spark):
+        scratch.cut(spark.range(5))
+        assert list(tmp_path.iterdir())
+        raise ValueError
+    assert not list(tmp_path.iterdir())

@@ -103,9 +103,11 @@ def scaled_features(features: DataFrame) -> DataFrame:
 
 
 def trials_from(params: DataFrame) -> DataFrame:
+    """The store's eps and min_samples, of stores that have both. A store with several rows is an error: it would be labelled twice."""
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.concat(F.lit("several parameter rows for store "), F.col("store_nbr").cast("string"))).cast("double"))
     return params.select(
-        F.col("store_number").alias("store_nbr"), F.col("phase_1_eps_val").alias("eps"),
-        F.col("phase_1_minsam").alias("min_samples")).filter("eps is not null and min_samples is not null")
+        F.col("store_number").alias("store_nbr"), F.col("phase_1_eps_val").alias("eps"), F.col("phase_1_minsam").alias("min_samples")).groupBy("store_nbr").agg(
+        F.coalesce(once, F.max("eps")).alias("eps"), F.max("min_samples").alias("min_samples")).filter("eps is not null and min_samples is not null")
 
 
 def stores_without_params(stores: DataFrame, params: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType,
     TimestampNTZType,
@@ -87,6 +88,15 @@ COMPETITOR_COUNTS = (
     "wal_0_5_mi", "wal_10_mi", "hg_5_mi", "hg_20_mi", "kol_2_5_mi", "kol_10_mi", "kol_20_mi",
     "tar_10_mi", "jcp_10_mi", "mcy_10_mi",
 )
+COMPETITORS = _schema(("store_nbr", LongType), *((c, IntegerType) for c in COMPETITOR_COUNTS))
+# The weekly feature table that the closure model is trained and scored on.
+WEEKLY = _schema(
+    ("store_nbr", LongType), ("week", IntegerType), ("calendar_season_cd", StringType), ("store_volume_cd", StringType),
+    ("fashion_attribute_cd", StringType), ("online_customer_counts", LongType), ("online_transaction_counts", LongType),
+    ("online_gross_sales", DoubleType), ("instore_customer_counts", LongType), ("instore_transaction_counts", LongType),
+    ("instore_gross_sales", DoubleType), *((f"{kind}_{c.lower()}", LongType) for kind in NEAR_KINDS for c in NEAR_CODES),
+    ("census_block_counts", LongType), ("opened_days", LongType),
+)
 # The thirty features of the regression, in the order the model is given them.
 FEATURES = (
     "online_transaction_counts", "overlapped_customers", "online_gross_sales", "online_near_n",
@@ -114,16 +124,39 @@ FIRST_BRAND = Brand("first", 1, ("U", "BBS"), True)
 SECOND_BRAND = Brand("second", 3, ("U", "BAS"), False)
 
 
+#: types whose every value another type holds
+WIDENED = {
+    "bigint": ("tinyint", "smallint", "int"), "int": ("tinyint", "smallint"), "double": ("float", "tinyint", "smallint", "int"),
+    "timestamp_ntz": ("date",),
+}
+
+
+def fitted(df: DataFrame, field: StructField, kind: str) -> Column | None:
+    """A column under its declared type, or None if a value could be lost on the way.
+
+    Numbers go to wider numbers, and a census code that came as a whole number gets its leading zeros back.
+    """
+    wanted, own = field.dataType.simpleString(), F.col(f"`{field.name}`")
+    if kind == wanted:
+        return own
+    if kind in WIDENED.get(wanted, ()):
+        return own.cast(field.dataType).alias(field.name)
+    if field.name in CODE_WIDTHS and kind in ("tinyint", "smallint", "int", "bigint"):
+        width, said = CODE_WIDTHS[field.name], own.cast("string")
+        return F.when(F.length(said) > width, F.raise_error(F.concat(F.lit(f"{field.name} has more than {width} digits: "), said)).cast("string")).otherwise(
+            F.lpad(said, width, "0")).alias(field.name)
+    return None
+
+
 def require_columns(df: DataFrame, schema: StructType, table: str = "table") -> DataFrame:
-    """Fail at load, not deep inside a job, when a table lacks columns or has another type."""
+    """The declared columns under their declared types; fails at load, not deep inside a job, when a table lacks
+    columns or has a type that only a cast with loss would turn into the declared one."""
     have = {f.name: f.dataType for f in df.schema.fields}
     missing = [f.name for f in schema.fields if f.name not in have]
     if missing:
         raise ValueError(f"{table}: missing columns {missing}; it has {sorted(have)}")
-    wrong = [
-        f"{f.name} is {have[f.name].simpleString()}, not {f.dataType.simpleString()}"
-        for f in schema.fields if have[f.name] != f.dataType
-    ]
+    columns = {f.name: fitted(df, f, have[f.name].simpleString()) for f in schema.fields}
+    wrong = [f"{f.name} is {have[f.name].simpleString()}, not {f.dataType.simpleString()}" for f in schema.fields if columns[f.name] is None]
     if wrong:
         raise ValueError(f"{table}: {'; '.join(wrong)}")
-    return df.select(*[f.name for f in schema.fields])
+    return df.select(*columns.values())

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,15 @@ def clear(spark: SparkSession) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def job(spark: SparkSession) -> Iterator[SparkSession]:
+    """A job whose written steps go at its end, also if it fails. Its results must be written inside."""
+    try:
+        yield spark
+    finally:
+        clear(spark)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a step once and go on from the written table.
 
