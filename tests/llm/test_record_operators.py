@@ -166,6 +166,36 @@ See the License for the specific language governing permissions and
 limitations under the License."""
 
 
+GPL_2 = """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version."""
+LGPL_21 = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+WTFPL = """Everyone is permitted to copy and distribute verbatim or modified
+copies of this license document, and changing it is allowed as long
+as the name is changed."""
+EPL = """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/"""
+AGPL = GPL.split("\n\n")[0].replace("General", "Affero General")
+
+
 def unwrapped(text):
     return "\n\n".join(re.sub(r"\s+", " ", p) for p in text.split("\n\n"))
 
@@ -181,6 +211,15 @@ def test_published_notices(spark):
     rows += [("BSD-2-Clause", BSD_2.replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE AUTHOR")),
              ("GPL-3.0-or-later", GPL.replace("software:", "software;").replace("Foundation,", "Foundation;")), ("GPL-3.0-or-later", GPL.replace("This program", "Foo")),
              ("MIT,GPL-3.0-or-later", MIT + "\n\n" + GPL), ("Apache-2.0", APACHE.replace("\n\n", "\n")), ("Apache-2.0", re.sub(r"\s+", " ", APACHE).replace("http:", "https:"))]
+    more = {"GPL-2.0-or-later": GPL_2, "LGPL-2.1-or-later": LGPL_21, "ISC": ISC, "MPL-2.0": MPL, "Zlib": ZLIB, "WTFPL": WTFPL, "EPL-2.0": EPL, "AGPL-3.0-or-later": AGPL,
+            "LGPL-3.0-or-later": AGPL.replace("Affero", "Lesser"), "0BSD": ISC.replace(", provided", ".\n\nProvided")}
+    rows += [(name, t) for name, notice in more.items() for t in (notice, unwrapped(notice), "/*\n * " + notice.replace("\n", "\n * ") + "\n */\nint x;")]
+    # holders' names of any length
+    rows += [("BSD-3-Clause", BSD_3.replace("the copyright holder nor", " ".join(f"Name{i}" for i in range(n)) + " nor")) for n in (13, 14, 20, 60)]
+    # one-liners and SPDX lines
+    rows += [("MIT", "// SPDX-License-Identifier: MIT\ncode"), ("Apache-2.0,MIT", "# SPDX-License-Identifier: (MIT OR Apache-2.0)\n"), ("LicenseRef-x".lower(), "SPDX-License-Identifier: LicenseRef-X"),
+             ("GPL-2.0-only,BSD-3-Clause", "/* SPDX-License-Identifier: GPL-2.0-only AND BSD-3-Clause */"), ("ISC", "Distributed under the ISC license."), ("Zlib", "Note:\nLicensed under the zlib License\n")]
+    rows += [(x, f"SPDX-License-Identifier: {x}") for x in licenses.IDENTIFIERS]
     # no whole sentence, or none that stands alone
     rows += [("", MIT.split(", including")[0]), ("", "We say: not " + re.sub(r"\s+", " ", APACHE.split(";")[0]) + " today"), ("", MIT.replace("\n", "\n\n"))]
     got = licenses.recognised(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
@@ -188,3 +227,12 @@ def test_published_notices(spark):
         name, text = rows[r["doc_id"]]
         assert set(r["licenses"]) == set(filter(None, name.split(","))), (name, text, r["sentence_ids"])
         assert r["n_sentences"] == brute_licenses(text)[0]
+    assert len({n for n, _ in licenses.ALL_RULES} | set(licenses.IDENTIFIERS)) > 50
+    # the DuckDB statement finds the same, in wrapped texts and under other names too
+    import duckdb
+    import pandas as pd
+    from tradearea.llm.queries import ORACLES
+    documents = pd.DataFrame({"doc_id": range(len(rows)), "text": [t for _, t in rows]})  # noqa: F841
+    want = {r[0]: r[1:] for r in duckdb.sql(ORACLES["op2_licenses"]).fetchall()}
+    for r in got:
+        assert want[r["doc_id"]] == (r["n_sentences"], r["n_known"], ",".join(map(str, r["sentence_ids"])), ",".join(r["licenses"])), rows[r["doc_id"]]

@@ -124,27 +124,40 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 
 def _licenses_sql() -> str:
-    known = "map {" + ", ".join(f"{_quoted(s)}: {i + 1}" for i, s in enumerate(licenses.SENTENCES)) + "}"
+    """The same normal form, patterns and rules in DuckDB: none of them looks ahead or behind."""
+    lower = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
+    form = lower
+    for pattern, put in licenses.STEPS:
+        form = f"regexp_replace({form}, {_quoted(pattern)}, {_quoted(put)}, 'g')"
+    form = f"'H' || replace(replace(trim({form}), 'H', 'HH'), 'S', 'SS') || 'H'"
+    numbers = licenses.numbers_of(licenses.EVERY)
+    known = "map {" + ", ".join(f"{_quoted(x)}: {n}" for x, n in numbers.items()) + "}"
+    ids = f"coalesce(list_aggregate(list_transform(found, lambda x: ' ' || names[trim(regexp_replace(x, '[HS ]+', ' ', 'g'))] || ' '), 'string_agg', ''), '')"
+    for n, (a, b) in licenses.NAMED.items():
+        ids = f"replace({ids}, ' {numbers[a]}  {numbers[b]} ', ' {n} ')"
+    for pair in licenses.NAMED.values():
+        for x in pair:
+            ids = f"replace({ids}, ' {numbers[x]} ', '')"
     steps, last = [], "s0"
-    for i, (name, rule) in enumerate(licenses.RULES):
-        wanted = _quoted(licenses.rule_text(rule))
-        steps.append(f"s{i + 1} as (select *, replace(l{i}, {wanted}, '|') as l{i + 1} from {last})")
+    for i, (_, rule) in enumerate(licenses.ALL_RULES):
+        steps.append(f"s{i + 1} as (select *, replace(l{i}, {_quoted(licenses.rule_text(rule))}, '|') as l{i + 1} from {last})")
         last = f"s{i + 1}"
-    names = ", ".join(f"case when l{i} <> l{i + 1} then '{name}' end" for i, (name, _) in enumerate(licenses.RULES))
-    order = list(dict.fromkeys(n for n, _ in licenses.RULES))
-    found = "[" + ", ".join(f"case when list_contains(hits, '{n}') then '{n}' end" for n in order) + "]"
+    hits = ", ".join(f"case when l{i} <> l{i + 1} then '{name}' end" for i, (name, _) in enumerate(licenses.ALL_RULES))
+    spelled = "map {" + ", ".join(f"'{x.lower()}': '{x}'" for x in licenses.IDENTIFIERS) + "}"
     # ends of sentences become line feeds first: RE2 looks neither ahead nor behind
     return rf"""
-with cut as (select doc_id, string_split(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[.;:!?]+([\x20\x09-\x0D])', chr(10) || '\1', 'g'), '[.;:!?]+$', chr(10)), chr(10)) as parts from documents),
-said as (select doc_id, list_filter(list_transform(parts, lambda p: trim(regexp_replace(p, '[^a-z0-9]+', ' ', 'g'))), lambda p: p <> '') as sentences from cut),
-ids as (select doc_id, len(sentences) as n_sentences, list_filter(list_transform(sentences, lambda s: {known}[s]), lambda n: n is not null) as found from said),
-s0 as (select *, list_aggregate(list_transform(found, lambda n: ' ' || n || ' '), 'string_agg', '') as l0 from ids),
+with cut as (select doc_id, string_split(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[.;:!?]+([\x20\x09-\x0D])', chr(10) || '\1', 'g'), '[.;:!?]+$', chr(10)), chr(10)) as parts,
+  regexp_extract_all({form}, {_quoted(licenses.pattern(licenses.EVERY))}) as found, regexp_extract_all({lower}, {_quoted(licenses.SPDX)}, 1) as lines from documents),
+fixed as (select {known} as names, {spelled} as spelled),
+ids as (select doc_id, len(list_filter(list_transform(parts, lambda p: trim(regexp_replace(p, '[^a-z0-9]+', ' ', 'g'))), lambda p: p <> '')) as n_sentences, {ids} as l0,
+  list_transform(list_filter(flatten(list_transform(lines, lambda x: regexp_split_to_array(x, {_quoted(licenses.SPDX_SPLIT)}))), lambda x: x <> ''), lambda x: coalesce(spelled[x], x)) as spdx from cut, fixed),
+s0 as (select * from ids),
 {', '.join(steps)},
-named as (select *, list_filter([{names}], lambda n: n is not null) as hits from {last})
-select doc_id, cast(n_sentences as bigint) as n_sentences, cast(len(found) as bigint) as n_known,
-  coalesce(list_aggregate(found, 'string_agg', ','), '') as sentence_ids,
-  coalesce(list_aggregate(list_filter({found}, lambda n: n is not null), 'string_agg', ','), '') as licenses
-from named"""
+named as (select *, list_concat(list_filter([{hits}], lambda n: n is not null), spdx) as every, list_filter(string_split_regex(l0, ' +'), lambda x: x <> '') as listed from {last}),
+once as (select *, list_filter(every, lambda n, i: list_position(every, n) = i) as licenses from named)
+select doc_id, cast(n_sentences as bigint) as n_sentences, cast(len(listed) as bigint) as n_known,
+  coalesce(list_aggregate(listed, 'string_agg', ','), '') as sentence_ids, coalesce(list_aggregate(licenses, 'string_agg', ','), '') as licenses
+from once"""
 
 
 _WARC_SQL = f"""
