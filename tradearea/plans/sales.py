@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tradearea.functions.codes import channel, days_open, fips_normalize, iso_week, near_flags
 from tradearea.schemas import CODES, Brand
 
-EXACT = "decimal(24,6)"
+#: money is added up in whole millionths: exact, eight bytes, and beyond 9 * 10^12 an error instead of a wrong sum
+UNITS = 1_000_000
 
 
 def area_tracts(areas: DataFrame) -> DataFrame:
@@ -63,11 +64,12 @@ def enriched_sales(tables: Mapping[str, DataFrame], brand: Brand) -> DataFrame:
     homes = tables["mailing_address"].select(
         "mailing_address_id", *CODES, "postal_cd",
         F.col("latitude_meas").alias("cust_latitude"), F.col("longitude_meas").alias("cust_longitude")).distinct()
+    # dimensions meet each other first: the sales are dealt out by transaction, customer and location only
+    shops = places.join(markets, "dma_cd").join(points, "location_id")
+    buyers = people.join(homes, "mailing_address_id")
     return (
         txn.join(tables["customer_txn_xref"].select("trans_id", "customer_id"), "trans_id").distinct()
-        .join(people, "customer_id")
-        .join(places, "location_id").join(markets, "dma_cd").join(points, "location_id")
-        .join(homes, "mailing_address_id")
+        .join(buyers, "customer_id").join(shops, "location_id")
         .withColumnRenamed("dma_cd", "store_dma")
     )
 
@@ -81,7 +83,7 @@ def channel_weekly(sales: DataFrame, customers: DataFrame) -> DataFrame:
     """
     lines = sales.select("customer_id", "order_trans_id", "trans_booked_dt", "gross_sales", "channel").distinct().withColumns({
         # after the distinct: two amounts of an order may differ by less than a cent
-        "gross_sales": F.col("gross_sales").cast(EXACT), "week": iso_week(F.col("trans_booked_dt"))})
+        "gross_sales": F.round(F.col("gross_sales") * UNITS).cast("bigint"), "week": iso_week(F.col("trans_booked_dt"))})
     listed = customers.groupBy("store_nbr", "customer_id").agg(F.count(F.lit(1)).alias("listed"))
     key = ["store_nbr", "week", "channel"]
     per_customer = ["customer_id", "week", "channel"]
@@ -94,7 +96,7 @@ def channel_weekly(sales: DataFrame, customers: DataFrame) -> DataFrame:
     spent = lines.groupBy(*per_customer).agg(F.sum("gross_sales").alias("spent")).join(single, per_customer, "left")
     people = spent.join(listed, "customer_id").groupBy(*key).agg(
         F.count(F.lit(1)).alias("customers"), F.coalesce(F.sum("orders"), F.lit(0)).alias("own_orders"),
-        F.sum(F.col("spent") * F.col("listed")).cast("double").alias("gross_sales"))
+        (F.sum(F.col("spent") * F.col("listed")) / F.lit(float(UNITS))).alias("gross_sales"))
     common = shared.join(listed.drop("listed"), "customer_id").groupBy(*key).agg(
         F.countDistinct("order_trans_id").alias("common_orders"))
     return people.join(common, key, "left").select(
