@@ -136,19 +136,12 @@ def test_rows_without_key_take_part(spark):
 
 def test_template_without_links(spark):
     """Many texts that share much, but not enough, and a few links among them: nothing is lost, nothing is linked wrongly."""
-    rng = np.random.default_rng(12)
     shared = [f"t{i}" for i in range(70)]
     rows = [(k, " ".join(shared + [f"own{k}x{i}" for i in range(26)])) for k in range(60)]
     rows += [(100 + k, rows[k][1] + f" tail{k}") for k in range(0, 60, 7)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(table).collect()}
     assert got == {(k, c) for k, _, c in groups(rows)}
-    nodes = spark.createDataFrame([(k, k, len(shingle_set(t))) for k, t in rows], "node long, root long, n long")
-    sets = spark.createDataFrame([(k, [hash(g) for g in shingle_set(t)]) for k, t in rows], "node long, listed array<long>")
-    pairs = {(r["a"], r["b"]) for r in minhash.rare_pairs(nodes, sets, 75).collect()}
-    linked = {(a, b) for a, x in rows for b, y in rows if a < b and 100 * len(shingle_set(x) & shingle_set(y)) >= 75 * len(shingle_set(x) | shingle_set(y))}
-    assert linked <= pairs and len(pairs) < 200
-    assert rng is not None
 
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")

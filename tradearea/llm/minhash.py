@@ -9,9 +9,9 @@ Documents with equal shingle sets are one class from the start, so a large group
 aggregate. Classes that share a band are candidates. A class whose shingles are mostly its own can have no
 partner and leaves (an exact bound on what a pair can have in common). Then each band tries all its members
 against one hub, the class with the fewest shingles of its own, on the full sets; bands that still hold several
-components try a second and third hub; what is then left between different components is joined on its rarest
-shingles (an exact prefix filter). So a band with thousands of near copies costs about one
-comparison per member, no bucket is ever joined with itself, and no candidate link is lost.
+components try a second and third hub; what is then left between different components is joined with its bucket under the
+bounds that the counts with the hub give, so only pairs that may still be similar become rows. A band with thousands of
+near copies costs about one comparison per member, and no candidate link is lost.
 """
 
 from __future__ import annotations
@@ -156,46 +156,34 @@ def hopeful(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _several(left.select("band", "hash", "node", "n", "s"))
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Bucket members with `keys`: names of all buckets in which their node stands, by band."""
+    name = F.xxhash64("band", "hash")
+    keys = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("band", name.alias("k")))).alias("_k")).select(
+        "node", F.transform("_k", lambda x: x["k"]).alias("keys"))
+    return rows.join(keys, "node")
+
+
 def _pairs(rows: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) of rows and the one other of their bucket, in different components, that may be similar, each once.
+    """Pairs (a, b, n_a, n_b) of rows and others of a bucket in different components that may be similar, each once.
 
-    c counts what a member has in common with the first hub of its bucket. Two members have at most the
+    With `keys` a pair is made only in the first bucket that both share. c counts what a member has in common with the first hub of its bucket. Two members have at most the
     smaller c in common inside the hub, and outside of it at most what either shares with anyone there.
     """
-    named = others.select("band", "hash", *[F.col(c).alias(f"_{c}") for c in ["node", "root", "n", "s", "c"]])
+    keyed = ["keys"] if "keys" in rows.columns else []
+    named = others.select("band", "hash", *[F.col(c).alias(f"_{c}") for c in ["node", "root", "n", "s", "c", *keyed]])
     most = F.least("c", "_c") + F.least(F.col("s") - F.col("c"), F.col("_s") - F.col("_c"))
     most = F.least("s", "_s", F.coalesce(most, F.col("s")))
     met = rows.join(named, ["band", "hash"]).filter(F.col("root") != F.col("_root")).filter(
         _possible(F.least(F.col("n"), F.col("_n"), most), F.col("n"), F.col("_n"), percent))
+    if keyed:
+        met = met.filter(F.get(F.array_intersect("keys", "_keys"), F.lit(0)) == F.xxhash64("band", "hash"))
     first = F.col("node") < F.col("_node")
     return met.select(
         F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"), F.when(first, F.col("n")).otherwise(F.col("_n")).alias("n_a"),
         F.when(first, F.col("_n")).otherwise(F.col("n")).alias("n_b")).distinct()
 
 
-def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) of `nodes` (node, root, n) in different components that may be similar, by exact prefix filter.
-
-    Shingles are put in one order, the rarest among the nodes first. Sets of n shingles that reach `percent` have one of the first
-    n - n * percent / 100 + 1 in common, so only those are joined. What most nodes share stands behind every prefix:
-    nodes made from one template meet only where they also share something rare. A shingle of very many prefixes is dealt
-    out over several tasks by the other side's node.
-    """
-    own = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("listed").alias("g"))
-    count = own.groupBy("g").agg(F.count(F.lit(1)).alias("_f")).filter("_f > 1")
-    shared = cut(own.join(count, "g").join(nodes, "node"), "rare")
-    seen = shared.groupBy("node").agg(F.count(F.lit(1)).alias("_seen"))
-    # shingles of no other node come first and need no row; a window holds one node's set
-    place = F.row_number().over(Window.partitionBy("node").orderBy("_f", "g")) + F.col("n") - F.col("_seen")
-    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1
-    kept = shared.join(seen, "node").withColumn("_place", place).filter(F.col("_place") <= prefix).select("g", "node", "root", "n")
-    kept = cut(kept.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(8)).cast("int")), "prefixes")
-    sides = kept.select("g", F.col("node").alias("_node"), F.col("root").alias("_root"), F.col("n").alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_salt"))
-    met = kept.join(sides, ["g", "_salt"]).filter(F.col("node") < F.col("_node")).filter(F.col("root") != F.col("_root")).filter(
-        F.least("n", "_n") * 100 >= F.greatest("n", "_n") * percent)
-    return met.select(F.col("node").alias("a"), F.col("_node").alias("b"), F.col("n").alias("n_a"), F.col("_n").alias("n_b")).distinct()
-
-
 def class_links(banded: DataFrame, sets_of, percent: int, rounds: int) -> DataFrame:
     """Component of each class that has a link: (node, root), root being the smallest node.
 
@@ -235,7 +223,8 @@ def class_links(banded: DataFrame, sets_of, percent: int, rounds: int) -> DataFr
             others = outside.groupBy("band", "hash").agg(centre).select("band", "hash", "_x.*")
             pairs = _pairs(named, others, percent)
         else:
-            pairs = rare_pairs(named.select("node", "root", "n").distinct(), sets, percent)
+            keyed = cut(_keyed(named), "keyed")
+            pairs = _pairs(keyed.filter("root <> main"), keyed, percent)
         new = cut(counted(pairs.join(known, ["a", "b"], "left_anti"), sets), "tried")
         known, links = known.unionByName(new.select("a", "b")), links.unionByName(new.filter(linked).select("a", "b"))
     return connected(links, [], "a", "b")
