@@ -16,7 +16,7 @@ from checks.queries import queries  # noqa: E402
 from tradearea.sources.shipping import ship  # noqa: E402
 
 HEADLINE = (
-    "area_features", "trade_area_fixed", "trade_area_closed", "area_overlap_pairs", "forecast_vs_actual_open",
+    "area_features", "trade_area_tuned_full", "trade_area_fixed", "trade_area_closed", "area_overlap_pairs", "forecast_vs_actual_open",
     "forecast_vs_actual_closed", "forecast_backtest", "closure_impact", "channel_weekly_first",
     "weekly_features_first", "closure_training", "closure_report",
 )
@@ -29,8 +29,6 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "16g")
-        # one task per core: inputs here are far below the size at which merging small partitions pays
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tradearea-"))
         .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

@@ -33,6 +33,7 @@ from tradearea.schemas import CODES, FEATURES, FIRST_BRAND, SECOND_BRAND, WEEKLY
 from tradearea.sources import readers, writers
 from tradearea.sources.scratch import cut, run_dir
 
+#: four trials that a DuckDB statement can follow one by one
 SMALL_GRID = ((0.2, 0.3), (3, 5))
 TARGET = C.TARGET
 
@@ -437,6 +438,9 @@ QUERIES: dict[str, Callable[[Steps], DataFrame]] = {
     "area_summary": lambda s: rounded(A.trade_area_tuned(s.features(), *SMALL_GRID)[1].withColumns({
         c: F.col(c).cast("double") for c in ("phase_1_minsam", "phase_2_minsam", "tracts_1", "tracts")})),
     "status_counts": lambda s: A.status_counts(A.trade_area_tuned(s.features(), *SMALL_GRID)[1]),
+    # the default grid of 72 trials: tests hold it against brute force, DuckDB would need minutes for it
+    "grid_scores_full": lambda s: rounded(dbscan_grid(cut(s.scaled(), "features"), A.STORE, A.COORDS, "row_id")[0]),
+    "area_summary_full": lambda s: rounded(A.trade_area_tuned(s.features())[1]),
     "trade_area_tuned_full": lambda s: _area(A.trade_area_tuned(s.features())[0]),
     # overlap
     "overlap_tracts": lambda s: O.overlap_tracts(s.t.near_areas()),
