@@ -65,4 +65,6 @@ def test_schema_check(spark):
     with pytest.raises(ValueError, match="close_date"):
         T.require_columns(df, T.STORES, "stores")
     with pytest.raises(ValueError, match="not bigint"):
-        T.require_columns(spark.createDataFrame([("g", 1)], "geo_id string, pop_25_years_over int"), T.CENSUS)
+        T.require_columns(spark.createDataFrame([("g", 1.5)], "geo_id string, pop_25_years_over double"), T.CENSUS)
+    # whole numbers of fewer bytes lose nothing
+    assert T.require_columns(spark.createDataFrame([("g", 1)], "geo_id string, pop_25_years_over int"), T.CENSUS).dtypes[1] == ("pop_25_years_over", "bigint")
