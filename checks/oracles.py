@@ -607,6 +607,16 @@ FINAL |= {
 }
 
 
+PIECES |= {
+    "simst": """select s_suppkey as store_nbr, r_name as region, (['A', 'A+', 'B', 'C'])[s_suppkey % 4 + 1] as vol, (['F1', 'F2', 'F3'])[s_suppkey % 3 + 1] as fash
+        from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey""",
+    "simsold": "select store_nbr, sum(y) as sales from sales_m group by 1",
+    "simppl": "select store_nbr, coalesce(sum(population), 0) as population, count(distinct geoid) as n_tracts from areas left join tracts using (geoid) group by 1",
+    "simc": "select simst.*, sales, population, population / n_tracts::double as density from simst join simsold using (store_nbr) join simppl using (store_nbr)",
+    "simg": "select max(sales) - min(sales) as rs, (max(population) - min(population))::double as rp, max(density) - min(density) as rd from simc",
+    "simd": """select a.store_nbr, b.store_nbr as neighbour, round((abs(a.sales - b.sales) / rs + abs(a.population - b.population) / rp + abs(a.density - b.density) / rd
+        + (a.region <> b.region)::int + (a.vol <> b.vol)::int + (a.fash <> b.fash)::int) / 6.0::double, 12) as distance from simc a, simc b, simg where a.store_nbr <> b.store_nbr""",
+}
 PIECES |= {"wtrial": "select store_nbr, eps, min_samples from g1best"} | dbscan_pieces("w", "pts", "wtrial")
 PIECES |= {"wkept": "select p.*, l.label from wlab l join pts p using (store_nbr, row_id) where l.label <> 0 and p.distance < 50"} | near_pieces("w", "wkept")
 FINAL |= {
@@ -621,6 +631,8 @@ FINAL |= {
     "weekly_loaded": f"select distinct * from ({FINAL['weekly_features_first']})",
     "warehouse_loaded": FINAL["channel_weekly_first"],
     "report_written": FINAL["closure_report"],
+    "similar_nearest": f"""select store_nbr, neighbour, {rd('distance')} as distance, cast(row_number() over (partition by store_nbr order by simd.distance, neighbour) as bigint) as nearest
+        from simd qualify nearest <= 3""",
     "model_checks": """select m.model, count(*) as n_rows, count(distinct store_nbr * 100 + week) as n_keys, true as holds
         from scoreset, (values ('forest'), ('linear')) m(model) group by 1""",
     "importance_checks": f"select {len(FEATURES)} as n_features, 1.0::double as total, count(*) > 0 as holds from trainset",

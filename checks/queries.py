@@ -23,6 +23,7 @@ from tradearea.operators.scaling import unscale
 from tradearea.operators.search import best_params, dbscan_grid
 from tradearea.operators.series import forecast_backtest, forecast_fourier, forecast_monthly, fourier_gram, split_years
 from tradearea.operators.silhouette import silhouette_by
+from tradearea.operators.similar import nearest_mixed
 from tradearea.plans import areas as A
 from tradearea.plans import closure as C
 from tradearea.plans import forecasts as P
@@ -396,6 +397,16 @@ def _factor_copied(s: Steps) -> DataFrame:
     return rounded(s.training().select("store_nbr", "week", "closure_factor", "mod_closure_factor"))
 
 
+def _similar_nearest(s: Steps) -> DataFrame:
+    """The three stores most like each store by region, volume, fashion, sales, people and people per tract."""
+    place = s.t.location().join(s.t.direct_marketing_area(), "dma_cd").select("store_nbr", F.col("dma_name").alias("region"), "store_volume_cd", "fashion_attribute_cd")
+    sold = s.t.monthly_sales().groupBy(F.col("store_number").alias("store_nbr")).agg(F.sum("f0_").alias("sales"))
+    people = O.total_population(s.t.near_areas(), s.tracts())
+    tracts = S.tract_counts(s.t.near_areas()).select("store_nbr", "census_block_counts")
+    stores = place.join(sold, "store_nbr").join(people, "store_nbr").join(tracts, "store_nbr").withColumn("density", F.col("population") / F.col("census_block_counts"))
+    return rounded(nearest_mixed(stores, "store_nbr", ("sales", "population", "density"), ("region", "store_volume_cd", "fashion_attribute_cd"), 3))
+
+
 def _area(df: DataFrame) -> DataFrame:
     return df.select("store_nbr", "geoid")
 
@@ -467,6 +478,7 @@ QUERIES: dict[str, Callable[[Steps], DataFrame]] = {
     "train_tail": lambda s: rounded(P.forecast_with_tail(s.t.monthly_sales(), TEST_YEARS), yhat=3, train_tail=2),
     # impact
     "similar_stores": lambda s: s.groups(),
+    "similar_nearest": _similar_nearest,
     "similar_store_clusters": _store_clusters,
     "borrowed_history": _borrowed,
     "pandemic_factor": lambda s: rounded(I.pandemic_factor(s.compared(s.opened()), s.pairs())),

@@ -13,6 +13,7 @@ from tradearea.operators.scaling import scale_by, unscale
 from brute import dbscan as brute_dbscan, silhouette as brute_silhouette
 from tradearea.operators.search import Grid, best_params, dbscan_grid
 from tradearea.operators.silhouette import silhouette_by
+from tradearea.operators.similar import nearest_mixed
 from tradearea.operators.series import forecast_backtest, forecast_fourier, forecast_monthly, train_tail
 
 
@@ -276,3 +277,22 @@ def test_fourier_forecast_equals_numpy(spark):
         truth = [1000 * (1 + 0.01 * m) * (1 + 0.3 * np.sin(2 * np.pi * (m % 12 + 1) / 12)) * store for m in range(60, 72)]
         assert np.abs(np.exp(ahead) / truth - 1).max() < 0.12
     assert len(got[3]) == 12 and all(np.isfinite(y) for _, _, y, _, _ in got[3])
+
+
+def test_nearest_mixed_equals_brute_force(spark):
+    """Lone categories, ties, a constant number, NULL categories and fewer rows than neighbours."""
+    rng = np.random.default_rng(4)
+    rows = [(i, float(rng.integers(0, 50)), 7.0, ["a", "b", None][int(rng.integers(0, 3))], "xy"[int(rng.integers(0, 2))]) for i in range(60)]
+    rows += [(100, 3.0, 7.0, "lone", "z"), (101, 3.0, 7.0, "a", "x"), (102, 3.0, 7.0, "a", "x")]
+    df = spark.createDataFrame(rows, "id long, n double, same double, c string, d string")
+    got = {}
+    for r in nearest_mixed(df, "id", ["n", "same"], ["c", "d"], 4).collect():
+        got.setdefault(r.id, []).append((r.nearest, r.neighbour, r.distance))
+    span = max(r[1] for r in rows) - min(r[1] for r in rows)
+    for a in rows:
+        want = sorted((round((abs(a[1] - b[1]) / span + (a[3] != b[3]) + (a[4] != b[4])) / 4, 12), b[0]) for b in rows if b[0] != a[0])[:4]
+        assert [(n, d) for _, n, d in sorted(got[a[0]])] == [(n, pytest.approx(d)) for d, n in want], a
+    few = nearest_mixed(df.limit(2), "id", ["n"], ["c"], 4).collect()
+    assert len(few) == 2
+    with pytest.raises(Exception, match="n is NULL"):
+        nearest_mixed(df.withColumn("n", F.lit(None).cast("double")), "id", ["n"], ["c"], 2).collect()
