@@ -203,3 +203,56 @@ def test_sales_that_differ_by_less_than_a_cent(spark):
         from values (10.001D), (10.004D), (10.004D) as t(g)""")
     customers = spark.createDataFrame([(3, 1)], "store_nbr long, customer_id long")
     assert S.channel_weekly(sales, customers).first()["gross_sales"] == pytest.approx(20.005)
+
+
+def planned(df):
+    """The plan before it runs."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_categories_move_no_rows(spark):
+    """A small vocabulary is a map that rows read; a large one is joined with salt, so a common value is spread."""
+    from tradearea.operators import encoding
+    facts = spark.range(1000).select("id", F.when(F.col("id") % 10 < 9, "common").otherwise(F.col("id").cast("string")).alias("kind"))
+    words = encoding.vocabulary("kind", facts)
+    small = encoding.encode(facts, {"kind": words})
+    assert "Join" not in planned(small) and "Exchange" not in planned(small).split("Subquery")[0]
+    want = {v: i for i, v in enumerate(sorted({"common", *(str(i) for i in range(9, 1000, 10))}))}
+    assert {r.kind: r.kind_cat for r in small.collect()} == want
+    kept = encoding.MAPPED
+    encoding.MAPPED = 5
+    try:
+        large = encoding.encode(facts, {"kind": words})
+        assert "_salt" in planned(large) and {r.kind: r.kind_cat for r in large.collect()} == want
+    finally:
+        encoding.MAPPED = kept
+
+
+def test_sales_are_dealt_out_by_three_keys(spark):
+    """By transaction, customer and location; the market's few values never deal out sales."""
+    from tradearea.plans.sales import enriched_sales
+    names = {"sales_txn": T.SALES_TXN, "customer_txn_xref": T.CUSTOMER_TXN_XREF, "customer_curr": T.CUSTOMER_CURR, "location": T.LOCATION,
+             "direct_marketing_area": T.DIRECT_MARKETING_AREA, "location_geo": T.LOCATION_GEO, "mailing_address": T.MAILING_ADDRESS}
+    one = {n: spark.range(3).select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name == "location_open_dt" else (
+        F.col("id").cast("string") if f.dataType.simpleString() in ("string", "timestamp_ntz", "date") else F.col("id")).cast(
+        "timestamp" if f.dataType.simpleString() in ("timestamp_ntz", "date") else f.dataType).cast(f.dataType).alias(f.name) for f in t.fields]) for n, t in names.items()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        lines = planned(enriched_sales(one, T.FIRST_BRAND)).split("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.ansi.enabled")
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    moved = []
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning(" in line:
+            below = []
+            for k in range(i + 1, len(lines)):
+                if depth[k] <= depth[i]:
+                    break
+                below.append(lines[k])
+            if any("trans_booked_dt" in x for x in below):
+                moved.append(line.split("hashpartitioning(")[1].split("#")[0])
+    assert moved and set(moved) <= {"trans_id", "customer_id", "location_id"}, moved
+    assert any("hashpartitioning(dma_cd" in line for line in lines)
