@@ -90,3 +90,9 @@ def test_neighbor_counts_equal_brute_force(spark, monkeypatch, leaf):
         far = distances(own[XYZ].to_numpy())
         want = dict(zip(own.id, (far <= eps).sum(axis=1)))
         assert dict(zip(got[got.store == store].id, got[got.store == store].neighbors)) == want
+
+
+def test_no_clustering_step_is_sent_to_all_executors(labelled):
+    """Written steps look small as files and fill the driver as broadcast tables; tests' small tables would be sent too."""
+    plan = labelled[1]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
