@@ -138,6 +138,32 @@ def test_weekly_counts_with_shared_orders_and_two_addresses(spark):
                    (7, "instore"): (2, 1, 1, 7.0), (8, "instore"): (2, 1, 1, 7.0)}
 
 
+def test_customers_meet_stores_by_tract(spark):
+    """Customers of the same tracts are added up before they meet the stores, with the results of the pairs."""
+    codes = "fips_state_cd string, fips_county_cd string, census_block_cd string"
+    tract = lambda k: ("01", "001", f"{k:06d}")
+    homes = [(1, 1, 1), (2, 2, 1), (3, 3, 2), (4, 4, 1), (4, 5, 2), (5, 6, 1), (5, 7, 1), (6, 8, 3), (7, 9, None), (None, 1, 1)]
+    addresses = spark.createDataFrame([(m, *(tract(k) if k else ("01", None, "000001"))) for _, m, k in homes[:-1]], f"mailing_address_id long, {codes}")
+    customers = spark.createDataFrame([(c, m, m + 100) for c, m, _ in homes] + [(1, 1, 101)], "customer_id long, mailing_address_id long, address_id long")
+    areas = spark.createDataFrame([(s, *tract(k)) for s, k in ((7, 1), (7, 2), (8, 1), (9, 2), (9, 2), (10, 4))], f"store_nbr long, {codes}")
+    rows = [(c, o, "2019-01-08", float(c + o), "online") for c, o in ((1, 1), (2, 1), (2, 2), (3, 3), (4, 3), (4, 4), (5, 5), (1, 5), (6, 6), (7, 7))]
+    rows += [(5, 8, "2019-01-16", 2.5, "instore"), (None, 9, "2019-01-08", 1.0, "online"), (3, None, "2019-01-08", 4.0, "online")]
+    sales = spark.createDataFrame(rows, "customer_id long, order_trans_id long, d string, gross_sales double, channel string").withColumn(
+        "trans_booked_dt", F.col("d").cast("timestamp_ntz"))
+    pairs = S.store_customers(addresses, areas, customers)
+    by_tract = S.Listings(S.customer_homes(addresses, customers), S.area_tracts(areas))
+    assert sorted((r.store_nbr, r.customer_id) for r in pairs.collect() if r.customer_id) == [
+        (7, 1), (7, 2), (7, 3), (7, 4), (7, 4), (7, 5), (7, 5), (8, 1), (8, 2), (8, 4), (8, 5), (8, 5), (9, 3), (9, 4)]
+    got = {tuple(r) for r in S.channel_weekly(sales, by_tract).collect()}
+    assert got == {tuple(r) for r in S.channel_weekly(sales, pairs).collect()} == {
+        (7, 2, "online", 5, 5, 75.0), (8, 2, "online", 4, 5, 50.0), (9, 2, "online", 2, 2, 25.0), (7, 3, "instore", 1, 1, 5.0), (8, 3, "instore", 1, 1, 5.0)}
+    assert by_tract.units.select("unit").distinct().count() == 5
+    near = sales.select("customer_id", "trans_booked_dt", F.lit(1).alias("concept_format_id"), *[
+        F.lit(x).alias(f"{k}_near") for k, x in (("all", "N"), ("instore", "E"), ("online", "A"))])
+    flags = {(r.store_nbr, r.week, r.all_near_n) for r in S.near_weekly(near, by_tract, T.FIRST_BRAND, 2019).collect()}
+    assert flags == {(7, 2, 5), (8, 2, 4), (9, 2, 2), (7, 3, 1), (8, 3, 1)}
+
+
 def test_enriched_sales_filters_and_repeated_rows(spark):
     from tradearea.plans.sales import enriched_sales
     txn = [(1, 1, 50, "2019-01-02", 9.0, 10.0, "U", "S", "N", 1), (1, 1, 50, "2019-01-02", 9.0, 10.0, "U", "S", "N", 1),
