@@ -96,3 +96,34 @@ def test_no_clustering_step_is_sent_to_all_executors(labelled):
     """Written steps look small as files and fill the driver as broadcast tables; tests' small tables would be sent too."""
     plan = labelled[1]._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def _mixed_groups(size: int = 150):
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame(np.round(rng.standard_normal((size, 3)), 1), columns=XYZ)
+    pdf["store"], pdf["id"] = np.repeat([1, 2, 3], [size // 2, size // 4, size - size // 2 - size // 4]), [f"p{i:04d}" for i in rng.permutation(size)]
+    pdf.loc[pdf.index % 7 == 0, XYZ] = pdf.loc[0, XYZ].values  # places that coincide
+    return pdf
+
+
+def _plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_groups_are_clustered_without_joins_as_large_ones_are(spark):
+    """One numpy step per group and the joins of cells give the same labels; the former writes none of their steps."""
+    points = spark.createDataFrame(_mixed_groups()).repartition(5)
+    trials = spark.createDataFrame([(1, 0.3, 3), (1, 0.5, 2), (1, 0.5, 4), (2, 0.4, 5)], "store long, eps double, min_samples long")
+    ways = {limit: dbscan_by(points, trials, ["store"], XYZ, "id", limit=limit) for limit in (50, 2048)}
+    assert len({tuple(df.columns) for df in ways.values()}) == 1
+    rows = {limit: sorted(map(tuple, df.select("store", "eps", "min_samples", "id", "core", "label").collect())) for limit, df in ways.items()}
+    assert rows[2048] == rows[50] and {r[0] for r in rows[50]} == {1, 2}
+    assert "Join" not in _plan_of(ways[2048])
+
+
+def test_rows_without_key_or_coordinates_have_no_label(spark):
+    points = spark.createDataFrame([(None, "a", 0.0, 0.0, 0.0), (1, "b", None, 0.0, 0.0), (1, "c", 0.0, 0.0, 0.0), (2, "d", 0.0, 0.0, 0.0)],
+                                   "store long, id string, x double, y double, z double").toDF("store", "id", *XYZ)
+    trials = spark.createDataFrame([(None, 0.5, 1), (1, 0.5, 1)], "store long, eps double, min_samples long")
+    for limit in (0, 2048):
+        assert [(r.id, r.core, r.label) for r in dbscan_by(points, trials, ["store"], XYZ, "id", limit=limit).collect()] == [("c", True, 0)]
