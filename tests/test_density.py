@@ -121,9 +121,19 @@ def test_small_groups_are_clustered_without_joins_as_large_ones_are(spark):
     assert "Join" not in _plan_of(ways[2048])
 
 
+def test_small_groups_are_counted_without_joins_as_large_ones_are(spark):
+    points = spark.createDataFrame(_mixed_groups()).repartition(5)
+    radius = spark.createDataFrame([(1, 0.5), (2, 0.8)], "store long, eps double")
+    ways = {limit: neighbor_counts(points, radius, ["store"], XYZ, "id", limit=limit) for limit in (50, 2048)}
+    rows = {limit: sorted(map(tuple, df.select("store", "id", "neighbors").collect())) for limit, df in ways.items()}
+    assert rows[2048] == rows[50] and {r[0] for r in rows[50]} == {1, 2}
+    assert "Join" not in _plan_of(ways[2048])
+
+
 def test_rows_without_key_or_coordinates_have_no_label(spark):
     points = spark.createDataFrame([(None, "a", 0.0, 0.0, 0.0), (1, "b", None, 0.0, 0.0), (1, "c", 0.0, 0.0, 0.0), (2, "d", 0.0, 0.0, 0.0)],
                                    "store long, id string, x double, y double, z double").toDF("store", "id", *XYZ)
     trials = spark.createDataFrame([(None, 0.5, 1), (1, 0.5, 1)], "store long, eps double, min_samples long")
     for limit in (0, 2048):
         assert [(r.id, r.core, r.label) for r in dbscan_by(points, trials, ["store"], XYZ, "id", limit=limit).collect()] == [("c", True, 0)]
+    assert [(r.id, r.neighbors) for r in neighbor_counts(points, trials, ["store"], XYZ, "id", limit=2048).collect()] == [("c", 1)]
