@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tradearea.operators.components import connected
+from tradearea.operators.cuts import silhouettes
 from tradearea.operators.encoding import corr_with, encode, vocabulary
 from tradearea.operators.grouped import quantiles, running_total, value_slots
 from tradearea.operators.near import near_group, tiers
@@ -296,3 +297,22 @@ def test_nearest_mixed_equals_brute_force(spark):
     assert len(few) == 2
     with pytest.raises(Exception, match="n is NULL"):
         nearest_mixed(df.withColumn("n", F.lit(None).cast("double")), "id", ["n"], ["c"], 2).collect()
+
+
+def test_equal_labellings_of_a_group_are_scored_once():
+    """Many trials of a grid give the same clusters; their score needs one product."""
+    widths = []
+
+    class Counted(np.ndarray):
+        def __matmul__(self, member):
+            widths.append(member.shape[1])
+            return np.asarray(self) @ member
+
+    rng = np.random.default_rng(5)
+    xyz = rng.standard_normal((40, 3))
+    far = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(2))
+    one, two = rng.integers(0, 2, 40), rng.integers(-1, 3, 40)
+    scores, clusters = silhouettes(far.view(Counted), np.ones(40), np.stack([one, two, one, np.zeros(40, int), one, two]))
+    assert sum(widths) == 2 + 4 and list(clusters) == [2, 4, 2, 1, 2, 4]
+    want = [brute_silhouette(xyz, one), brute_silhouette(xyz, two)]
+    assert scores[[0, 1, 2, 4, 5]] == pytest.approx([want[0], want[1], want[0], want[0], want[1]], abs=1e-9) and np.isnan(scores[3])
