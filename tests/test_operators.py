@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tradearea.operators import sampling
 from tradearea.operators.components import connected
 from tradearea.operators.cuts import silhouettes
 from tradearea.operators.encoding import corr_with, encode, vocabulary
@@ -11,6 +12,7 @@ from tradearea.operators.grouped import quantiles, running_total, value_slots
 from tradearea.operators.near import near_group, tiers
 from tradearea.operators.sampling import nearest_within, oversample_tails, tail_of
 from tradearea.operators.scaling import scale_by, unscale
+from tradearea.sources.scratch import cut
 from brute import dbscan as brute_dbscan, silhouette as brute_silhouette
 from tradearea.operators.search import Grid, best_params, dbscan_grid
 from tradearea.operators.silhouette import silhouette_by
@@ -316,3 +318,37 @@ def test_equal_labellings_of_a_group_are_scored_once():
     assert sum(widths) == 2 + 4 and list(clusters) == [2, 4, 2, 1, 2, 4]
     want = [brute_silhouette(xyz, one), brute_silhouette(xyz, two)]
     assert scores[[0, 1, 2, 4, 5]] == pytest.approx([want[0], want[1], want[0], want[0], want[1]], abs=1e-9) and np.isnan(scores[3])
+
+
+def test_nearest_within_makes_no_rows_of_pairs(spark, monkeypatch):
+    """All rows but one lie close together: cells over the whole range put them into one, where each met each."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 4))
+    x[0] = 1e9
+    x[1:400] = x[1]
+    df = spark.createDataFrame([("g", i, *map(float, r)) for i, r in enumerate(x)], "g string, row long, a double, b double, c double, d double")
+    steps = {}
+
+    def noted(step, name):
+        steps[name] = cut(step, name)
+        return steps[name]
+
+    monkeypatch.setattr(sampling, "cut", noted)
+    got = nearest_within(df, ["g"], ["a", "b", "c", "d"], "row", 3, 64).collect()
+    assert "sent" in steps and steps["sent"].count() < 15 * len(x)
+    assert steps["blocks"].groupBy("_block").count().agg(F.max("count")).first()[0] <= 64
+    want = set()
+    for i in range(len(x)):
+        far = np.zeros(len(x))
+        for d in range(4):
+            far += (x[i, d] - x[:, d]) ** 2
+        order = [j for j in np.lexsort((np.arange(len(x)), np.sqrt(far))) if j != i][:3]
+        want |= {(i, int(j), n + 1) for n, j in enumerate(order)}
+    assert {(r.row, r.neighbour, r.nearest) for r in got} == want and len(got) == len(want)
+
+
+def test_nearest_within_with_repeated_rows(spark):
+    rows = [("g", 1, 0.0), ("g", 1, 0.0), ("g", 2, 1.0), ("g", 2, 5.0), ("g", 3, 2.0)]
+    got = nearest_within(spark.createDataFrame(rows, "g string, row long, a double"), ["g"], ["a"], "row", 3).collect()
+    assert sorted((r.row, r.nearest, r.neighbour, r.distance) for r in got) == [
+        (1, 1, 2, 1.0), (1, 2, 2, 1.0), (1, 3, 3, 2.0), (2, 1, 1, 1.0), (2, 2, 1, 1.0), (2, 3, 3, 1.0), (3, 1, 2, 1.0), (3, 2, 1, 2.0), (3, 3, 1, 2.0)]

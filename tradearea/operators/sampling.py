@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import pi
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradearea.operators import blocks
 from tradearea.operators.grouped import join_on, quantiles
 from tradearea.sources.scratch import cut
 
@@ -65,51 +67,63 @@ def bump_rates(tailed: DataFrame) -> DataFrame:
     return join_on(sizes, whole, []).select("bump", "size", F.round(wanted / F.col("size"), 1).alias("rate"))
 
 
+#: sampled places that lay out the blocks, and places that come to one task of a block
+SAMPLED, SENT = 1 << 15, 1 << 14
+
+
 def nearest_within(df: DataFrame, by: Sequence[str], coords: Sequence[str], row: str, k: int,
-                   per_cell: int = 64) -> DataFrame:
+                   per_block: int = 1024) -> DataFrame:
     """(by, row, neighbour, distance, nearest): the k nearest other rows of the same group, exactly; ties to the smaller row.
 
-    `row` is an integer key. Rows fall into square cells over the two coordinates of the widest range, at first so large that a
-    cell holds about `per_cell` rows. A row meets the rows of the cells around its own and is done if its k-th neighbour is no
-    farther than a cell is wide, since whatever lies outside is farther; the others go on with cells of twice the width. Only
-    the k best of a row pass from a join on, however many it met.
+    `row` is an integer key. Equal places are one place that lists its smallest rows. Halving along the widest coordinates
+    of a bounded sample lays out blocks of about `per_block` places, which route rows and decide no result. A place's
+    nearest rows inside its block bound how far the others can be, so it goes on only to blocks whose box, in all
+    coordinates, is no farther: two steps of numpy per block, and pairs are never rows. A row with a NULL is left out.
     """
     by = list(by) or ["_all"]
     xs = [f"x{d}" for d in range(len(coords))]
+    place = ["_g", *xs]
     source = df if "_all" not in by else df.withColumn("_all", F.lit(0))
-    pts = source.select(*by, F.col(row).cast("long").alias("row"), *[F.col(c).cast("double").alias(x) for c, x in zip(coords, xs)])
-    ranges = pts.agg(*[(F.max(x) - F.min(x)).alias(x) for x in xs]).first()
-    wide = sorted(xs, key=lambda x: (-(ranges[x] or 0.0), x))[:2]
-    span = F.greatest(*[F.max(x) - F.min(x) for x in wide]) if len(wide) > 1 else F.max(wide[0]) - F.min(wide[0])
-    groups = pts.groupBy(*by).agg(span.alias("_span"), F.count(F.lit(1)).alias("_n")).withColumn(
-        "_width", F.when(F.col("_span") > 0, F.col("_span") / F.greatest(F.lit(1.0), F.sqrt(F.col("_n") / F.lit(float(per_cell))))).otherwise(F.lit(1.0)))
-    todo = pts = cut(pts.join(groups.filter("_n > 1").drop("_n"), by), "points")
-    steps = F.array(*[F.array(F.lit(a).cast("long"), F.lit(b).cast("long")) for a in (-1, 0, 1) for b in ((-1, 0, 1) if len(wide) > 1 else (0,))])
-    found: list[DataFrame] = []
-    while not todo.isEmpty():
-        width = F.col("_width") * F.lit(float(2 ** len(found)))
-        cells = {f"_c{i}": F.floor(F.col(x) / width) for i, x in enumerate(wide)}
-        around = todo.withColumns(cells).withColumn("_s", F.explode(steps)).withColumns({c: F.col(c) + F.col("_s")[i] for i, c in enumerate(cells)}).drop("_s")
-        other = pts.withColumns(cells).select(*by, *cells, F.col("row").alias("neighbour"), *[F.col(x).alias(f"_{x}") for x in xs])
-        far = F.sqrt(sum(((F.col(x) - F.col(f"_{x}")) * (F.col(x) - F.col(f"_{x}")) for x in xs), F.lit(0.0)))
-        met = around.join(other, [*by, *cells]).filter("row <> neighbour").select(*by, "row", "_span", width.alias("_reach"), "neighbour", far.alias("distance"))
-        place = F.row_number().over(Window.partitionBy(*by, "row").orderBy("distance", "neighbour"))
-        best = met.withColumn("nearest", place).filter(F.col("nearest") <= k)
-        listed = cut(best.groupBy(*by, "row").agg(
-            F.array_sort(F.collect_list(F.struct("nearest", "neighbour", "distance"))).alias("_b"), F.any_value("_span").alias("_span"), F.any_value("_reach").alias("_reach"),
-            F.max(F.when(F.col("nearest") == k, F.col("distance"))).alias("_kth")), "nearest")
-        sure = (F.coalesce(F.col("_kth") <= F.col("_reach"), F.lit(False))) | (F.col("_reach") >= F.col("_span"))
-        done = listed.filter(sure)
-        found.append(done)
-        # a row that met nobody is not listed, and goes on unless its cells already covered the group
-        todo = cut(todo.filter(width < F.col("_span")).join(done.select(*by, "row"), [*by, "row"], "left_anti"), "todo")
-    if not found:
-        found = [pts.select(*by, "row", F.array().cast("array<struct<nearest:int,neighbour:bigint,distance:double>>").alias("_b"))]
-    every = found[0].select(*by, "row", "_b")
-    for more in found[1:]:
-        every = every.unionByName(more.select(*by, "row", "_b"))
-    return every.select(*by, "row", F.explode("_b").alias("_n")).select(
-        *[c for c in by if c != "_all"], "row", F.col("_n.neighbour").alias("neighbour"), F.col("_n.distance").alias("distance"), F.col("_n.nearest").alias("nearest"))
+    pts = source.select(*by, F.to_json(F.struct(*by)).alias("_g"), F.col(row).cast("long").alias("row"), *[F.col(c).cast("double").alias(x) for c, x in zip(coords, xs)])
+    rows = cut(pts.dropna().groupBy(*by, *place, "row").agg(F.count(F.lit(1)).alias("n")), "points")
+    # rows that share a key are one row at several places: their own entries must not fill a list
+    most = rows.groupBy("_g", "row").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    keep = k + most
+    smallest = F.row_number().over(Window.partitionBy(*place).orderBy("row"))
+    heads = rows.select(*place, "row", "n").withColumn("_at", smallest).filter(F.col("_at") <= keep).groupBy(*place).agg(
+        F.sort_array(F.collect_list(F.struct("row", "n"))).alias("heads"))
+    known = cut(heads.withColumn("_p", F.monotonically_increasing_id()), "places")
+    share = min(1.0, SAMPLED / max(1, known.count()))
+    sampled: dict[str, list] = {}
+    for r in known.sample(share, 1).select("_g", F.array(*xs).alias("x")).collect():
+        sampled.setdefault(r["_g"], []).append(r["x"])
+    trees = {g: blocks.tree_of(np.array(x), max(8, int(per_block * share)) if share < 1 else per_block) for g, x in sampled.items()}
+    plain = known.select("_g", "_p", F.array(*xs).alias("x"), "heads")
+    put = cut(plain.mapInArrow(blocks.to_blocks(trees), f"{_ddl(plain)}, _block int"), "blocks")
+    own = cut(put.groupBy("_g", "_block").applyInArrow(blocks.within_block(keep), f"_g string, _block int, _p bigint, x array<double>, u double, best {blocks.BEST}"), "nearest")
+    boxes: dict[str, list] = {}
+    for r in own.groupBy("_g", "_block").agg(*[f(F.get("x", F.lit(d))).alias(f"{n}{d}") for n, f in (("l", F.min), ("h", F.max)) for d in range(len(xs))]).collect():
+        boxes.setdefault(r[0], []).append((r[1], r[2:2 + len(xs)], r[2 + len(xs):]))
+    laid = {g: tuple(np.array(c) for c in zip(*b)) for g, b in boxes.items()}
+    sent = cut(own.select("_g", "_block", "_p", "x", "u").mapInArrow(blocks.to_others(laid), "_g string, _block int, _p bigint, x array<double>, u double"), "sent")
+    parts = cut(sent.groupBy("_g", "_block").agg(F.ceil(F.count(F.lit(1)) / F.lit(SENT)).cast("int").alias("_parts")), "parts")
+    asked = sent.join(parts, ["_g", "_block"]).withColumn("_part", F.pmod(F.xxhash64("_p"), F.col("_parts")).cast("int")).drop("_parts")
+    hosts = put.join(parts, ["_g", "_block"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    met = asked.groupBy("_g", "_block", "_part").cogroup(hosts.groupBy("_g", "_block", "_part")).applyInArrow(
+        blocks.across_blocks(keep), f"_p bigint, best {blocks.BEST}")
+    lists = own.select("_p", "best").unionByName(met).groupBy("_p").agg(
+        F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, keep).alias("best"))
+    others = F.transform(F.filter("best", lambda b: b["neighbour"] != F.col("row")), lambda b: F.struct(
+        b["distance"].alias("distance"), b["neighbour"].alias("neighbour"), F.least(b["n"] * F.col("n"), F.lit(k)).cast("int").alias("n")))
+    of = rows.join(known.select(*place, "_p"), place).select(*by, "row", "n", "_p").join(lists, "_p").select(*by, "row", others.alias("best"))
+    every = of.groupBy(*by, "row").agg(F.flatten(F.collect_list("best")).alias("best")).select(*by, "row", F.slice(
+        F.array_sort(F.flatten(F.transform("best", lambda b: F.array_repeat(b, b["n"])))), 1, k).alias("best"))
+    return every.select(*by, "row", F.posexplode("best").alias("_i", "_n")).select(
+        *[c for c in by if c != "_all"], "row", F.col("_n.neighbour").alias("neighbour"), F.col("_n.distance").alias("distance"), (F.col("_i") + 1).alias("nearest"))
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def oversample_tails(df: DataFrame, y: str, key: str, k: int = 3, coef: float = 2.5, thres: float = 0.8,
