@@ -153,3 +153,19 @@ def test_a_job_clears_its_steps(spark, tmp_path, monkeypatch):
         assert list(tmp_path.iterdir())
         raise ValueError
     assert not list(tmp_path.iterdir())
+
+
+def test_areas_go_to_a_bounded_number_of_folders(spark, tmp_path):
+    at = f"{tmp_path}/areas"
+    areas = spark.range(300).select(F.col("id").alias("store_nbr"), F.lit("a").alias("geoid")).unionByName(
+        spark.createDataFrame([(None, "a")], "store_nbr long, geoid string"))
+    writers.write_areas(areas, at, "open")
+    writers.write_areas(areas.filter("store_nbr < 5"), at, "closed")
+    # stores 7 and 8 and the one without number again, with other tracts; all others stay
+    again = spark.createDataFrame([(7, "b"), (7, "c"), (8, "b"), (None, "b"), (900, "b")], "store_nbr int, geoid string")
+    writers.write_areas(again, at, "open")
+    back = spark.read.parquet(at)
+    got = sorted((r.store_nbr if r.store_nbr is not None else -1, r.geoid) for r in back.filter("brand = 'open'").collect())
+    assert got == sorted([(i, "a") for i in range(300) if i not in (7, 8)] + [(7, "b"), (7, "c"), (8, "b"), (-1, "b"), (900, "b")])
+    assert back.filter("brand = 'closed'").count() == 5
+    assert len(list((tmp_path / "areas" / "brand=open").iterdir())) <= writers.AREA_PARTS
