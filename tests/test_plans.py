@@ -112,6 +112,34 @@ def test_overlap(spark):
     assert [tuple(r) for r in O.overlap_population(closed, shared, tracts).collect()] == [(1, 60)]
 
 
+def test_overlap_pairs_meet_in_blocks_of_any_size(spark, monkeypatch):
+    """Many small blocks and matrices, null keys, repeated rows, a tract without people and an empty side, against brute force."""
+    import random
+
+    rng = random.Random(3)
+    codes = [f"0100100{i:04d}" for i in range(12)]
+    rows = [(s, g) for s in range(40) for g in rng.sample(codes, rng.randint(1, 5))]
+    closed, opened = ([r for r in rows if r[0] % 3 == k] for k in (0, 1))
+    people = {g: 1000 + i for i, g in enumerate(codes[:-1])}
+    table = lambda r: spark.createDataFrame(r, "store_nbr long, geoid string")
+    tracts = spark.createDataFrame([*people.items()], "geoid string, population long")
+    monkeypatch.setattr(O, "STORES", 3)
+    monkeypatch.setattr(O, "ENTRIES", 9)
+    monkeypatch.setattr(O, "NUMBERS", 4)
+    of = lambda r, s: {g for x, g in r if x == s}
+    want = {}
+    for a in {s for s, _ in closed}:
+        whole = sum(people.get(g, 0) for g in of(closed, a))
+        for b in {s for s, _ in opened}:
+            if both := of(closed, a) & of(opened, b):
+                n = sum(people.get(g, 0) for g in both)
+                want[a, b] = (len(both), n, pytest.approx(n / whole) if whole else None)
+    odd = [(None, codes[0]), (0, None)]
+    got = O.area_overlap_pairs(table(closed + closed[:5] + odd), table(opened + opened[:5] + odd[1:]), tracts).collect()
+    assert len(got) == len(want) and {(r[0], r[1]): tuple(r[2:]) for r in got} == want
+    assert O.area_overlap_pairs(table([]), table(opened), tracts).count() == O.area_overlap_pairs(table(closed), table([]), tracts).count() == 0
+
+
 def test_impact_and_recovery(spark):
     rows = [(10, 1350000.0, 1000000.0), (11, 1150000.0, 1050000.0), (12, 850000.0, 1000000.0)]
     forecasts = spark.createDataFrame(rows, "store_nbr long, actual double, predicted double").withColumn(
