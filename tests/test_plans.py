@@ -153,6 +153,19 @@ def test_impact_and_recovery(spark):
     assert rate.recovery_rate == pytest.approx((500000 + (1150000 / 1050000 - 1 + 0.15) * 1050000) / 2000000)
 
 
+def test_months_of_pairs_meet_nothing_but_their_stores(spark):
+    """The shock joins the months of the stores; the pairs' months, by far the most rows, meet in one join and are added up without an exchange."""
+    forecasts = spark.createDataFrame([(s, 110.0, 100.0, 0.1) for s in (10, 11, 12)], "store_nbr long, actual double, predicted double, relative_difference double").withColumn(
+        "month", F.lit("2021-01-01").cast("date"))
+    pairs = spark.createDataFrame([(1, 10), (2, 10), (2, 11)], "closed_store long, open_store long")
+    impact = I.closure_impact(forecasts, pairs)
+    plan = impact._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and impact.columns == [
+        "month", "open_store", "closed_store", "actual", "predicted", "pct_difference", "pandemic_factor", "impact"]
+    lost = spark.createDataFrame([(1, 100.0), (2, 100.0)], "closed_store long, lost_sales double")
+    assert sorted((r.closed_store, r.open_stores) for r in I.recovery_rate(impact, lost).collect()) == [(1, 1), (2, 2)]
+
+
 def test_weekly_counts_with_shared_orders_and_two_addresses(spark):
     rows = [(1, 100, "2019-01-08", 10.0, "online"), (2, 100, "2019-01-08", 10.0, "online"),
             (1, 100, "2019-01-08", 10.0, "online"), (1, 101, "2019-01-09", 5.0, "online"),

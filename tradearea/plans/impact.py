@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tradearea.functions.measures import relative_difference
 from tradearea.operators.grouped import quantiles
+from tradearea.sources.scratch import cut
 
 
 def closure_pairs(overlaps: DataFrame, min_share: float = 0.5) -> DataFrame:
@@ -16,26 +17,34 @@ def closure_pairs(overlaps: DataFrame, min_share: float = 0.5) -> DataFrame:
 
 def pandemic_factor(forecasts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Mean relative difference per month over the open stores no closure touches."""
-    touched = pairs.select(F.col("open_store").alias("store_nbr"))
+    touched = pairs.select(F.col("open_store").alias("store_nbr")).distinct()
     return forecasts.join(touched, "store_nbr", "left_anti").groupBy("month").agg(
         F.avg("relative_difference").alias("pandemic_factor"), F.count(F.lit(1)).alias("stores"))
 
 
 def closure_impact(forecasts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per pair and month: difference to forecast, shock of the month, and what is left of it."""
+    """Per pair and month: difference to forecast, shock of the month, and what is left of it.
+
+    The shock meets the months of the stores, not those of the pairs, which are by far the most rows.
+    """
+    pairs, forecasts = cut(pairs, "pairs"), cut(forecasts, "forecasts")
     factor = pandemic_factor(forecasts, pairs).drop("stores")
-    rows = forecasts.withColumnRenamed("store_nbr", "open_store").select(
+    rows = cut(forecasts.withColumnRenamed("store_nbr", "open_store").select(
         "open_store", "month", "actual", "predicted",
-        relative_difference(F.col("actual"), F.col("predicted")).alias("pct_difference"))
-    return pairs.join(rows, "open_store").join(factor, "month").withColumn(
-        "impact", F.col("pct_difference") - F.col("pandemic_factor"))
+        relative_difference(F.col("actual"), F.col("predicted")).alias("pct_difference")).join(factor, "month").withColumn(
+        "impact", F.col("pct_difference") - F.col("pandemic_factor")), "months")
+    return pairs.join(rows.hint("merge"), "open_store").select(
+        "month", "open_store", "closed_store", "actual", "predicted", "pct_difference", "pandemic_factor", "impact")
 
 
 def recovery_rate(impact: DataFrame, lost: DataFrame) -> DataFrame:
-    """Sales lifted at the paired stores as a part of the sales lost with the closed store."""
-    lifted = impact.groupBy("closed_store").agg(
-        F.sum(F.col("impact") * F.col("predicted")).alias("lifted_sales"),
-        F.countDistinct("open_store").alias("open_stores"))
+    """Sales lifted at the paired stores as a part of the sales lost with the closed store.
+
+    Months are added up per pair first, which needs no exchange: they come by open store.
+    """
+    of_pair = impact.groupBy("closed_store", "open_store").agg(F.sum(F.col("impact") * F.col("predicted")).alias("_lifted"))
+    lifted = of_pair.groupBy("closed_store").agg(
+        F.sum("_lifted").alias("lifted_sales"), F.count("open_store").alias("open_stores"))
     return lifted.join(lost, "closed_store").withColumn(
         "recovery_rate", F.try_divide("lifted_sales", "lost_sales"))
 
