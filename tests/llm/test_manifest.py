@@ -101,3 +101,13 @@ def test_rank_without_sorting_matches_sorting(spark):
     assert got == [(p, i, h) for p, (i, h) in enumerate(sorted((i, f"{k:04x}") for k, i in enumerate(ids)))]
     assert manifest.ranked(leaves).select("n").distinct().collect()[0][0] == 900
     assert F is not None
+
+
+def test_directory_and_paths_are_not_broadcast(spark):
+    """Both compress so well that their files look small; sent to all they would pass through the driver."""
+    leaves = spark.range(300).select(F.lit("=a").alias("g"), F.col("id"), F.sha2(F.col("id").cast("string"), 256).alias("leaf"))
+    ranks = manifest.ranked(leaves)
+    assert ranks._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") >= 1
+    assert ranks.filter("pos <> id or n <> 300").isEmpty()
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), *[F.lit("x").alias(c) for c in ("source", "lang", "n_chars", "text")])
+    assert manifest.manifest(docs)._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") >= 1

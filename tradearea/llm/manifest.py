@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradearea.operators.grouped import running_total
-from tradearea.sources.scratch import cut
+from tradearea.sources.scratch import cut, grown
 
 FANOUT = 16
 #: copies of the directory, so that many rows of one word are looked up by several tasks
@@ -56,10 +56,10 @@ def ranked(leaves: DataFrame) -> DataFrame:
     words = cut(placed.groupBy("g", "_block").agg(F.bit_or(bit).alias("_word"), F.count(F.lit(1)).alias("_rows")).withColumn(
         "_again", F.col("_rows") > F.bit_count("_word")), "words")
     # the popcount directory: rows before each word
-    directory = cut(running_total(words, ["g"], "_block", {"_upto": "_rows"}).select(
+    directory = grown(running_total(words, ["g"], "_block", {"_upto": "_rows"}).select(
         "g", "_block", "_word", "_again", (F.col("_upto") - F.col("_rows")).alias("_before")), "directory")
     salted = directory.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = placed.withColumn("_salt", F.pmod(F.xxhash64("leaf"), F.lit(SALTS)).cast("int")).join(salted, ["g", "_block", "_salt"]).drop("_salt")
+    found = placed.withColumn("_salt", F.pmod(F.xxhash64("leaf"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["g", "_block", "_salt"]).drop("_salt")
     below = F.bit_count(F.col("_word").bitwiseAND(F.expr("~shiftleft(-1L, _bit)")))
     totals = words.groupBy("g").agg(F.sum("_rows").alias("n"))
     once = found.filter("not _again").withColumn("pos", F.col("_before") + below)
@@ -122,7 +122,7 @@ def with_paths(level: DataFrame, above: DataFrame) -> DataFrame:
         F.when(F.col("single"), F.col("path")).otherwise(F.concat(F.array(F.struct(
             F.array_join(F.transform(F.slice("children", 1, i), lambda x: x["h"]), "").alias("before"),
             F.array_join(F.transform(F.slice("children", i + 2, F.lit(FANOUT)), lambda x: x["h"]), "").alias("after"))), F.col("path"))).alias("path")))
-    return level.join(above, ["g", "pos"]).select("g", "pos", F.explode(around).alias("_x")).select(
+    return level.join(above.hint("merge"), ["g", "pos"]).select("g", "pos", F.explode(around).alias("_x")).select(
         "g", (F.col("pos") * FANOUT + F.col("_x.i")).alias("pos"), "_x.child.*", "_x.path")
 
 
