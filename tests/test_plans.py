@@ -374,3 +374,48 @@ def test_weekly_features_read_the_areas_once(spark):
         assert (row["calendar_season_cd"], row["opened_days"], row["census_block_counts"]) == ("WI", 1, 3 - (store - 6))
     assert got[7, 2]["online_transaction_counts"] == 2 and got[7, 2]["online_gross_sales"] == 10 + 2.5 + 2 * 2.5
     assert got[8, 2]["instore_customer_counts"] == 2 and got[8, 2]["instore_transaction_counts"] == 1
+
+
+def _odd_rows(spark, n=400):
+    rng = np.random.default_rng(7)
+    a, b, c = rng.integers(0, 30, n), rng.integers(0, 5, n), rng.normal(size=n)
+    rows = [(int(i % 11), float(a[i]), int(b[i]), float(c[i]), float(a[i] * 3 + (b[i] > 2) * 20 + c[i])) for i in range(n)]
+    return spark.createDataFrame(rows, "store long, a double, b int, c double, y double")
+
+
+def test_trees_grown_in_tasks_are_spark_s(spark, monkeypatch):
+    """One tree without chance: the same importances and errors as Spark's own, however deep; no Spark forest is fitted for it."""
+    from tradearea.operators import models, trees
+
+    df = models.cut(_odd_rows(spark), "rows")
+    cases = [dict(numTrees=1, featureSubsetStrategy="all", bootstrap=False, maxDepth=d, minInstancesPerNode=m) for d, m in ((3, 1), (30, 4))]
+    space = {"numTrees": (1,), "featureSubsetStrategy": ("all",), "bootstrap": (False,), "maxDepth": (2, 8), "minInstancesPerNode": (5, 8)}  # in smaller nodes rounding breaks Spark's ties
+    fitted, fit = [], models._fit
+    monkeypatch.setattr(models, "_fit", lambda *a: fitted.append(1) or fit(*a))
+
+    def found():
+        tops = [{r.column_name: r.importance for r in models.feature_importance(df, ["a", "b", "c"], "y", **case).collect()} for case in cases]
+        tried = models.random_search(df, ["a", "b", "c"], "y", draws=3, space=space, group="store").orderBy("trial").collect()
+        return tops, [r.rmse for r in tried]
+
+    mine = found()
+    assert not fitted
+    monkeypatch.setattr(trees, "HELD", 0)
+    spark_s = found()
+    assert len(fitted) == 2
+    for own, other in zip(mine[0], spark_s[0], strict=True):
+        assert own == pytest.approx(other, abs=1e-6)
+    assert mine[1] == pytest.approx(spark_s[1], rel=1e-6)
+
+
+def test_forests_in_tasks_refuse_gaps_and_empty_folds(spark):
+    from tradearea.operators.models import cut, feature_importance
+
+    df = _odd_rows(spark, 60)
+    gaps = cut(df.withColumn("a", F.when(F.col("b") > 0, F.col("a"))), "gaps")
+    with pytest.raises(Exception, match="without a value"):
+        feature_importance(gaps, ["a", "b"], "y", numTrees=2)
+    with pytest.raises(Exception, match="no rows"):
+        random_search(df.filter("store = 1"), ["a", "b"], "y", draws=1, space={"numTrees": (2,)}, group="store")
+    same = [feature_importance(cut(df.repartition(n), "again"), ["a", "b", "c"], "y", numTrees=6).collect() for n in (1, 5)]
+    assert same[0] == same[1] and sum(r.importance for r in same[0]) == pytest.approx(1)
