@@ -419,3 +419,15 @@ def test_forests_in_tasks_refuse_gaps_and_empty_folds(spark):
         random_search(df.filter("store = 1"), ["a", "b"], "y", draws=1, space={"numTrees": (2,)}, group="store")
     same = [feature_importance(cut(df.repartition(n), "again"), ["a", "b", "c"], "y", numTrees=6).collect() for n in (1, 5)]
     assert same[0] == same[1] and sum(r.importance for r in same[0]) == pytest.approx(1)
+
+
+def test_the_registered_search_is_the_whole_one(monkeypatch):
+    from checks import queries as Q
+    from tradearea.operators import models
+
+    seen = {}
+    monkeypatch.setattr(Q, "_model_rows", lambda s: (None, None))
+    monkeypatch.setattr(Q, "random_search", lambda df, features, target, **options: seen.update(options))
+    Q.QUERIES["random_search"](None)
+    assert not {"draws", "folds", "space"} & set(seen)
+    assert models.random_search.__defaults__[:2] == (100, 3) and [len(v) for v in models.SEARCH_SPACE.values()] == [10, 2, 3, 3, 2]
