@@ -363,3 +363,23 @@ def test_nearest_within_with_repeated_rows(spark):
     got = nearest_within(spark.createDataFrame(rows, "g string, row long, a double"), ["g"], ["a"], "row", 3).collect()
     assert sorted((r.row, r.nearest, r.neighbour, r.distance) for r in got) == [
         (1, 1, 2, 1.0), (1, 2, 2, 1.0), (1, 3, 3, 2.0), (2, 1, 1, 1.0), (2, 2, 1, 1.0), (2, 3, 3, 1.0), (3, 1, 2, 1.0), (3, 2, 1, 2.0), (3, 3, 1, 2.0)]
+
+
+def test_search_writes_scores_and_the_labels_of_best_trials_only(spark, monkeypatch):
+    """A label per place and trial is 72 numbers a place; only the trials that may be best go on, also if several are equal."""
+    from tradearea.operators import search
+
+    rng = np.random.default_rng(12)
+    points = spark.createDataFrame([(g, f"{i:03d}", *map(float, rng.normal(i % 3, 0.1, 3))) for g in (1, 2) for i in range(60)] + [(3, "a", 0.0, 0.0, 0.0)],
+                                   "g int, id string, x double, y double, z double")
+    steps = {}
+    monkeypatch.setattr(search, "cut", lambda df, name="step": steps.setdefault(name, cut(df, name)))
+    grid = Grid(points, ["g"], ["x", "y", "z"], "id")
+    written = steps["grid"]
+    assert written.filter("labels is not null and size(labels) < 72").count() == 121 and written.filter("labels is null").count() == 3
+    best = best_params(grid.scores, ["g"])
+    want = grid.labels().join(best, ["g", "eps", "min_samples"]).select("g", "x", "y", "z", "label")
+    got = grid.chosen(best.drop("score"))
+    assert got.count() == 120 and sorted(got.collect()) == sorted(want.collect())
+    monkeypatch.setattr(search, "GROUPS", 1)
+    assert search.Grid(points, ["g"], ["x", "y", "z"], "id").done.rdd.getNumPartitions() >= 1
