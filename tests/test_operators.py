@@ -383,3 +383,20 @@ def test_search_writes_scores_and_the_labels_of_best_trials_only(spark, monkeypa
     assert got.count() == 120 and sorted(got.collect()) == sorted(want.collect())
     monkeypatch.setattr(search, "GROUPS", 1)
     assert search.Grid(points, ["g"], ["x", "y", "z"], "id").done.rdd.getNumPartitions() >= 1
+
+
+def test_scores_of_small_groups_from_one_matrix(spark):
+    """Groups on both sides of the limit against the blocks: repeated rows, one label, a label a row, lone rows, weights."""
+    rng = np.random.default_rng(21)
+    rows = [(g, f"{i}", *map(float, rng.normal(size=2)), int(rng.integers(-1, 3)), float(rng.integers(1, 4))) for g, n in ((1, 40), (2, 90)) for i in range(n)]
+    rows += [(3, "a", 0.0, 0.0, 1, 1.0), (3, "b", 1.0, 0.0, 1, 1.0), (4, "a", 0.0, 0.0, 0, 1.0), (4, "b", 1.0, 0.0, 1, 1.0)]
+    rows += [(5, f"{i}", 1.0, 1.0, i % 2, 1.0) for i in range(4)] + [(6, "a", 0.0, 0.0, 7, 1.0), (6, "b", 1.0, 0.0, 2, 1.0), (6, "c", 1.0, 3.0, 2, 1.0)]
+    df = cut(spark.createDataFrame(rows, "g int, id string, x double, y double, label int, w double"), "rows")
+    for weight in (None, "w"):
+        want = {r.g: r for r in silhouette_by(df, ["g"], ["x", "y"], "label", "id", weight).collect()}
+        made = silhouette_by(df, ["g"], ["x", "y"], "label", "id", weight, limit=60)
+        got = {r.g: r for r in made.collect()}
+        assert made.columns == ["g", "score", "clusters", "points"] and set(got) == set(want) == {1, 2, 3, 4, 5, 6}
+        for g, r in want.items():
+            assert (got[g].clusters, got[g].points) == (r.clusters, r.points), g
+            assert got[g].score == (None if r.score is None else pytest.approx(r.score, abs=1e-12)), g
